@@ -4,11 +4,12 @@ import hashlib
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def text_digest(text: pa.Array) -> pa.Array:
     """SHA-256 of the text with A-Z in lower case; null stays null."""
     raw = text.cast(pa.binary()).to_pylist()

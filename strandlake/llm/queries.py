@@ -1,13 +1,18 @@
 """Queries of the text operators, with SQL where SQL can express them."""
 
-from . import exact_dedup, line_dedup
+from . import decontaminate, exact_dedup, line_dedup, records, warc
 
 QUERIES = {
+    "op2_token_records": records.op2_token_records,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op10_warc": warc.op10_warc,
 }
 
 SQL = {
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op7_decontaminate": decontaminate.OP7_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
