@@ -1,11 +1,13 @@
 """Queries of the text operators, with SQL where SQL can express them."""
 
-from . import decontaminate, exact_dedup, line_dedup, records, warc
+from . import decontaminate, exact_dedup, language_id, line_dedup, records, secret_scan, warc
 
 QUERIES = {
+    "op1_secrets": secret_scan.op1_secrets,
     "op2_token_records": records.op2_token_records,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_language_id": language_id.op5_language_id,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op10_warc": warc.op10_warc,
 }
