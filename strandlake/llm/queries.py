@@ -1,6 +1,6 @@
 """Queries of the text operators, with SQL where SQL can express them."""
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, records, secret_scan, warc
+from . import decontaminate, exact_dedup, language_id, line_dedup, near_dedup, records, secret_scan, warc
 
 QUERIES = {
     "op1_secrets": secret_scan.op1_secrets,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_language_id": language_id.op5_language_id,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_warc": warc.op10_warc,
 }
 
