@@ -1,6 +1,6 @@
 """Queries of the text operators, with SQL where SQL can express them."""
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, near_dedup, records, secret_scan, suffix_dedup, warc
+from . import decontaminate, exact_dedup, language_id, line_dedup, near_dedup, packing, records, secret_scan, suffix_dedup, warc
 
 QUERIES = {
     "op1_secrets": secret_scan.op1_secrets,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_language_id": language_id.op5_language_id,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_packing": packing.op8_packing,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_warc": warc.op10_warc,
 }
