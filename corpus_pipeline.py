@@ -1,6 +1,64 @@
-STAGES = []
+"""From documents to packed training sequences: language, repeated lines, near-duplicates, benchmarks, packing."""
+
+from pyspark.sql import functions as F
+
+from strandlake.llm import common as C
+from strandlake.llm.components import saved
+from strandlake.llm.decontaminate import decontaminate
+from strandlake.llm.language_id import fit, held_out, identify
+from strandlake.llm.line_dedup import line_dedup
+from strandlake.llm.near_dedup import near_dedup
+from strandlake.llm.packing import pack_documents
+
+#: A text of lower cosine with every language than this has next to nothing of any.
+LEAST_SCORE = 0.05
+
+
+def language(spark, docs, sf_dir):
+    """Keeps documents in a learned language; those without letters, or like none, go. lang becomes the predicted one."""
+    model = fit(docs.where(~held_out(F.col("doc_id"))))
+    found = identify(docs, model, keep=docs.columns).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+
+
+def lines(spark, docs, sf_dir):
+    """Drops lines that many documents share, but for one of them; documents that have nothing left go."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    kept = line_dedup(docs, extra=rest).withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long"))
+    return kept.where((F.col("n_dropped") == 0) | (F.trim("text") != "")).select(docs.columns)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """Keeps the document with the least id of each group; those without an id stay."""
+    gone = near_dedup(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def benchmarks(spark, docs, sf_dir):
+    """Cuts benchmark passages out of the texts; documents that have no word left go."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "n_chars")]
+    found = decontaminate(docs, C.read(spark, sf_dir, "benchmark"), extra=rest)
+    found = found.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words")))
+    text = F.coalesce("clean_text", "text")
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def packing(spark, docs, sf_dir):
+    """Places of all documents, cut where need be, in sequences of the permitted lengths."""
+    return pack_documents(docs)
+
+
+STAGES = [("language", language), ("lines", lines), ("near duplicates", near_duplicates), ("benchmarks", benchmarks), ("packing", packing)]
+
+#: SQL can't express the learned language model, MinHash or the packing.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    """All stages over documents, each on what its predecessor wrote."""
+    docs, folder = C.read(spark, sf_dir, "documents"), C.shared_dir(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = saved(docs, folder, f"stage-{k}")
+    return docs
