@@ -1,4 +1,6 @@
 """All queries of the sequence engine: name -> function(spark, sf_dir), and name -> the same in SQL."""
 
-QUERIES = {}
-SQL = {}
+from .plans import hits, motifs, scans, words
+
+QUERIES = words.QUERIES | motifs.QUERIES | scans.QUERIES | hits.QUERIES
+SQL = words.SQL | motifs.SQL | scans.SQL | hits.SQL
