@@ -1 +1,274 @@
+"""Queries that scan sequences for motifs, refine motifs, and finish the matrices of enriched words."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import pfm, seq, stats
+from ..operators import enrich, kmers, scan
+from . import words
+from .hits import erfc_sql
+from .motifs import BITS, LOGODDS, M, motifs
+from .tables import CANDIDATE, CONSIDERED, COUNTS, LENGTHS, LIBRARY, SEQ, library, occurrences, rc, sequences, windows
+
 QUERIES, SQL = {}, {}
+THRESHOLD = 3.0
+TEMPLATE = kmers.templates(8)[0]
+
+
+def query(sql=None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def family_cores(spark, sf_dir):
+    """[(family, 8 x 4 log-odds)]: columns 5 to 12 of each label's member with the most information; ties: the least id."""
+    rows = motifs(spark, sf_dir).select("label", "vec_id", F.slice("pfm", 5, 8).alias("f"))
+    bits = F.round(pfm.total(pfm.information(F.col("f"))), 6)
+    best = rows.groupBy("label").agg(F.max_by("f", F.struct(bits, -F.col("vec_id"))).alias("f"))
+    return [(f"F{r['label']}", r["m"]) for r in best.select("label", pfm.logodds(F.col("f")).alias("m")).orderBy("label").collect()]
+
+
+FAMILY = M + f""", fb AS (SELECT label, vec_id, round(sum({BITS}), 6) AS bits FROM pos WHERE p BETWEEN 5 AND 12 GROUP BY ALL), fr AS (SELECT label, max_by(vec_id, (bits, -vec_id)) AS vec_id FROM fb GROUP BY label),
+fz AS (SELECT 'F' || label AS motif, p - 4 AS p, {LOGODDS} AS z FROM pos JOIN fr USING (label, vec_id) WHERE p BETWEEN 5 AND 12), """
+DICTIONARY = """w8 AS (SELECT c, array_to_string(list_transform(range(0, 8), lambda j: substr('ACGT', 1 + ((c >> (2 * j)) & 3)::INT, 1)), '') AS word FROM range(0, 65536) t(c)),
+fl AS (SELECT motif, list(z ORDER BY p) AS m FROM fz GROUP BY motif),
+dict AS (SELECT motif, word, round(list_sum(list_transform(range(0, 8), lambda j: m[j + 1][1 + ((c >> (2 * j)) & 3)])), 6) AS score FROM w8, fl)"""
+SCAN = FAMILY + DICTIONARY + ", " + SEQ + ", win AS (" + windows(*TEMPLATE) + f"), good AS (SELECT * FROM dict WHERE score >= {THRESHOLD}), hit AS (SELECT motif, seq_id, grp, '+' AS strand, i - 1 AS start, score, win.word AS match FROM win JOIN good USING (word) UNION ALL SELECT motif, seq_id, grp, '-', i - 1, score, good.word FROM win JOIN good ON good.word = {rc('win.word')}) "
+
+
+def found(spark, sf_dir):
+    return scan.scan(sequences(spark, sf_dir), scan.word_scores(family_cores(spark, sf_dir)), THRESHOLD)
+
+
+def with_match(rows, seqs):
+    """Hits with the text they match, along the motif."""
+    text = F.substring(F.col("u"), (F.col("start") + 1).cast("int"), F.lit(8))
+    return rows.join(seqs.select("seq_id", "u"), "seq_id").withColumn("match", F.when(F.col("strand") == "+", text).otherwise(seq.revcomp(text))).drop("u")
+
+
+@query(SCAN + "SELECT motif, seq_id, strand, start, score, match FROM hit")
+def scan_hits(spark, sf_dir):
+    return with_match(found(spark, sf_dir), sequences(spark, sf_dir)).select("motif", "seq_id", "strand", "start", "score", "match")
+
+
+@query("WITH " + SEQ + ", " + LIBRARY + ", win AS (" + windows(*TEMPLATE) + f") SELECT motif, seq_id, '+' AS strand, i - 1 AS start FROM win JOIN lib ON word = pattern UNION ALL SELECT motif, seq_id, '-', i - 1 FROM win JOIN lib ON {rc('word')} = pattern")
+def scan_consensus(spark, sf_dir):
+    """Exact occurrences of the consensus library on either strand."""
+    rows = [(r["motif"], [[1.0 if c == b else 0.0 for b in "ACGT"] for c in r["pattern"]]) for r in library(spark, sf_dir).orderBy("motif").collect()]
+    out = None
+    for k in range(0, len(rows), 100):  # blocks of 100 motifs stay below the limit of a broadcast
+        part = scan.scan(sequences(spark, sf_dir), scan.word_scores(rows[k : k + 100]), 8.0)
+        out = part if out is None else out.unionByName(part)
+    return out.select("motif", "seq_id", "strand", "start")
+
+
+@query(FAMILY + DICTIONARY + ", " + SEQ + ", win AS (" + windows(*TEMPLATE) + f"""), n AS (SELECT word, count(*) AS n FROM win WHERE grp = 'ctrl' GROUP BY word), bs AS (SELECT word, n FROM n UNION ALL SELECT {rc('word')}, n FROM n),
+c AS (SELECT motif, score, sum(n) AS n FROM bs JOIN dict USING (word) GROUP BY ALL), r AS (SELECT motif, score, sum(n) OVER (PARTITION BY motif ORDER BY score DESC) AS upto FROM c), {LENGTHS}
+SELECT motif, greatest(max(score), 1.301) AS threshold, any_value(floor(len2 / 10000 * 5))::BIGINT AS k FROM r, tot WHERE upto >= floor(len2 / 10000 * 5) GROUP BY motif""")
+def calibrate_threshold(spark, sf_dir):
+    """Score of the k-th best window of the control on both strands, for five hits in 10,000 bases; at least 1.301.
+
+    Windows are counted by word first, so what is ordered are the scores of at most 65,536 words a motif.
+    """
+    import numpy as np
+
+    seqs = sequences(spark, sf_dir)
+    n = kmers.count_words(seqs.where("grp = 'ctrl'")).select("word", F.col("n_all").alias("n"))
+    both = n.unionByName(n.select(seq.revcomp(F.col("word")).alias("word"), "n")).withColumn("code", seq.word_code(F.col("word")))
+    scores = scan.word_scores(family_cores(spark, sf_dir))
+    shared = spark.sparkContext.broadcast(scores)
+
+    def score(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            codes = np.array(b.column("code"))
+            for motif, s in shared.value.items():
+                yield pa.record_batch([pa.array([motif] * len(codes)), pa.array(s[codes]), b.column("n")], names=["motif", "score", "n"])
+
+    c = both.select("code", "n").mapInArrow(score, "motif string, score double, n long").groupBy("motif", "score").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("motif").orderBy(F.desc("score")))
+    k = F.floor(F.col("len2") / 10000 * 5)
+    rows = c.withColumn("upto", upto).crossJoin(F.broadcast(enrich.lengths(seqs))).withColumn("k", k).where("upto >= k")
+    return rows.groupBy("motif").agg(F.greatest(F.max("score"), F.lit(1.301)).alias("threshold"), F.first("k").alias("k"))
+
+
+@query(SCAN + f""", {LENGTHS}, s AS (SELECT motif, count(*) FILTER (WHERE grp = 'test') AS n1, count(*) FILTER (WHERE grp = 'ctrl') AS n2 FROM hit GROUP BY motif)
+SELECT motif, s.n1, s.n2, round(s.n2 * len1 / len2, 4) AS scaled, round(s.n1 - s.n2 * len1 / len2, 4) AS freq, round(s.n1 / nullif(s.n2 * len1 / len2, 0), 6) AS ratio FROM s, tot""")
+def fp_threshold(spark, sf_dir):
+    """Hits in test against hits in control scaled to the test's length."""
+    of = lambda g: F.count(F.when(F.col("grp") == g, 1)).alias("n1" if g == "test" else "n2")
+    s = found(spark, sf_dir).groupBy("motif").agg(of("test"), of("ctrl")).crossJoin(F.broadcast(enrich.lengths(sequences(spark, sf_dir)).drop("n1", "n2")))
+    scaled = F.col("n2") * F.col("len1") / F.col("len2")
+    return s.select("motif", "n1", "n2", F.round(scaled, 4).alias("scaled"), F.round(F.col("n1") - scaled, 4).alias("freq"), F.round(F.when(scaled != 0, F.col("n1") / scaled), 6).alias("ratio"))
+
+
+CELLS = SCAN + ", ch AS (SELECT motif, grp, j AS p, substr(match, j, 1) AS base FROM hit, range(1, 9) t(j)), cell AS (SELECT motif, p, base, count(*) FILTER (WHERE grp = 'test') AS f1, count(*) FILTER (WHERE grp = 'ctrl') AS f2 FROM ch GROUP BY ALL)"
+
+
+def cells(spark, sf_dir):
+    rows = with_match(found(spark, sf_dir), sequences(spark, sf_dir)).select("motif", "grp", F.posexplode(F.split("match", "")).alias("p", "base"))
+    of = lambda g, n: F.count(F.when(F.col("grp") == g, 1)).alias(n)
+    return rows.groupBy("motif", (F.col("p") + 1).cast("long").alias("p"), "base").agg(of("test", "f1"), of("ctrl", "f2"))
+
+
+@query(CELLS + " SELECT * FROM cell")
+def refine_counts(spark, sf_dir):
+    """Bases at each place of the hits."""
+    return cells(spark, sf_dir)
+
+
+@query(CELLS + ", l AS (SELECT *, log10(f1 + 1) AS y, log10(f2 + 1) AS x FROM cell), g AS (SELECT motif, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM l GROUP BY motif) SELECT motif, p, base, round(0.5 * (y - CASE WHEN b IS NULL OR isnan(b) THEN 0 ELSE b * x + a END), 5) AS step FROM l JOIN g USING (motif)")
+def refine_regression(spark, sf_dir):
+    """Step of each cell: half of what its log count lies above the line through all cells of the motif."""
+    rows = cells(spark, sf_dir).select("motif", "p", "base", F.log10(F.col("f1") + 1).alias("y"), F.log10(F.col("f2") + 1).alias("x"))
+    line = rows.groupBy("motif").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return rows.join(line, "motif").select("motif", "p", "base", F.round(0.5 * (F.col("y") - (zero("b") * F.col("x") + zero("a"))), 5).alias("step"))
+
+
+@query(CELLS + f", {LENGTHS}, d AS (SELECT motif, p, base, greatest(1, f1 - len1 / len2 * f2) AS v FROM cell, tot) SELECT motif, p, base, round(log10(4 * v / sum(v) OVER (PARTITION BY motif, p)), 6) AS weight FROM d")
+def refine_difference(spark, sf_dir):
+    """New log-odds of each cell from its count in test less the scaled count in control, renormalised by place."""
+    rows = cells(spark, sf_dir).crossJoin(F.broadcast(enrich.lengths(sequences(spark, sf_dir))))
+    rows = rows.withColumn("v", F.greatest(F.lit(1.0), F.col("f1") - F.col("len1") / F.col("len2") * F.col("f2")))
+    return rows.select("motif", "p", "base", F.round(F.log10(4 * F.col("v") / F.sum("v").over(Window.partitionBy("motif", "p"))), 6).alias("weight"))
+
+
+@query(SCAN + ", k AS (SELECT motif, seq_id, start, strand, substr(u, (start // 10) * 10 + 1, ((start + 7) // 10 - start // 10 + 1) * 10) AS t FROM hit JOIN seq USING (seq_id)) SELECT motif, seq_id, start, strand, (10 * (length(t) - length(translate(t, 'CG', ''))) // ((length(t) + 9) // 10))::BIGINT AS conservation FROM k")
+def hits_conservation(spark, sf_dir):
+    """Whole mean of the track's cells of 10 bases that a hit touches; the track here counts C and G, tenfold."""
+    rows = found(spark, sf_dir).join(sequences(spark, sf_dir).select("seq_id", "u"), "seq_id")
+    first, last = F.floor(F.col("start") / 10), F.floor((F.col("start") + 7) / 10)
+    rows = rows.withColumn("t", F.substring(F.col("u"), (first * 10 + 1).cast("int"), ((last - first + 1) * 10).cast("int")))
+    return rows.select("motif", "seq_id", "start", "strand", F.floor(10 * seq.count_cg(F.col("t")) / F.floor((F.length("t") + 9) / 10)).cast("long").alias("conservation"))
+
+
+@query("WITH " + SEQ + ", " + occurrences([TEMPLATE]) + ", " + COUNTS + " SELECT grp, word, n_all - n AS n_close, n_all FROM cnt WHERE n_all > n")
+def clump_counts(spark, sf_dir):
+    """Occurrences that overlap one counted before."""
+    return kmers.count_words(sequences(spark, sf_dir)).where("n_all > n").select("grp", "word", (F.col("n_all") - F.col("n")).alias("n_close"), "n_all")
+
+
+NEIGHBOURS = words.STATS0.rstrip() + f""", cand AS (SELECT word, z, ratio, diff, x FROM st WHERE {CANDIDATE}), nb AS (SELECT c.word, k AS p, b, substr(c.word, 1, k - 1) || b || substr(c.word, k + 1) AS w FROM cand c, range(1, 9) t(k), (VALUES ('A'), ('C'), ('G'), ('T')) v(b)),
+core AS (SELECT nb.word, p, b, greatest(coalesce(st.diff, 0), 0) AS v FROM nb LEFT JOIN st ON st.word = least(w, {rc('w')}))"""
+
+
+def core_cells(st, cand):
+    """word, p, b, v: what the words that differ from a candidate in one place have more in test, by place and base."""
+    bases = F.explode(F.array(*(F.lit(b) for b in "ACGT"))).alias("b")
+    nb = cand.select("word", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("p")).select("word", "p", bases)
+    w = F.concat(F.expr("substring(word, 1, p - 1)"), F.col("b"), F.expr("substring(word, p + 1, 8)"))
+    nb = nb.withColumn("w", w).withColumn("key", seq.canonical(F.col("w")))
+    diffs = st.select(F.col("word").alias("key"), "diff")
+    return nb.join(diffs, "key", "left").select("word", F.col("p").cast("long").alias("p"), "b", F.greatest(F.coalesce("diff", F.lit(0.0)), F.lit(0.0)).alias("v"))
+
+
+@query(NEIGHBOURS + " SELECT word, p, b, round(v, 4) AS v FROM core")
+def neighbor_pfm(spark, sf_dir):
+    st = words.stats(spark, sf_dir)
+    return core_cells(st, enrich.candidates(st)).withColumn("v", F.round("v", 4))
+
+
+FLANKS = NEIGHBOURS + ", win AS (" + windows(*TEMPLATE) + f"""), occ2 AS (SELECT c.word, seq_id, grp, i, FALSE AS turned FROM win JOIN cand c ON c.word = win.word UNION ALL SELECT c.word, seq_id, grp, i, TRUE FROM win JOIN cand c ON c.word = {rc('win.word')} AND c.word <> win.word),
+fl AS (SELECT o.word, o.grp, o.d AS place, CASE WHEN turned THEN translate(x, 'ACGT', 'TGCA') ELSE x END AS base FROM (SELECT o.*, d.d, substr(u, i + CASE WHEN turned THEN CASE WHEN d.d < 0 THEN 7 - d.d ELSE -d.d END ELSE CASE WHEN d.d < 0 THEN d.d ELSE 7 + d.d END END, 1) AS x, i + CASE WHEN turned THEN CASE WHEN d.d < 0 THEN 7 - d.d ELSE -d.d END ELSE CASE WHEN d.d < 0 THEN d.d ELSE 7 + d.d END END AS spot
+   FROM occ2 o JOIN seq USING (seq_id), (VALUES (-2), (-1), (1), (2)) d(d)) o WHERE spot >= 1 AND x IN ('A', 'C', 'G', 'T')),
+flank AS (SELECT word, place::BIGINT AS place, base, count(*) FILTER (WHERE grp = 'test') AS f1, count(*) FILTER (WHERE grp = 'ctrl') AS f2 FROM fl GROUP BY ALL)"""
+
+
+def flank_counts(seqs, cand):
+    names = [r["word"] for r in cand.select("word").orderBy("word").collect()]  # at most 4**8 words
+    of = lambda g: F.coalesce(F.sum(F.when(F.col("grp") == g, F.col("n"))), F.lit(0)).cast("long")
+    return scan.flanks(seqs, names).groupBy("word", "place", "base").agg(of("test").alias("f1"), of("ctrl").alias("f2"))
+
+
+@query(FLANKS + " SELECT word, place, base, f1, f2 FROM flank")
+def flank_pfm(spark, sf_dir):
+    """Bases around the candidates in test and control."""
+    return flank_counts(sequences(spark, sf_dir), enrich.candidates(words.stats(spark, sf_dir)))
+
+
+GRID = ", grid AS (SELECT word, place::BIGINT AS place, base FROM cand, (VALUES (-2), (-1), (1), (2)) v(place), (VALUES ('A'), ('C'), ('G'), ('T')) b(base)), full_flank AS (SELECT g.word, g.place, g.base, coalesce(f1, 0) + (g.place > 0)::INT AS f1, coalesce(f2, 0) + (g.place > 0)::INT AS f2 FROM grid g LEFT JOIN flank USING (word, place, base))"
+GTEST = GRID + """, col AS (SELECT word, place, sum(f1) AS t, sum(f2) AS c, sum(CASE WHEN f1 > 0 THEN f1 * ln(f1) ELSE 0 END + CASE WHEN f2 > 0 THEN f2 * ln(f2) ELSE 0 END - CASE WHEN f1 + f2 > 0 THEN (f1 + f2) * ln(f1 + f2) ELSE 0 END) AS s FROM full_flank GROUP BY ALL),
+gt AS (SELECT word, greatest(sum(CASE WHEN t + c > 0 THEN 2 * (s - CASE WHEN t > 0 THEN t * ln(t) ELSE 0 END - CASE WHEN c > 0 THEN c * ln(c) ELSE 0 END + (t + c) * ln(t + c)) / (1 + 5.0::DOUBLE / 6 / (t + c)) ELSE 0 END), 0) AS g FROM col GROUP BY word),
+gp AS (SELECT word, g, least(2 * exp(-g / 2) * (1 + g / 2 + (g / 2) ** 2 / 2 + (g / 2) ** 3 / 6 + (g / 2) ** 4 / 24 + (g / 2) ** 5 / 120), 1) AS p FROM gt)"""
+
+
+def full_flanks(cand, flank):
+    """Every place and base of every candidate; after the word each count is 1 higher."""
+    every = lambda xs: F.explode(F.array(*(F.lit(x) for x in xs)))
+    grid = cand.select("word", F.explode(F.array(*(F.lit(x).cast("long") for x in (-2, -1, 1, 2)))).alias("place")).select("word", "place", every("ACGT").alias("base"))
+    more = F.when(F.col("place") > 0, 1).otherwise(0)
+    fill = lambda c: (F.coalesce(c, F.lit(0)) + more).cast("long").alias(c)
+    return grid.join(flank, ["word", "place", "base"], "left").select("word", "place", "base", fill("f1"), fill("f2"))
+
+
+def g_test(flanks):
+    """word, g, p: whether the bases around a word are dealt in test as in control, over four places."""
+    xlogx = lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
+    f1, f2 = F.col("f1"), F.col("f2")
+    col = flanks.groupBy("word", "place").agg(F.sum("f1").alias("t"), F.sum("f2").alias("c"), F.sum(xlogx(f1) + xlogx(f2) - xlogx(f1 + f2)).alias("s"))
+    n = F.col("t") + F.col("c")
+    g = F.when(n > 0, 2 * (F.col("s") - xlogx(F.col("t")) - xlogx(F.col("c")) + xlogx(n)) / (1 + 5.0 / 6 / n)).otherwise(0.0)
+    rows = col.groupBy("word").agg(F.greatest(F.sum(g), F.lit(0.0)).alias("g"))
+    return rows.withColumn("p", F.least(2 * stats.gamma_q(12, F.col("g") / 2), F.lit(1.0)))
+
+
+@query(FLANKS + GTEST + " SELECT word, round(g, 4) AS g, round(p, 6) AS p FROM gp")
+def flank_gtest(spark, sf_dir):
+    cand = enrich.candidates(words.stats(spark, sf_dir))
+    rows = g_test(full_flanks(cand, flank_counts(sequences(spark, sf_dir), cand)))
+    return rows.select("word", F.round("g", 4).alias("g"), F.round("p", 6).alias("p"))
+
+
+FISHER = FLANKS + GTEST + f", fp AS (SELECT word, z, ratio, x, gp.p AS p_flank, greatest(gp.p * (0.5 * {erfc_sql('z / sqrt(2.0::DOUBLE)')}), 1e-30) AS prod FROM cand JOIN gp USING (word)), pp AS (SELECT *, 2 * prod * (1 - ln(prod)) AS p FROM fp)"
+
+
+def combined(spark, sf_dir):
+    st = words.stats(spark, sf_dir)
+    cand = enrich.candidates(st)
+    g = g_test(full_flanks(cand, flank_counts(sequences(spark, sf_dir), cand)))
+    rows = cand.select("gap", "word", "z", "ratio", "x").join(g.select("word", F.col("p").alias("p_flank")), "word")
+    return st, rows.withColumn("p", stats.fisher(F.col("p_flank"), 0.5 * stats.erfc(F.col("z") / F.sqrt(F.lit(2.0)))))
+
+
+@query(FISHER + " SELECT word, round(p, 6) AS p FROM pp")
+def fisher_p(spark, sf_dir):
+    """Evidence of the count and of the flanks in one p-value."""
+    return combined(spark, sf_dir)[1].select("word", F.round("p", 6).alias("p"))
+
+
+@query(FISHER + f", nh AS (SELECT count(*) AS n FROM st WHERE {CONSIDERED}), bh AS (SELECT word, p, row_number() OVER (ORDER BY p, word) AS r, n FROM pp, nh) SELECT word, round(least(1, min(p / r * n) OVER (ORDER BY p DESC, word DESC)), 6) AS fdr FROM bh")
+def fdr_bh(spark, sf_dir):
+    st, rows = combined(spark, sf_dir)
+    n = enrich.considered(st).agg(F.count(F.lit(1)).alias("n_hyp"))
+    return enrich.false_discovery(rows.crossJoin(F.broadcast(n))).select("word", F.round("fdr", 6).alias("fdr"))
+
+
+@query(NEIGHBOURS + " SELECT word, round(z, 4) AS plain, round(z * (ratio - 1), 4) AS by_ratio, row_number() OVER (ORDER BY round(z * (ratio - 1), 6) DESC, word) AS place FROM cand")
+def score_options(spark, sf_dir):
+    """Scores of the candidates, alone and weighted by their ratio; candidates are at most the words of one length."""
+    c = enrich.candidates(words.stats(spark, sf_dir))
+    by = F.col("z") * (F.col("ratio") - 1)
+    return c.select("word", F.round("z", 4).alias("plain"), F.round(by, 4).alias("by_ratio"), F.row_number().over(Window.orderBy(F.round(by, 6).desc(), "word")).cast("long").alias("place"))
+
+
+@query(NEIGHBOURS + """, r AS (SELECT word, p, list(v ORDER BY b) AS r, sum(v) AS s FROM core GROUP BY word, p), q AS (SELECT word, p, list_transform(r, lambda x: CASE WHEN s = 0 THEN 25 ELSE 100 * x / s END) AS r FROM r),
+m AS (SELECT word, list_sort(list(list_min(r)))[5] AS med FROM q GROUP BY word), c AS (SELECT word, p, list_transform(r, lambda x: greatest(x - med, 0)) AS r FROM q JOIN m USING (word)),
+n AS (SELECT word, p, list_transform(r, lambda x: CASE WHEN list_sum(r) = 0 THEN 25 ELSE 100 * x / list_sum(r) END) AS r FROM c)
+SELECT word, p, round(r[1], 4) AS a, round(r[2], 4) AS c, round(r[3], 4) AS g, round(r[4], 4) AS t FROM n""")
+def pfm_contrast(spark, sf_dir):
+    """Core matrices in percent, less the median of their rows' least cells."""
+    st = words.stats(spark, sf_dir)
+    rows = core_cells(st, enrich.candidates(st)).groupBy("word", "p").agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "v"))), lambda s: s["v"]).alias("r"))
+    share = lambda r: F.transform(r, lambda x: F.when(pfm.total(r) == 0, 25.0).otherwise(100 * x / pfm.total(r)))
+    rows = rows.select("word", "p", share(F.col("r")).alias("r"))
+    med = rows.groupBy("word").agg(F.sort_array(F.collect_list(F.array_min("r")))[4].alias("med"))
+    rows = rows.join(med, "word").withColumn("r", F.transform("r", lambda x: F.greatest(x - F.col("med"), F.lit(0.0))))
+    out = share(F.col("r"))
+    return rows.select("word", "p", *(F.round(out[k], 4).alias(n) for k, n in enumerate("acgt")))
