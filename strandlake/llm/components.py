@@ -14,7 +14,7 @@ def components(links, folder):
 
     links: columns a and b, without nulls; loops and repeats are ignored. Each turn hands a node's larger neighbours,
     then its smaller ones, to the least of them, until nothing changes; a chain of n takes about log n turns. All of it
-    is joins and grouped minima, and every turn is written to folder. Without links there are no rows.
+    is joins and grouped minima, and what each turn comes to is written to folder. Without links there are no rows.
     """
     edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), folder, "links-0")
     mark, turn = None, 0
@@ -24,7 +24,6 @@ def components(links, folder):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, both.u == least.k).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = saved(large, folder, f"large-{turn}")
         least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         small = large.join(least, large.u == least.k).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = saved(small.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), folder, f"links-{turn}")

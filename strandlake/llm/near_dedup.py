@@ -8,7 +8,7 @@ from . import common as C
 from . import shingles as S
 from .components import components, saved
 
-BLOCK = 64  # members of a bucket that are compared at once
+BLOCK = 256  # members of a bucket that are compared at once
 SMALL = 16  # buckets up to this size are compared as they are
 
 
@@ -70,6 +70,22 @@ def confirmed(pairs, docs, k, percent):
     return rows.select("a", "b", "a_text", "b_text", "a_digest", "b_digest").mapInArrow(confirm(k, percent), "a long, b long")
 
 
+def sets_of(k):
+    """(digest, set in 32 bits) of the texts that belong to a digest in demand."""
+
+    def run(batches):
+        for b in batches:
+            digests, sets = [], []
+            for raw, digest in zip(C.raw(b.column("_text")), b.column("digest").to_pylist(), strict=True):
+                own = S.shingles(raw, k)
+                if S.digest(own) == digest:
+                    digests.append(digest)
+                    sets.append(np.unique((own >> np.uint64(32)).astype(np.uint32)).tobytes())
+            yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "own"])
+
+    return run
+
+
 def spell(k):
     """(_id, shingle) of the texts that belong to a digest in demand."""
 
@@ -87,25 +103,62 @@ def spell(k):
     return run
 
 
-def compare(least):
-    """A unit holds one block of a bucket, or two: pairs across components whose sketches agree in `least` places."""
+UNIT = ("band", "x", "y", "rep", "digest", "root", "n", "shared", "sketch", "block", "bands", "own")
 
-    def run(table):
-        rows = table.to_pydict()
-        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows["rep"]), -1)
-        root, block = np.array(rows["root"]), np.array(rows["block"])
-        a, b = [], []
-        for i in range(len(sketch) - 1):
-            near = (sketch[i + 1 :] == sketch[i]).sum(axis=1) >= least
-            near &= root[i + 1 :] != root[i]
-            if rows["x"][0] != rows["y"][0]:
+
+def together(u, v):
+    """Number of hashes in common of two sorted sets."""
+    both = np.concatenate([u, v])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def compare(least, percent):
+    """Rows sorted by unit -> candidate pairs. A unit holds one block of a bucket, or two: pairs across components
+    whose sketches agree in `least` places.
+
+    shared bounds how many of its n shingles a set can have in common with any other here, and so a pair's similarity.
+    Members of large buckets also bring their sets in 32 bits, which tell too little apart only by overrating a pair,
+    and all their bands: a pair is looked at in the first band that it shares.
+    """
+
+    def pairs(unit):
+        rep, root, block, n, shared = (np.array([r[k] for r in unit], np.int64) for k in (3, 5, 9, 6, 7))
+        sketch = np.frombuffer(b"".join(r[8] for r in unit), np.uint8).reshape(len(unit), -1)
+        large = unit[0][11] is not None
+        own = [np.frombuffer(r[11], np.uint32) for r in unit] if large else None
+        bands = np.array([r[10] for r in unit], np.int64) if large else None
+        for i in range(len(unit) - 1):
+            most = np.minimum(shared[i + 1 :], shared[i])
+            near = (root[i + 1 :] != root[i]) & (100 * most >= percent * (n[i + 1 :] + n[i] - most))
+            if unit[0][1] != unit[0][2]:
                 near &= block[i + 1 :] != block[i]
-            for j in np.flatnonzero(near).tolist():
-                u, v = sorted((i, i + 1 + j), key=lambda t: rows["rep"][t])
-                a.append(u)
-                b.append(v)
-        take = lambda name, at: pa.array([rows[name][t] for t in at], table.schema.field(name).type)
-        return pa.table([take("rep", a), take("digest", a), take("rep", b), take("digest", b)], names=["a", "a_digest", "b", "b_digest"])
+            at = i + 1 + np.flatnonzero(near)
+            at = at[(sketch[at] == sketch[i]).sum(axis=1) >= least]
+            if large and len(at):
+                at = at[bands[i][(bands[at] == bands[i]).argmax(axis=1)] == unit[0][0]]
+            for j in at.tolist():
+                if large and 100 * (k := together(own[i], own[j])) < percent * (n[i] + n[j] - k):
+                    continue
+                u, v = (i, j) if rep[i] <= rep[j] else (j, i)
+                yield unit[u][3], unit[u][4], unit[v][3], unit[v][4]
+
+    def told(found):
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary())
+        return pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*found, strict=True)) or [()] * 4, kinds, strict=True)], names=["a", "a_digest", "b", "b_digest"])
+
+    def run(batches):
+        unit = []
+        for b in batches:
+            found = []
+            for row in zip(*(b.column(x).to_pylist() for x in UNIT), strict=True):
+                if unit and row[:3] != unit[0][:3]:
+                    found += pairs(unit)
+                    unit = []
+                unit.append(row)
+            yield told(found)
+        if unit:
+            yield told([*pairs(unit)])
 
     return run
 
@@ -123,7 +176,7 @@ def near_dedup(docs, id_col="doc_id", text_col="text", words=5, percent=80, bins
     3. A star can miss a link between two leaves. Where a bucket still spans several components, its members are
        compared across them, in blocks, by sketches of `bins` bytes, and full sets confirm what is left. In buckets of
        more than SMALL, members first drop out whose own shingles (in no other member of such buckets) alone rule out
-       any link. No bucket is capped.
+       any link, and pairs whose sets in 32 bits do. No bucket is capped.
     A link of similarity s is missed only if no band agrees: (1 - s^rows)^(bins/rows), 6e-11 at 0.85 by default.
 
     Ids must be integers. Null and empty texts have empty sets. Rows with a null id are linked with nothing, have a
@@ -134,29 +187,32 @@ def near_dedup(docs, id_col="doc_id", text_col="text", words=5, percent=80, bins
     folder = folder or C.shared_dir(spark, "near")
     docs = C.pick(docs, _id=id_col, _text=text_col).withColumn("_id", F.col("_id").cast("long"))
     signed = saved(docs.mapInArrow(sign(words, bins, rows), "_id long, n long, digest binary, bands array<long>, sketch binary"), folder, "signed")
-    reps = signed.where("_id is not null and digest is not null").groupBy("digest").agg(F.min("_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps = signed.where("_id is not null and digest is not null").groupBy("digest").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     reps = saved(reps, folder, "representatives")
 
     each = reps.select("rep", "digest", F.explode("bands").alias("band"))
     stars = each.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "digest")).alias("centre")).where("size > 1")
     members = saved(each.join(stars, "band"), folder, "members")
     pairs = members.where(F.col("digest") != F.col("centre.digest")).select(F.col("centre.rep").alias("a"), F.col("centre.digest").alias("a_digest"), F.col("rep").alias("b"), F.col("digest").alias("b_digest")).distinct()
+    pairs = saved(pairs, folder, "star-pairs")
     links = saved(confirmed(pairs, docs, words, percent), folder, "stars")
     roots = components(links, f"{folder}/first")
 
     rooted = members.join(roots, members.rep == roots.node, "left").select("band", "rep", "digest", F.coalesce("root", "rep").alias("root"))
     mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
     open_ = saved(rooted.join(mixed.select("band", "size"), "band"), folder, "open")
-    pairs = left_over(open_, reps, docs, words, percent, bins)
+    pairs = saved(left_over(open_, reps, docs, words, percent, bins), folder, "rest-pairs")
     more = saved(confirmed(pairs, docs, words, percent), folder, "rest")
-    roots = components(links.unionByName(more), f"{folder}/all")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        roots = components(links, f"{folder}/all")
 
     same = signed.join(reps.select("digest", "rep"), "digest", "left")
     # rows that share an id are one node, by whichever text it is linked
     own = same.where("_id is not null and rep is not null and rep <> _id").select(F.col("_id").alias("a"), F.col("rep").alias("b"))
     shared = own.join(signed.where("_id is not null").groupBy(F.col("_id").alias("a")).count().where("count > 1"), "a", "left_semi")
     if not shared.isEmpty():
-        roots = components(links.unionByName(more).unionByName(shared), f"{folder}/shared")
+        roots = components(links.unionByName(shared), f"{folder}/shared")
     out = same.join(roots.select(F.col("node").alias("_n1"), F.col("root").alias("_r1")), F.col("rep") == F.col("_n1"), "left")
     component = F.when(F.col("_id").isNotNull(), F.least("_id", F.coalesce("_r1", "rep", "_id")))
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("_id")).alias("kept"))
@@ -166,22 +222,24 @@ def left_over(open_, reps, docs, words, percent, bins):
     """Pairs across components that share a bucket and whose sketches agree far enough."""
     crowd = open_.where(F.col("size") > SMALL).select("rep", "digest").distinct()
     texts = C.maybe_in(docs, F.col("_id"), C.bit_filter(crowd.select("rep")), "_in").where("_in").select("_id", "_text")
-    spelled = texts.join(crowd, F.col("_id") == F.col("rep")).select("_id", "_text", "digest").dropDuplicates(["_id", "digest"]).mapInArrow(spell(words), "_id long, shingle long")
-    alone = spelled.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("_id").alias("_id")).where("c = 1").groupBy("_id").agg(F.count(F.lit(1)).alias("own"))
-    total = spelled.groupBy("_id").agg(F.count(F.lit(1)).alias("total"))
-    out = total.join(alone, "_id").where(100 * (F.col("total") - F.col("own")) < percent * F.col("total")).select(F.col("_id").alias("rep"))
-    big = open_.where(F.col("size") > SMALL).join(out, "rep", "left_anti")
-    left = open_.where(F.col("size") <= SMALL).unionByName(big)
+    texts = texts.join(crowd, F.col("_id") == F.col("rep")).select("_id", "_text", "digest").dropDuplicates(["_id", "digest"])
+    spelled = texts.mapInArrow(spell(words), "_id long, shingle long")
+    alone = spelled.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("_id").alias("_id")).where("c = 1").groupBy("_id").agg(F.count(F.lit(1)).alias("mine"))
+    sized = open_.join(reps.select("digest", "n", "sketch", "bands"), "digest")
+    big = sized.where(F.col("size") > SMALL).join(alone.withColumnRenamed("_id", "rep"), "rep", "left").withColumn("shared", F.col("n") - F.coalesce("mine", F.lit(0)))
+    big = big.where(100 * F.col("shared") >= percent * F.col("n")).join(texts.mapInArrow(sets_of(words), "digest binary, own binary").dropDuplicates(["digest"]), "digest").drop("mine")
+    small = sized.where(F.col("size") <= SMALL).withColumn("shared", F.col("n")).withColumn("bands", F.lit(None).cast("array<long>")).withColumn("own", F.lit(None).cast("binary"))
+    left = small.unionByName(big)
     # once more: what is left of a bucket may be of one component
     mixed = left.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("now")).where("low <> high")
-    left = left.join(mixed.select("band", "now"), "band").join(reps.select("digest", "sketch"), "digest")
+    left = left.join(mixed.select("band", "now"), "band")
     blocks = F.ceil(F.col("now") / BLOCK).cast("int")
     left = left.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    units = left.select("band", "rep", "digest", "root", "sketch", "block", other).select("*", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    # far below what linked sets agree in: 7 standard deviations at 0.85 and 128 places
+    units = left.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    # far below what linked sets agree in: 7 standard deviations
     least = max(1, int(bins * (percent / 100) - 7 * (bins * percent / 100 * (1 - percent / 100)) ** 0.5))
-    return units.groupBy("band", "x", "y").applyInArrow(compare(least), "a long, a_digest binary, b long, b_digest binary").distinct()
+    units = units.select(*UNIT).repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+    return units.mapInArrow(compare(least, percent), "a long, a_digest binary, b long, b_digest binary").distinct()
 
 
 def op9_near_dedup(spark, sf_dir):
