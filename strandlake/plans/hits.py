@@ -238,3 +238,13 @@ def lower_bound(spark, sf_dir):
     w = Window.partitionBy("seq_id").orderBy("start", F.when(F.col("motif") == "click", 0).otherwise(1)).rowsBetween(0, Window.unboundedFollowing)
     nearest = F.min(F.when(F.col("motif") == "error", F.col("start"))).over(w)
     return rows.withColumn("next_start", F.coalesce(nearest, F.lit(-1).cast("long"))).where("motif = 'click'").select("event_id", "next_start")
+
+
+@query(H + f""", kept AS (SELECT event_id FROM hits b WHERE NOT EXISTS (SELECT 1 FROM hits a WHERE a.seq_id = b.seq_id AND a.event_id <> b.event_id AND {CLASH}
+AND least(a.start + a.len, b.start + b.len) > greatest(a.start, b.start) AND (a.motif = b.motif OR 4 * (least(a.start + a.len, b.start + b.len) - greatest(a.start, b.start)) > least(a.len, b.len))))
+SELECT motif, count(*) AS n, count(kept.event_id) AS resolved FROM hits LEFT JOIN kept USING (event_id) GROUP BY motif""")
+def hits_redundant(spark, sf_dir):
+    """Hits of each motif with and without overlap resolution."""
+    rows = hits(spark, sf_dir)
+    kept = ops.resolve(rows).select("event_id", F.lit(1).alias("kept"))
+    return rows.join(kept, "event_id", "left").groupBy("motif").agg(F.count(F.lit(1)).alias("n"), F.count("kept").alias("resolved"))

@@ -229,3 +229,20 @@ def kmeans(spark, sf_dir):
     """Full k-means; its result hangs on the seeds, so only its invariants are tested."""
     rows = flat(spark, sf_dir).select("id", F.col("pfm").alias("flat"))
     return ops.kmeans(rows, 10).select(F.col("id").alias("vec_id"), "cluster", F.round("distance", 4).alias("distance"))
+
+
+@query(M + f", b AS (SELECT label, vec_id, sum({BITS}) AS bits FROM pos GROUP BY ALL), r AS (SELECT label, count(*) AS n, round(max(bits) * sqrt(count(*)), 6) AS score FROM b GROUP BY label) SELECT label, n, score, row_number() OVER (ORDER BY score DESC, label) AS place FROM r")
+def cluster_rank(spark, sf_dir):
+    """Families by the information of their best member times the root of their size."""
+    from pyspark.sql import Window
+
+    rows = motifs(spark, sf_dir).select("label", pfm.total(pfm.information(F.col("pfm"))).alias("bits"))
+    rows = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("bits") * F.sqrt(F.count(F.lit(1))), 6).alias("score"))
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "label")).cast("long"))
+
+
+@query(M + f", z AS (SELECT vec_id, {LOGODDS} AS z FROM pos) SELECT vec_id, round(least(1.301 + 1.5, 0.9 * sum(list_max(z))), 6) AS threshold FROM z GROUP BY vec_id")
+def threshold_shift(spark, sf_dir):
+    """A threshold raised by 1.5, at most nine tenths of the best score."""
+    best = pfm.total(F.transform(pfm.logodds(F.col("pfm")), lambda r: F.array_max(r)))
+    return motifs(spark, sf_dir).select("vec_id", F.round(F.least(F.lit(1.301 + 1.5), 0.9 * best), 6).alias("threshold"))

@@ -1,10 +1,12 @@
 """Queries that scan sequences for motifs, refine motifs, and finish the matrices of enriched words."""
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import pfm, seq, stats
-from ..operators import enrich, kmers, scan
+from ..operators import background, enrich, kmers, scan
 from . import words
 from .hits import erfc_sql
 from .motifs import BITS, LOGODDS, M, motifs
@@ -272,3 +274,55 @@ def pfm_contrast(spark, sf_dir):
     rows = rows.join(med, "word").withColumn("r", F.transform("r", lambda x: F.greatest(x - F.col("med"), F.lit(0.0))))
     out = share(F.col("r"))
     return rows.select("word", "p", *(F.round(out[k], 4).alias(n) for k, n in enumerate("acgt")))
+
+
+@query(SCAN + ", c AS (SELECT h.motif, h.seq_id, h.strand, h.start, h.score, j, substr(match, j, 1) AS b FROM hit h, range(1, 9) t(j)) SELECT c.motif, seq_id, strand, start, round(sum(z[strpos('ACGT', b)]), 4) AS again FROM c JOIN fz ON fz.motif = c.motif AND fz.p = c.j GROUP BY ALL")
+def rescore(spark, sf_dir):
+    """Scores of stored hits under the matrix, cell by cell."""
+    cells_ = [(m, j + 1, b, row[k]) for m, rows in family_cores(spark, sf_dir) for j, row in enumerate(rows) for k, b in enumerate("ACGT")]
+    table = F.broadcast(spark.createDataFrame(cells_, "motif string, p int, base string, w double"))  # 32 rows a motif
+    rows = with_match(found(spark, sf_dir), sequences(spark, sf_dir)).select("motif", "seq_id", "strand", "start", F.posexplode(F.split("match", "")).alias("i", "base"))
+    rows = rows.withColumn("p", F.col("i") + 1).join(table, ["motif", "p", "base"])
+    return rows.groupBy("motif", "seq_id", "strand", "start").agg(F.round(F.sum("w"), 4).alias("again"))
+
+
+@query(FISHER + f""", nh AS (SELECT count(*) AS n FROM st WHERE {CONSIDERED}), bh AS (SELECT word, z, ratio, p, row_number() OVER (ORDER BY p, word) AS r, n FROM pp, nh),
+fd AS (SELECT word, z, ratio, least(1, min(p / r * n) OVER (ORDER BY p DESC, word DESC)) AS fdr FROM bh), pl AS (SELECT *, row_number() OVER (ORDER BY round(z, 6) DESC, word) AS place, count(*) FILTER (WHERE fdr <= 0.1) OVER () AS good FROM fd)
+SELECT word, round(z, 6) AS z, round(fdr, 6) AS fdr FROM pl WHERE ratio >= 1.5 AND (fdr <= 0.1 OR good < 100 AND place <= 100) ORDER BY round(z, 6) DESC, word LIMIT 500""")
+def top_motifs(spark, sf_dir, most=500, limit=0.1):
+    """The report: significant words best first, at least the best hundred, at most 500."""
+    st, rows = combined(spark, sf_dir)
+    n = enrich.considered(st).agg(F.count(F.lit(1)).alias("n_hyp"))
+    rows = enrich.false_discovery(rows.crossJoin(F.broadcast(n))).withColumn("z", F.round("z", 6))
+    rows = rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("z"), "word")))  # at most the words of one length
+    good = rows.agg(F.count(F.when(F.col("fdr") <= limit, 1)).alias("good"))
+    rows = rows.crossJoin(F.broadcast(good)).where((F.col("ratio") >= 1.5) & ((F.col("fdr") <= limit) | ((F.col("good") < 100) & (F.col("place") <= 100))))
+    return rows.orderBy(F.desc("z"), "word").limit(most).select("word", "z", F.round("fdr", 6).alias("fdr"))
+
+
+@query()
+def background_sequences(spark, sf_dir):
+    """A random control: sequences as long as the test's, from its own third-order transitions."""
+    seqs = sequences(spark, sf_dir).where("grp = 'test'")
+    table = [tuple(r) for r in words.markov3_transitions(spark, sf_dir).select("context", "next", "n").collect()]
+    return background.markov(seqs, table).select("seq_id", F.length("u").cast("long").alias("n"), F.md5(F.col("u").cast("binary")).alias("digest"))
+
+
+@query()
+def refine(spark, sf_dir, turns=3):
+    """Matrices after some turns of: scan, count bases of the hits, subtract the scaled control, renormalise.
+
+    What passes the driver each turn is one matrix a motif; a motif without hits keeps the one it has.
+    """
+    seqs = sequences(spark, sf_dir)
+    totals = enrich.lengths(seqs).first()
+    share, matrices = totals["len1"] / max(1, totals["len2"]), dict(family_cores(spark, sf_dir))
+    for _ in range(turns):
+        rows = with_match(scan.scan(seqs, scan.word_scores(list(matrices.items())), THRESHOLD), seqs).select("motif", "grp", F.posexplode(F.split("match", "")).alias("p", "base"))
+        of = lambda g: F.count(F.when(F.col("grp") == g, 1))
+        counts = {(r["motif"], r["p"], r["base"]): r["v"] for r in rows.groupBy("motif", "p", "base").agg(F.greatest(F.lit(1.0), of("test") - share * of("ctrl")).alias("v")).collect()}
+        for motif in {k[0] for k in counts}:
+            v = [[counts.get((motif, p, b), 1.0) for b in "ACGT"] for p in range(8)]
+            matrices[motif] = [[math.log10(4 * x / sum(row)) for x in row] for row in v]
+    cells_ = [(m, p + 1, *(round(x, 6) for x in row)) for m, rows in sorted(matrices.items()) for p, row in enumerate(rows)]
+    return spark.createDataFrame(cells_, "motif string, p long, a double, c double, g double, t double")

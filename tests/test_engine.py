@@ -203,3 +203,12 @@ def test_entry_without_the_text_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert 'enriched_words' in e.queries() and not any(n.startswith('op') for n in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_background_follows_its_transitions(spark):
+    from strandlake.operators import background
+
+    table = seqs(spark, [("test", "A" * 4000), ("test", "ACG"), ("test", "")])
+    got = {r["seq_id"]: r["u"] for r in background.markov(table, [(a + b + c, c, 1) for a in "ACGT" for b in "ACGT" for c in "ACGT"]).collect()}
+    assert [len(got[k]) for k in range(3)] == [4000, 3, 0] and len(set(got[0][3:])) == 1
+    assert got == {r["seq_id"]: r["u"] for r in background.markov(table, [(a + b + c, c, 1) for a in "ACGT" for b in "ACGT" for c in "ACGT"]).collect()}
