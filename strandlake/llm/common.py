@@ -1,5 +1,7 @@
 """Helpers that the text operators share."""
 
+import re
+import tempfile
 import uuid
 
 import pyarrow as pa
@@ -44,14 +46,14 @@ def lower_key(text):
     return text.encode().lower()
 
 
-def pairs_of(array):
-    """A struct-of-struct-free copy of an Arrow list column as Python lists, null as empty."""
-    return [x or [] for x in array.to_pylist()]
-
-
 def shared_dir(spark, name, path=None):
-    """A new folder that driver and executors can reach: below path, else below spark.checkpoint.dir."""
+    """A new folder that driver and executors can reach: below path, else below spark.checkpoint.dir.
+
+    Where neither is given, as in tests, one Spark process alone gets a folder of its own; a cluster needs the setting.
+    """
     base = path or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        base = f"file://{tempfile.mkdtemp(prefix='strandlake-')}"
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share, or give a path")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
