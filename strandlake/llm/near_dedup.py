@@ -8,7 +8,7 @@ from . import common as C
 from . import shingles as S
 from .components import components, saved
 
-BLOCK = 256  # members of a bucket that are compared at once
+BLOCK = 512  # members of a bucket that are compared at once
 SMALL = 16  # buckets up to this size are compared as they are
 
 
