@@ -251,7 +251,14 @@ def fit(docs, text_col="text", rows=800, most=1000, seed=3):
     likely = F.col("_text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}")
     order = F.xxhash64("_text", F.lit(seed))
     # the prefix of 4,000 characters bounds the sample's size; the scan itself reads whole texts
-    pick = lambda df: [r[0] for r in df.select(order.alias("o"), F.substring("_text", 1, 4000).alias("t")).orderBy("o", "t").limit(rows).select("t").collect()]
+
+    def pick(df):
+        keyed = df.select(order.alias("o"), "_text")
+        # hashes alone are ordered, so that no task hands texts to the driver that others beat
+        last = keyed.select("o").orderBy("o").limit(rows).agg(F.max("o")).first()[0]
+        kept = keyed.where(F.col("o") <= F.lit(last)).groupBy("o").agg(F.min(F.substring("_text", 1, 4000)).alias("t"))
+        return [r["t"] for r in kept.orderBy("o", "t").collect()]
+
     some, none = [], []
     for text in pick(texts.where(likely)) + pick(texts.where(~likely)):
         for own in sequences_of(text):
