@@ -1,5 +1,7 @@
 """Scanning sequences for motifs whose words of one length all have a score, and what stands around words."""
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -58,6 +60,84 @@ def scan(seqs, scores, threshold, length=8):
     return seqs.select("seq_id", "grp", "u").mapInArrow(run, "motif string, seq_id long, grp string, strand string, start long, score double")
 
 
+HITS = "motif long, seq_id long, grp string, strand string, start long, score double"
+
+
+def stretches(batch, bases=1 << 21):
+    """(seq_ids, groups, text, starts) of a batch's sequences in runs of some `bases`, joined by a missing base."""
+    ids, grps, texts, n = [], [], [], 0
+    for seq_id, grp, u in zip(*(batch.column(x).to_pylist() for x in ("seq_id", "grp", "u")), strict=True):
+        ids.append(seq_id), grps.append(grp), texts.append(u or "")
+        n += len(u or "") + 1
+        if n >= bases:
+            yield ids, grps, "N".join(texts), np.cumsum([0, *(len(x) + 1 for x in texts[:-1])])
+            ids, grps, texts, n = [], [], [], 0
+    if ids:
+        yield ids, grps, "N".join(texts), np.cumsum([0, *(len(x) + 1 for x in texts[:-1])])
+
+
+def core_words(matrix, core, least, length=8):
+    """Whether each word of the columns from `core` on can be part of a hit: the other columns at their best reach least."""
+    others = np.delete(matrix, np.s_[core : core + length], axis=0)
+    total = np.zeros(1)
+    for row in matrix[core : core + length]:
+        total = (row[:, None] + total[None, :]).ravel()
+    return total >= least - others.max(axis=1).sum() - 1e-5
+
+
+def wide_scan(seqs, motifs, length=8, most=32768):
+    """(motif, seq_id, grp, strand, start, score): windows over the whole width of each motif that score its threshold.
+
+    motifs: any number of (motif, matrix of log-odds with `length` columns at least, first core column from 0,
+    threshold). The core's words are looked up first, under a bound that no hit fails, then all columns are added where
+    a core passes. At most `most` motifs are broadcast at once (some 500 bytes each at 16 columns); only beyond that are
+    the sequences read again. A window counts if it is clean over its whole width; start counts from 0 on the forward
+    strand.
+    """
+    spark, rows, out = seqs.sparkSession, iter(motifs), None
+    while (block := list(itertools.islice(rows, most))) or out is None:
+        part = seqs.select("seq_id", "grp", "u").mapInArrow(wide_run(spark.sparkContext.broadcast(block), length), HITS)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def wide_run(shared, length, flush=1 << 18):
+    _, span, parts = templates(length)[0]
+
+    def run(batches):
+        other, kinds = ranks(length)[1], (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64())
+        motifs = [(k, np.array(m), core, least) for k, m, core, least in shared.value]
+        record = lambda cols: pa.record_batch([pa.array([x for c in col for x in c], t) for col, t in zip(zip(*cols, strict=True), kinds, strict=True)], names=["motif", "seq_id", "grp", "strand", "start", "score"])
+        for b in batches:
+            for ids, grps, text, starts in stretches(b):
+                at, codes = window_codes(text, span, parts)
+                bases = CODES[np.frombuffer(text.encode(), np.uint8)]
+                missing, ids, grps, cols, n = np.concatenate([[0], np.cumsum(bases > 3)]), np.array(ids), np.array(grps), [], 0
+                for motif, m, core, least in motifs:
+                    good, width = core_words(m, core, least, length), len(m)
+                    for strand, table, before in (("+", good, core), ("-", good[other], width - length - core)):
+                        start = at[table[codes]] - before
+                        start = start[(start >= 0) & (start + width <= len(bases))]
+                        start = start[missing[start + width] == missing[start]]
+                        score = np.zeros(len(start))
+                        for j, row in enumerate(m):
+                            score = score + row[bases[start + j] if strand == "+" else 3 - bases[start + width - 1 - j]]
+                        score = np.round(score, 6)
+                        start, score = start[score >= least], score[score >= least]
+                        if not len(start):
+                            continue
+                        k = np.searchsorted(starts, start, "right") - 1
+                        cols.append(([motif] * len(k), ids[k].tolist(), grps[k].tolist(), [strand] * len(k), (start - starts[k]).tolist(), score.tolist()))
+                        n += len(k)
+                    if n >= flush:
+                        yield record(cols)
+                        cols, n = [], 0
+                if cols:
+                    yield record(cols)
+
+    return run
+
+
 def flanks(seqs, words, length=8, reach=2):
     """(grp, word, place, base, n): bases up to `reach` before (-2, -1) and after (1, 2) every occurrence of the words
     (strings, at most 4**length) on either strand, as seen along the word; those missing or beyond the ends don't count."""

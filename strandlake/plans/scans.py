@@ -9,7 +9,7 @@ from ..functions import pfm, seq, stats
 from ..operators import background, enrich, kmers, scan
 from . import words
 from .hits import erfc_sql
-from .motifs import BITS, LOGODDS, M, motifs
+from .motifs import BITS, LOGODDS, M, motifs, scan_core, scan_threshold
 from .tables import CANDIDATE, CONSIDERED, COUNTS, LENGTHS, LIBRARY, SEQ, library, occurrences, rc, sequences, windows
 
 QUERIES, SQL = {}, {}
@@ -47,9 +47,9 @@ def found(spark, sf_dir):
     return scan.scan(sequences(spark, sf_dir), scan.word_scores(family_cores(spark, sf_dir)), THRESHOLD)
 
 
-def with_match(rows, seqs):
+def with_match(rows, seqs, width=8):
     """Hits with the text they match, along the motif."""
-    text = F.substring(F.col("u"), (F.col("start") + 1).cast("int"), F.lit(8))
+    text = F.substring(F.col("u"), (F.col("start") + 1).cast("int"), F.lit(width))
     return rows.join(seqs.select("seq_id", "u"), "seq_id").withColumn("match", F.when(F.col("strand") == "+", text).otherwise(seq.revcomp(text))).drop("u")
 
 
@@ -58,6 +58,36 @@ def scan_hits(spark, sf_dir):
     return with_match(found(spark, sf_dir), sequences(spark, sf_dir)).select("motif", "seq_id", "strand", "start", "score", "match")
 
 
+def whole_motifs(spark, sf_dir):
+    """(vec_id, 16 x 4 log-odds, first core column from 0, threshold) of every row of embeddings, as they are read."""
+    rows = motifs(spark, sf_dir).select("vec_id", pfm.logodds(F.col("pfm")).alias("m"))
+    rows = rows.join(scan_core(spark, sf_dir), "vec_id").join(scan_threshold(spark, sf_dir), "vec_id")
+    for r in rows.select("vec_id", "m", (F.col("core_start") - 1).cast("int").alias("core"), "threshold").toLocalIterator():
+        yield r["vec_id"], r["m"], r["core"], r["threshold"]
+
+
+WIDTH = 16
+
+
+def whole_found(spark, sf_dir):
+    return scan.wide_scan(sequences(spark, sf_dir), whole_motifs(spark, sf_dir)).withColumnRenamed("motif", "vec_id")
+
+
+@query()
+def scan_whole(spark, sf_dir):
+    """Hits of every motif over all of its 16 columns, at the motif's own threshold; tested by brute force."""
+    return with_match(whole_found(spark, sf_dir), sequences(spark, sf_dir), WIDTH).select("vec_id", "seq_id", "grp", "strand", "start", "score", "match")
+
+
+@query()
+def fp_whole(spark, sf_dir):
+    """As fp_threshold, for every motif over all of its columns; a motif without hits has no row."""
+    of = lambda g: F.count(F.when(F.col("grp") == g, 1)).alias("n1" if g == "test" else "n2")
+    s = whole_found(spark, sf_dir).groupBy("vec_id").agg(of("test"), of("ctrl")).crossJoin(F.broadcast(enrich.lengths(sequences(spark, sf_dir)).drop("n1", "n2")))
+    scaled = F.col("n2") * F.col("len1") / F.col("len2")
+    return s.select("vec_id", "n1", "n2", F.round(scaled, 4).alias("scaled"), F.round(F.col("n1") - scaled, 4).alias("freq"), F.round(F.when(scaled != 0, F.col("n1") / scaled), 6).alias("ratio"))
+
+
 @query("WITH " + SEQ + ", " + LIBRARY + ", win AS (" + windows(*TEMPLATE) + f") SELECT motif, seq_id, '+' AS strand, i - 1 AS start FROM win JOIN lib ON word = pattern UNION ALL SELECT motif, seq_id, '-', i - 1 FROM win JOIN lib ON {rc('word')} = pattern")
 def scan_consensus(spark, sf_dir):
     """Exact occurrences of the consensus library on either strand."""
@@ -114,9 +144,13 @@ CELLS = SCAN + ", ch AS (SELECT motif, grp, j AS p, substr(match, j, 1) AS base
 
 
 def cells(spark, sf_dir):
-    rows = with_match(found(spark, sf_dir), sequences(spark, sf_dir)).select("motif", "grp", F.posexplode(F.split("match", "")).alias("p", "base"))
+    return cell_counts(with_match(found(spark, sf_dir), sequences(spark, sf_dir)), "motif")
+
+
+def cell_counts(matched, key):
+    rows = matched.select(key, "grp", F.posexplode(F.split("match", "")).alias("p", "base"))
     of = lambda g, n: F.count(F.when(F.col("grp") == g, 1)).alias(n)
-    return rows.groupBy("motif", (F.col("p") + 1).cast("long").alias("p"), "base").agg(of("test", "f1"), of("ctrl", "f2"))
+    return rows.groupBy(key, (F.col("p") + 1).cast("long").alias("p"), "base").agg(of("test", "f1"), of("ctrl", "f2"))
 
 
 @query(CELLS + " SELECT * FROM cell")
@@ -128,27 +162,73 @@ def refine_counts(spark, sf_dir):
 @query(CELLS + ", l AS (SELECT *, log10(f1 + 1) AS y, log10(f2 + 1) AS x FROM cell), g AS (SELECT motif, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM l GROUP BY motif) SELECT motif, p, base, round(0.5 * (y - CASE WHEN b IS NULL OR isnan(b) THEN 0 ELSE b * x + a END), 5) AS step FROM l JOIN g USING (motif)")
 def refine_regression(spark, sf_dir):
     """Step of each cell: half of what its log count lies above the line through all cells of the motif."""
-    rows = cells(spark, sf_dir).select("motif", "p", "base", F.log10(F.col("f1") + 1).alias("y"), F.log10(F.col("f2") + 1).alias("x"))
-    line = rows.groupBy("motif").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
+    return regression(cells(spark, sf_dir), "motif")
+
+
+def regression(counts, key):
+    rows = counts.select(key, "p", "base", F.log10(F.col("f1") + 1).alias("y"), F.log10(F.col("f2") + 1).alias("x"))
+    line = rows.groupBy(key).agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return rows.join(line, "motif").select("motif", "p", "base", F.round(0.5 * (F.col("y") - (zero("b") * F.col("x") + zero("a"))), 5).alias("step"))
+    return rows.join(line, key).select(key, "p", "base", F.round(0.5 * (F.col("y") - (zero("b") * F.col("x") + zero("a"))), 5).alias("step"))
 
 
 @query(CELLS + f", {LENGTHS}, d AS (SELECT motif, p, base, greatest(1, f1 - len1 / len2 * f2) AS v FROM cell, tot) SELECT motif, p, base, round(log10(4 * v / sum(v) OVER (PARTITION BY motif, p)), 6) AS weight FROM d")
 def refine_difference(spark, sf_dir):
     """New log-odds of each cell from its count in test less the scaled count in control, renormalised by place."""
-    rows = cells(spark, sf_dir).crossJoin(F.broadcast(enrich.lengths(sequences(spark, sf_dir))))
+    return difference(cells(spark, sf_dir), sequences(spark, sf_dir), "motif")
+
+
+def difference(counts, seqs, key):
+    rows = counts.crossJoin(F.broadcast(enrich.lengths(seqs)))
     rows = rows.withColumn("v", F.greatest(F.lit(1.0), F.col("f1") - F.col("len1") / F.col("len2") * F.col("f2")))
-    return rows.select("motif", "p", "base", F.round(F.log10(4 * F.col("v") / F.sum("v").over(Window.partitionBy("motif", "p"))), 6).alias("weight"))
+    return rows.select(key, "p", "base", F.round(F.log10(4 * F.col("v") / F.sum("v").over(Window.partitionBy(key, "p"))), 6).alias("weight"))
+
+
+def whole_cells(spark, sf_dir):
+    return cell_counts(scan_whole(spark, sf_dir), "vec_id")
+
+
+@query()
+def refine_counts_whole(spark, sf_dir):
+    """As refine_counts, over the hits of scan_whole."""
+    return whole_cells(spark, sf_dir)
+
+
+@query()
+def refine_regression_whole(spark, sf_dir):
+    return regression(whole_cells(spark, sf_dir), "vec_id")
+
+
+@query()
+def refine_difference_whole(spark, sf_dir):
+    return difference(whole_cells(spark, sf_dir), sequences(spark, sf_dir), "vec_id")
+
+
+@query()
+def rescore_whole(spark, sf_dir):
+    """As rescore, over the hits of scan_whole; the matrices are joined by motif."""
+    m = motifs(spark, sf_dir).select("vec_id", pfm.logodds(F.col("pfm")).alias("m"))
+    rows = scan_whole(spark, sf_dir).join(m, "vec_id")
+    cell = F.transform(F.split("match", ""), lambda c, j: F.col("m")[j][F.instr(F.lit("ACGT"), c) - 1])
+    return rows.select("vec_id", "seq_id", "strand", "start", F.round(pfm.total(cell), 4).alias("again"))
 
 
 @query(SCAN + ", k AS (SELECT motif, seq_id, start, strand, substr(u, (start // 10) * 10 + 1, ((start + 7) // 10 - start // 10 + 1) * 10) AS t FROM hit JOIN seq USING (seq_id)) SELECT motif, seq_id, start, strand, (10 * (length(t) - length(translate(t, 'CG', ''))) // ((length(t) + 9) // 10))::BIGINT AS conservation FROM k")
 def hits_conservation(spark, sf_dir):
     """Whole mean of the track's cells of 10 bases that a hit touches; the track here counts C and G, tenfold."""
-    rows = found(spark, sf_dir).join(sequences(spark, sf_dir).select("seq_id", "u"), "seq_id")
-    first, last = F.floor(F.col("start") / 10), F.floor((F.col("start") + 7) / 10)
+    return track_mean(found(spark, sf_dir), sequences(spark, sf_dir), "motif", 8)
+
+
+@query()
+def hits_conservation_whole(spark, sf_dir):
+    return track_mean(whole_found(spark, sf_dir), sequences(spark, sf_dir), "vec_id", WIDTH)
+
+
+def track_mean(hits, seqs, key, width):
+    rows = hits.join(seqs.select("seq_id", "u"), "seq_id")
+    first, last = F.floor(F.col("start") / 10), F.floor((F.col("start") + width - 1) / 10)
     rows = rows.withColumn("t", F.substring(F.col("u"), (first * 10 + 1).cast("int"), ((last - first + 1) * 10).cast("int")))
-    return rows.select("motif", "seq_id", "start", "strand", F.floor(10 * seq.count_cg(F.col("t")) / F.floor((F.length("t") + 9) / 10)).cast("long").alias("conservation"))
+    return rows.select(key, "seq_id", "start", "strand", F.floor(10 * seq.count_cg(F.col("t")) / F.floor((F.length("t") + 9) / 10)).cast("long").alias("conservation"))
 
 
 @query("WITH " + SEQ + ", " + occurrences([TEMPLATE]) + ", " + COUNTS + " SELECT grp, word, n_all - n AS n_close, n_all FROM cnt WHERE n_all > n")

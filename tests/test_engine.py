@@ -212,3 +212,57 @@ def test_background_follows_its_transitions(spark):
     got = {r["seq_id"]: r["u"] for r in background.markov(table, [(a + b + c, c, 1) for a in "ACGT" for b in "ACGT" for c in "ACGT"]).collect()}
     assert [len(got[k]) for k in range(3)] == [4000, 3, 0] and len(set(got[0][3:])) == 1
     assert got == {r["seq_id"]: r["u"] for r in background.markov(table, [(a + b + c, c, 1) for a in "ACGT" for b in "ACGT" for c in "ACGT"]).collect()}
+
+
+def test_whole_motifs_are_scanned(spark):
+    """Every motif over all 16 columns, against brute force; a bound on eight columns must not lose a hit."""
+    rng = np.random.default_rng(11)
+    wide = [(k, np.log10(4 * rng.dirichlet([0.4] * 4, 16) + 0.04).tolist(), core, least) for k, core, least in ((3, 0, 1.0), (4, 5, -1.0), (5, 8, 2.0))]
+    rows = [("test" if k % 2 else "ctrl", "".join(rng.choice(list("ACGTN"), n, p=[0.26, 0.23, 0.23, 0.26, 0.02]))) for k, n in enumerate((400, 0, 15, 16, 300, 60))]
+    want = set()
+    for motif, m, _, least in wide:
+        for k, (_, s) in enumerate(rows):
+            for i in range(len(s) - 15):
+                w = s[i : i + 16]
+                if "N" in w:
+                    continue
+                for strand, t in (("+", w), ("-", w[::-1].translate(str.maketrans("ACGT", "TGCA")))):
+                    score = round(sum(m[j]["ACGT".index(c)] for j, c in enumerate(t)), 6)
+                    if score >= least:
+                        want.add((motif, k, strand, i, score))
+    for most in (32768, 2):
+        got = scan.wide_scan(seqs(spark, rows), wide, most=most).collect()
+        assert len(got) == len(want) and {(r["motif"], r["seq_id"], r["strand"], r["start"], round(r["score"], 6)) for r in got} == want
+    assert len({x[0] for x in want}) == 3 and scan.wide_scan(seqs(spark, rows), []).count() == 0
+
+
+def test_scan_whole_takes_every_motif(spark):
+    """All rows of embeddings, not one of each label, in 16 columns: the strand and place of a planted best window."""
+    if not os.path.isdir(SF):
+        pytest.skip("no tables")
+    from strandlake.plans import scans
+
+    every = list(scans.whole_motifs(spark, SF))
+    assert len(every) == spark.read.parquet(f"{SF}/embeddings.parquet").count() and all(len(m) == 16 for _, m, _, _ in every)
+    best = ["".join("ACGT"[int(np.argmax(r))] for r in m) for _, m, _, _ in every]
+    got = scan.wide_scan(seqs(spark, [("test", b) for b in best]), every).where("motif = seq_id and strand = '+' and start = 0")
+    assert got.count() == len(every)
+
+
+def test_queries_over_whole_hits(spark):
+    """What is counted from the hits of all 16 columns agrees with the hits themselves."""
+    if not os.path.isdir(SF):
+        pytest.skip("no tables")
+    from strandlake.plans import scans
+
+    rows = scans.scan_whole(spark, SF).where("vec_id < 20").collect()
+    assert {len(r["match"]) for r in rows} == {16}
+    n = {k: sum(r["vec_id"] == k and r["grp"] == "test" for r in rows) for k in range(20)}
+    fp = {r["vec_id"]: r["n1"] for r in scans.fp_whole(spark, SF).where("vec_id < 20").collect()}
+    assert all(fp.get(k, 0) == v for k, v in n.items())
+    f1 = {}
+    for r in scans.refine_counts_whole(spark, SF).where("vec_id < 20").collect():
+        f1[r["vec_id"], r["p"]] = f1.get((r["vec_id"], r["p"]), 0) + r["f1"]
+    assert all(v == n[k] for (k, _), v in f1.items()) and {p for _, p in f1} == set(range(1, 17))
+    again = {(r["vec_id"], r["seq_id"], r["strand"], r["start"]): r["again"] for r in scans.rescore_whole(spark, SF).where("vec_id < 20").collect()}
+    assert len(again) == len(rows) and all(abs(again[r["vec_id"], r["seq_id"], r["strand"], r["start"]] - r["score"]) < 1e-4 for r in rows)
