@@ -138,38 +138,55 @@ def wide_run(shared, length, flush=1 << 18):
     return run
 
 
+INSIDE = 100  # the place of a column inside a spaced word is this and its offset in the span
+
+
+def between(span, parts):
+    """Places of the columns of a template's span that its word skips."""
+    own = {k for start, n in parts for k in range(start, start + n)}
+    return [INSIDE + k for k in range(span) if k not in own]
+
+
 def flanks(seqs, words, length=8, reach=2):
-    """(grp, word, place, base, n): bases up to `reach` before (-2, -1) and after (1, 2) every occurrence of the words
-    (strings, at most 4**length) on either strand, as seen along the word; those missing or beyond the ends don't count."""
-    codes = [sum("ACGT".index(c) * 4**j for j, c in enumerate(w)) for w in words]
-    shared = seqs.sparkSession.sparkContext.broadcast((words, codes))
-    _, span, parts = templates(length)[0]
-    places = [*range(-reach, 0), *range(1, reach + 1)]
+    """(grp, gap, word, place, base, n): bases up to `reach` before (-2, -1) and after (1, 2) the whole span of every
+    occurrence of the words on either strand, as seen along the word; those missing or beyond the ends don't count.
+
+    words: strings, at most 4**length, or {gap: strings} of several templates, which are read in one pass. The columns
+    inside a spaced word count as well, at the places of between().
+    """
+    by_gap = words if isinstance(words, dict) else {0: words}
+    shared = seqs.sparkSession.sparkContext.broadcast({g: (ws, [sum("ACGT".index(c) * 4**j for j, c in enumerate(w)) for w in ws]) for g, ws in by_gap.items()})
+    around = [(p, p if p < 0 else None) for p in (*range(-reach, 0), *range(1, reach + 1))]
 
     def run(batches):
-        words, codes = shared.value
-        index = np.full(4**length, -1)
-        index[codes] = np.arange(len(codes))
-        other, sums = ranks(length)[1], {}
+        other, sums, chosen = ranks(length)[1], {}, []
+        for gap, span, parts in templates(length):
+            if gap in shared.value:
+                index = np.full(4**length, -1)
+                index[shared.value[gap][1]] = np.arange(len(shared.value[gap][1]))
+                offsets = [(p, o if o is not None else span - 1 + p) for p, o in around] + [(p, p - INSIDE) for p in between(span, parts)]
+                chosen.append((gap, span, parts, index, offsets))
         for b in batches:
             for grp, u in zip(b.column("grp").to_pylist(), b.column("u").to_pylist(), strict=True):
                 bases = np.pad(CODES[np.frombuffer((u or "").encode(), np.uint8)], reach, constant_values=4)
-                at, own = window_codes(u or "", span, parts)
-                total = sums.setdefault(grp, np.zeros((len(codes), len(places), 4), np.int64))
-                for turned in (False, True):
-                    word = index[other[own]] if turned else index[own]
-                    k = word >= 0
-                    if turned:
-                        k &= own != other[own]  # a palindrome is one occurrence
-                    for i, p in enumerate(places):
-                        offset = p if p < 0 else length - 1 + p
-                        x = bases[reach + at[k] + (length - 1 - offset if turned else offset)]
-                        good = x < 4
-                        np.add.at(total, (word[k][good], i, 3 - x[good] if turned else x[good]), 1)
-        for grp, total in sums.items():
+                for gap, span, parts, index, offsets in chosen:
+                    at, own = window_codes(u or "", span, parts)
+                    total = sums.setdefault((grp, gap), np.zeros((len(shared.value[gap][0]), len(offsets), 4), np.int64))
+                    for turned in (False, True):
+                        word = index[other[own]] if turned else index[own]
+                        k = word >= 0
+                        if turned:
+                            k &= own != other[own]  # a palindrome is one occurrence
+                        for i, (_, offset) in enumerate(offsets):
+                            x = bases[reach + at[k] + (span - 1 - offset if turned else offset)]
+                            good = x < 4
+                            np.add.at(total, (word[k][good], i, 3 - x[good] if turned else x[good]), 1)
+        names = {c[0]: [p for p, _ in c[4]] for c in chosen}
+        for (grp, gap), total in sums.items():
+            places = names[gap]
             w, i, x = np.nonzero(total)
-            cols = [pa.array([grp] * len(w), pa.string()), pa.array([words[k] for k in w.tolist()], pa.string()), pa.array([places[k] for k in i.tolist()], pa.int64()), pa.array(["ACGT"[k] for k in x.tolist()], pa.string()), pa.array(total[w, i, x])]
-            yield pa.record_batch(cols, names=["grp", "word", "place", "base", "n"])
+            cols = [pa.array([grp] * len(w), pa.string()), pa.array([gap] * len(w), pa.int64()), pa.array([shared.value[gap][0][k] for k in w.tolist()], pa.string()), pa.array([places[k] for k in i.tolist()], pa.int64()), pa.array(["ACGT"[k] for k in x.tolist()], pa.string()), pa.array(total[w, i, x])]
+            yield pa.record_batch(cols, names=["grp", "gap", "word", "place", "base", "n"])
 
-    parts_ = seqs.select("grp", "u").mapInArrow(run, "grp string, word string, place long, base string, n long")
-    return parts_.groupBy("grp", "word", "place", "base").agg(F.sum("n").alias("n"))
+    parts_ = seqs.select("grp", "u").mapInArrow(run, "grp string, gap long, word string, place long, base string, n long")
+    return parts_.groupBy("grp", "gap", "word", "place", "base").agg(F.sum("n").alias("n"))

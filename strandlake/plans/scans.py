@@ -15,6 +15,7 @@ from .tables import CANDIDATE, CONSIDERED, COUNTS, LENGTHS, LIBRARY, SEQ, librar
 QUERIES, SQL = {}, {}
 THRESHOLD = 3.0
 TEMPLATE = kmers.templates(8)[0]
+GAPS = tuple(words.SPANS)
 
 
 def query(sql=None):
@@ -242,18 +243,25 @@ core AS (SELECT nb.word, p, b, greatest(coalesce(st.diff, 0), 0) AS v FROM nb LE
 
 
 def core_cells(st, cand):
-    """word, p, b, v: what the words that differ from a candidate in one place have more in test, by place and base."""
+    """gap, word, p, b, v: what the words of the same template that differ from a candidate in one place have more in test, by place and base."""
     bases = F.explode(F.array(*(F.lit(b) for b in "ACGT"))).alias("b")
-    nb = cand.select("word", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("p")).select("word", "p", bases)
+    nb = cand.select("gap", "word", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("p")).select("gap", "word", "p", bases)
     w = F.concat(F.expr("substring(word, 1, p - 1)"), F.col("b"), F.expr("substring(word, p + 1, 8)"))
     nb = nb.withColumn("w", w).withColumn("key", seq.canonical(F.col("w")))
-    diffs = st.select(F.col("word").alias("key"), "diff")
-    return nb.join(diffs, "key", "left").select("word", F.col("p").cast("long").alias("p"), "b", F.greatest(F.coalesce("diff", F.lit(0.0)), F.lit(0.0)).alias("v"))
+    diffs = st.select("gap", F.col("word").alias("key"), "diff")
+    return nb.join(diffs, ["gap", "key"], "left").select("gap", "word", F.col("p").cast("long").alias("p"), "b", F.greatest(F.coalesce("diff", F.lit(0.0)), F.lit(0.0)).alias("v"))
 
 
 @query(NEIGHBOURS + " SELECT word, p, b, round(v, 4) AS v FROM core")
 def neighbor_pfm(spark, sf_dir):
     st = words.stats(spark, sf_dir)
+    return core_cells(st, enrich.candidates(st)).select("word", "p", "b", F.round("v", 4).alias("v"))
+
+
+@query()
+def neighbor_pfm_gapped(spark, sf_dir):
+    """As neighbor_pfm, for the candidates of all templates."""
+    st = words.stats(spark, sf_dir, GAPS)
     return core_cells(st, enrich.candidates(st)).withColumn("v", F.round("v", 4))
 
 
@@ -264,15 +272,23 @@ flank AS (SELECT word, place::BIGINT AS place, base, count(*) FILTER (WHERE grp
 
 
 def flank_counts(seqs, cand):
-    names = [r["word"] for r in cand.select("word").orderBy("word").collect()]  # at most 4**8 words
+    names = {}
+    for r in cand.select("gap", "word").orderBy("gap", "word").collect():  # at most 4**8 words a template
+        names.setdefault(r["gap"], []).append(r["word"])
     of = lambda g: F.coalesce(F.sum(F.when(F.col("grp") == g, F.col("n"))), F.lit(0)).cast("long")
-    return scan.flanks(seqs, names).groupBy("word", "place", "base").agg(of("test").alias("f1"), of("ctrl").alias("f2"))
+    return scan.flanks(seqs, names).groupBy("gap", "word", "place", "base").agg(of("test").alias("f1"), of("ctrl").alias("f2"))
 
 
 @query(FLANKS + " SELECT word, place, base, f1, f2 FROM flank")
 def flank_pfm(spark, sf_dir):
     """Bases around the candidates in test and control."""
-    return flank_counts(sequences(spark, sf_dir), enrich.candidates(words.stats(spark, sf_dir)))
+    return flank_counts(sequences(spark, sf_dir), enrich.candidates(words.stats(spark, sf_dir))).drop("gap")
+
+
+@query()
+def flank_pfm_gapped(spark, sf_dir):
+    """Bases before and after the whole span of the candidates of all templates."""
+    return flank_counts(sequences(spark, sf_dir), enrich.candidates(words.stats(spark, sf_dir, GAPS)))
 
 
 GRID = ", grid AS (SELECT word, place::BIGINT AS place, base FROM cand, (VALUES (-2), (-1), (1), (2)) v(place), (VALUES ('A'), ('C'), ('G'), ('T')) b(base)), full_flank AS (SELECT g.word, g.place, g.base, coalesce(f1, 0) + (g.place > 0)::INT AS f1, coalesce(f2, 0) + (g.place > 0)::INT AS f2 FROM grid g LEFT JOIN flank USING (word, place, base))"
@@ -282,23 +298,27 @@ gp AS (SELECT word, g, least(2 * exp(-g / 2) * (1 + g / 2 + (g / 2) ** 2 / 2 + (
 
 
 def full_flanks(cand, flank):
-    """Every place and base of every candidate; after the word each count is 1 higher."""
+    """Every place and base of every candidate, those its template skips included; after the word each count is 1 higher."""
     every = lambda xs: F.explode(F.array(*(F.lit(x) for x in xs)))
-    grid = cand.select("word", F.explode(F.array(*(F.lit(x).cast("long") for x in (-2, -1, 1, 2)))).alias("place")).select("word", "place", every("ACGT").alias("base"))
-    more = F.when(F.col("place") > 0, 1).otherwise(0)
+    places = F.create_map(*(x for g, span, parts in kmers.templates(8) for x in (F.lit(g).cast("long"), F.array(*(F.lit(k).cast("long") for k in (-2, -1, 1, 2, *scan.between(span, parts)))))))
+    grid = cand.select("gap", "word", F.explode(places[F.col("gap")]).alias("place")).select("gap", "word", "place", every("ACGT").alias("base"))
+    more = F.when(F.col("place").isin(1, 2), 1).otherwise(0)
     fill = lambda c: (F.coalesce(c, F.lit(0)) + more).cast("long").alias(c)
-    return grid.join(flank, ["word", "place", "base"], "left").select("word", "place", "base", fill("f1"), fill("f2"))
+    return grid.join(flank, ["gap", "word", "place", "base"], "left").select("gap", "word", "place", "base", fill("f1"), fill("f2"))
 
 
 def g_test(flanks):
-    """word, g, p: whether the bases around a word are dealt in test as in control, over four places."""
+    """gap, word, g, p: whether the bases around a word are dealt in test as in control, over four places and those its template skips."""
     xlogx = lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
     f1, f2 = F.col("f1"), F.col("f2")
-    col = flanks.groupBy("word", "place").agg(F.sum("f1").alias("t"), F.sum("f2").alias("c"), F.sum(xlogx(f1) + xlogx(f2) - xlogx(f1 + f2)).alias("s"))
+    col = flanks.groupBy("gap", "word", "place").agg(F.sum("f1").alias("t"), F.sum("f2").alias("c"), F.sum(xlogx(f1) + xlogx(f2) - xlogx(f1 + f2)).alias("s"))
     n = F.col("t") + F.col("c")
     g = F.when(n > 0, 2 * (F.col("s") - xlogx(F.col("t")) - xlogx(F.col("c")) + xlogx(n)) / (1 + 5.0 / 6 / n)).otherwise(0.0)
-    rows = col.groupBy("word").agg(F.greatest(F.sum(g), F.lit(0.0)).alias("g"))
-    return rows.withColumn("p", F.least(2 * stats.gamma_q(12, F.col("g") / 2), F.lit(1.0)))
+    rows = col.groupBy("gap", "word").agg(F.greatest(F.sum(g), F.lit(0.0)).alias("g"))
+    q = stats.gamma_q(12, F.col("g") / 2)
+    for gap, span, parts in kmers.templates(8)[1:]:  # 3 degrees of freedom for each column, skipped ones as well
+        q = F.when(F.col("gap") == gap, stats.gamma_q(12 + 3 * len(scan.between(span, parts)), F.col("g") / 2)).otherwise(q)
+    return rows.withColumn("p", F.least(2 * q, F.lit(1.0)))
 
 
 @query(FLANKS + GTEST + " SELECT word, round(g, 4) AS g, round(p, 6) AS p FROM gp")
@@ -308,14 +328,21 @@ def flank_gtest(spark, sf_dir):
     return rows.select("word", F.round("g", 4).alias("g"), F.round("p", 6).alias("p"))
 
 
+@query()
+def flank_gtest_gapped(spark, sf_dir):
+    cand = enrich.candidates(words.stats(spark, sf_dir, GAPS))
+    rows = g_test(full_flanks(cand, flank_counts(sequences(spark, sf_dir), cand)))
+    return rows.select("gap", "word", F.round("g", 4).alias("g"), F.round("p", 6).alias("p"))
+
+
 FISHER = FLANKS + GTEST + f", fp AS (SELECT word, z, ratio, x, gp.p AS p_flank, greatest(gp.p * (0.5 * {erfc_sql('z / sqrt(2.0::DOUBLE)')}), 1e-30) AS prod FROM cand JOIN gp USING (word)), pp AS (SELECT *, 2 * prod * (1 - ln(prod)) AS p FROM fp)"
 
 
-def combined(spark, sf_dir):
-    st = words.stats(spark, sf_dir)
+def combined(spark, sf_dir, gaps=(0,)):
+    st = words.stats(spark, sf_dir, gaps)
     cand = enrich.candidates(st)
     g = g_test(full_flanks(cand, flank_counts(sequences(spark, sf_dir), cand)))
-    rows = cand.select("gap", "word", "z", "ratio", "x").join(g.select("word", F.col("p").alias("p_flank")), "word")
+    rows = cand.select("gap", "word", "z", "ratio", "x").join(g.select("gap", "word", F.col("p").alias("p_flank")), ["gap", "word"])
     return st, rows.withColumn("p", stats.fisher(F.col("p_flank"), 0.5 * stats.erfc(F.col("z") / F.sqrt(F.lit(2.0)))))
 
 
@@ -325,6 +352,23 @@ def fisher_p(spark, sf_dir):
     return combined(spark, sf_dir)[1].select("word", F.round("p", 6).alias("p"))
 
 
+@query()
+def fisher_p_gapped(spark, sf_dir):
+    return combined(spark, sf_dir, GAPS)[1].select("gap", "word", F.round("p", 6).alias("p"))
+
+
+def discovered(spark, sf_dir):
+    """The candidates of all templates with fdr, by the hypotheses of their own template."""
+    st, rows = combined(spark, sf_dir, GAPS)
+    n = enrich.considered(st).groupBy("gap").agg(F.count(F.lit(1)).alias("n_hyp"))  # 9 rows
+    return enrich.false_discovery(rows.join(F.broadcast(n), "gap"))
+
+
+@query()
+def fdr_bh_gapped(spark, sf_dir):
+    return discovered(spark, sf_dir).select("gap", "word", F.round("fdr", 6).alias("fdr"))
+
+
 @query(FISHER + f", nh AS (SELECT count(*) AS n FROM st WHERE {CONSIDERED}), bh AS (SELECT word, p, row_number() OVER (ORDER BY p, word) AS r, n FROM pp, nh) SELECT word, round(least(1, min(p / r * n) OVER (ORDER BY p DESC, word DESC)), 6) AS fdr FROM bh")
 def fdr_bh(spark, sf_dir):
     st, rows = combined(spark, sf_dir)
@@ -340,20 +384,37 @@ def score_options(spark, sf_dir):
     return c.select("word", F.round("z", 4).alias("plain"), F.round(by, 4).alias("by_ratio"), F.row_number().over(Window.orderBy(F.round(by, 6).desc(), "word")).cast("long").alias("place"))
 
 
+@query()
+def score_options_gapped(spark, sf_dir):
+    """As score_options, with the candidates of all templates in one order; at most the words of nine templates."""
+    c = enrich.candidates(words.stats(spark, sf_dir, GAPS))
+    by = F.col("z") * (F.col("ratio") - 1)
+    return c.select("gap", "word", F.round("z", 4).alias("plain"), F.round(by, 4).alias("by_ratio"), F.row_number().over(Window.orderBy(F.round(by, 6).desc(), "gap", "word")).cast("long").alias("place"))
+
+
 @query(NEIGHBOURS + """, r AS (SELECT word, p, list(v ORDER BY b) AS r, sum(v) AS s FROM core GROUP BY word, p), q AS (SELECT word, p, list_transform(r, lambda x: CASE WHEN s = 0 THEN 25 ELSE 100 * x / s END) AS r FROM r),
 m AS (SELECT word, list_sort(list(list_min(r)))[5] AS med FROM q GROUP BY word), c AS (SELECT word, p, list_transform(r, lambda x: greatest(x - med, 0)) AS r FROM q JOIN m USING (word)),
 n AS (SELECT word, p, list_transform(r, lambda x: CASE WHEN list_sum(r) = 0 THEN 25 ELSE 100 * x / list_sum(r) END) AS r FROM c)
 SELECT word, p, round(r[1], 4) AS a, round(r[2], 4) AS c, round(r[3], 4) AS g, round(r[4], 4) AS t FROM n""")
 def pfm_contrast(spark, sf_dir):
     """Core matrices in percent, less the median of their rows' least cells."""
-    st = words.stats(spark, sf_dir)
-    rows = core_cells(st, enrich.candidates(st)).groupBy("word", "p").agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "v"))), lambda s: s["v"]).alias("r"))
+    return contrast(words.stats(spark, sf_dir)).drop("gap")
+
+
+@query()
+def pfm_contrast_gapped(spark, sf_dir):
+    """As pfm_contrast, for the candidates of all templates."""
+    return contrast(words.stats(spark, sf_dir, GAPS))
+
+
+def contrast(st):
+    rows = core_cells(st, enrich.candidates(st)).groupBy("gap", "word", "p").agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "v"))), lambda s: s["v"]).alias("r"))
     share = lambda r: F.transform(r, lambda x: F.when(pfm.total(r) == 0, 25.0).otherwise(100 * x / pfm.total(r)))
-    rows = rows.select("word", "p", share(F.col("r")).alias("r"))
-    med = rows.groupBy("word").agg(F.sort_array(F.collect_list(F.array_min("r")))[4].alias("med"))
-    rows = rows.join(med, "word").withColumn("r", F.transform("r", lambda x: F.greatest(x - F.col("med"), F.lit(0.0))))
+    rows = rows.select("gap", "word", "p", share(F.col("r")).alias("r"))
+    med = rows.groupBy("gap", "word").agg(F.sort_array(F.collect_list(F.array_min("r")))[4].alias("med"))
+    rows = rows.join(med, ["gap", "word"]).withColumn("r", F.transform("r", lambda x: F.greatest(x - F.col("med"), F.lit(0.0))))
     out = share(F.col("r"))
-    return rows.select("word", "p", *(F.round(out[k], 4).alias(n) for k, n in enumerate("acgt")))
+    return rows.select("gap", "word", "p", *(F.round(out[k], 4).alias(n) for k, n in enumerate("acgt")))
 
 
 @query(SCAN + ", c AS (SELECT h.motif, h.seq_id, h.strand, h.start, h.score, j, substr(match, j, 1) AS b FROM hit h, range(1, 9) t(j)) SELECT c.motif, seq_id, strand, start, round(sum(z[strpos('ACGT', b)]), 4) AS again FROM c JOIN fz ON fz.motif = c.motif AND fz.p = c.j GROUP BY ALL")
@@ -373,11 +434,21 @@ def top_motifs(spark, sf_dir, most=500, limit=0.1):
     """The report: significant words best first, at least the best hundred, at most 500."""
     st, rows = combined(spark, sf_dir)
     n = enrich.considered(st).agg(F.count(F.lit(1)).alias("n_hyp"))
-    rows = enrich.false_discovery(rows.crossJoin(F.broadcast(n))).withColumn("z", F.round("z", 6))
-    rows = rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("z"), "word")))  # at most the words of one length
+    return report(enrich.false_discovery(rows.crossJoin(F.broadcast(n))), ["word"], most, limit)
+
+
+@query()
+def top_motifs_gapped(spark, sf_dir, most=500, limit=0.1):
+    """The report over all nine templates, ranked together."""
+    return report(discovered(spark, sf_dir), ["gap", "word"], most, limit)
+
+
+def report(rows, key, most, limit):
+    rows = rows.withColumn("z", F.round("z", 6))
+    rows = rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("z"), *key)))  # at most the words of each template
     good = rows.agg(F.count(F.when(F.col("fdr") <= limit, 1)).alias("good"))
     rows = rows.crossJoin(F.broadcast(good)).where((F.col("ratio") >= 1.5) & ((F.col("fdr") <= limit) | ((F.col("good") < 100) & (F.col("place") <= 100))))
-    return rows.orderBy(F.desc("z"), "word").limit(most).select("word", "z", F.round("fdr", 6).alias("fdr"))
+    return rows.orderBy(F.desc("z"), *key).limit(most).select(*key, "z", F.round("fdr", 6).alias("fdr"))
 
 
 @query()

@@ -156,6 +156,12 @@ def enrichment_z(spark, sf_dir):
     return stats(spark, sf_dir).select("word", "x", "y", r("z"), r("ratio"), r("diff"), r("total"))
 
 
+@query(STATS + "SELECT gap, word, x, y, round(z, 6) AS z, round(ratio, 6) AS ratio, round(diff, 6) AS diff, round(total, 6) AS total FROM st")
+def enrichment_z_gapped(spark, sf_dir):
+    r = lambda c: F.round(c, 6).alias(c)
+    return stats(spark, sf_dir, tuple(SPANS)).select("gap", "word", "x", "y", r("z"), r("ratio"), r("diff"), r("total"))
+
+
 @query(STATS0 + f"SELECT row_number() OVER (ORDER BY z DESC, word) AS rank, word, x, y, round(z, 6) AS z, round(ratio, 6) AS ratio FROM st WHERE {CANDIDATE} ORDER BY z DESC, word LIMIT 50")
 def enriched_words(spark, sf_dir, top=50):
     """The top of the candidates by z; the report's length is what it asks for."""
@@ -163,6 +169,14 @@ def enriched_words(spark, sf_dir, top=50):
     return best.select(F.row_number().over(Window.orderBy(F.desc("z"), "word")).cast("long").alias("rank"), "word", "x", "y", F.round("z", 6).alias("z"), F.round("ratio", 6).alias("ratio"))
 
 
+@query(STATS + f"SELECT row_number() OVER (ORDER BY z DESC, gap, word) AS rank, gap, word, x, y, round(z, 6) AS z, round(ratio, 6) AS ratio FROM st WHERE {CANDIDATE} ORDER BY z DESC, gap, word LIMIT 50")
+def enriched_words_gapped(spark, sf_dir, top=50):
+    """As enriched_words, with the words of all templates ranked together."""
+    order = (F.desc("z"), "gap", "word")
+    best = enrich.candidates(stats(spark, sf_dir, tuple(SPANS))).orderBy(*order).limit(top)
+    return best.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"), "gap", "word", "x", "y", F.round("z", 6).alias("z"), F.round("ratio", 6).alias("ratio"))
+
+
 @query(STATS + f"SELECT gap, count(*) AS n_hyp, count(*) FILTER (WHERE {CANDIDATE}) AS n_candidates FROM st WHERE {CONSIDERED} GROUP BY gap")
 def hypothesis_count(spark, sf_dir):
     kept = enrich.considered(stats(spark, sf_dir, tuple(SPANS)))

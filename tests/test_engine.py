@@ -266,3 +266,45 @@ def test_queries_over_whole_hits(spark):
     assert all(v == n[k] for (k, _), v in f1.items()) and {p for _, p in f1} == set(range(1, 17))
     again = {(r["vec_id"], r["seq_id"], r["strand"], r["start"]): r["again"] for r in scans.rescore_whole(spark, SF).where("vec_id < 20").collect()}
     assert len(again) == len(rows) and all(abs(again[r["vec_id"], r["seq_id"], r["strand"], r["start"]] - r["score"]) < 1e-4 for r in rows)
+
+
+def test_flanks_of_spaced_words(spark):
+    """Bases around the whole span of a word, on either strand, against brute force for every template."""
+    rng, turn = random.Random(12), str.maketrans("ACGT", "TGCA")
+    rows = [("test", "".join(rng.choices("ACGTN", [5, 5, 5, 5, 0.2], k=80))) for _ in range(6)]
+    rows = [*rows, ("ctrl", rows[0][1]), ("ctrl", rows[1][1][::-1].translate(turn))]
+    names, want = {}, {}
+    for gap, span, parts in kmers.templates(8):
+        word = lambda f: "".join(f[a : a + n] for a, n in parts)  # noqa: E731, B023
+        names[gap] = sorted({word(s[i : i + span]) for _, s in rows[:2] for i in range(0, 80 - span, 7) if "N" not in s[i : i + span]})
+        for g, s in rows:
+            for i in range(len(s) - span + 1):
+                if "N" in s[i : i + span]:
+                    continue
+                for t, at in ((s, i), (s[::-1].translate(turn), len(s) - i - span)):
+                    w = word(t[at : at + span])
+                    if w not in names[gap] or (t is not s and word(s[i : i + span]) == w):
+                        continue
+                    skipped = sorted(set(range(span)) - {x for a, n in parts for x in range(a, a + n)})
+                    for place in (-2, -1, 1, 2, *(100 + o for o in skipped)):
+                        k = at + place - 100 if place >= 100 else at + place if place < 0 else at + span - 1 + place
+                        if 0 <= k < len(t) and t[k] != "N":
+                            key = (g, gap, w, place, t[k])
+                            want[key] = want.get(key, 0) + 1
+    got = {tuple(r)[:5]: r["n"] for r in scan.flanks(seqs(spark, rows), names).select("grp", "gap", "word", "place", "base", "n").collect()}
+    assert got == want and {k[1] for k in want} == set(range(9))
+
+
+def test_report_ranks_all_templates(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no tables")
+    top = registry.QUERIES["top_motifs_gapped"](spark, SF).collect()
+    assert {r["gap"] for r in top} - {0} and [r["z"] for r in top] == sorted((r["z"] for r in top), reverse=True)
+    plain = {r["word"]: r["fdr"] for r in registry.QUERIES["fdr_bh"](spark, SF).collect()}
+    rows = registry.QUERIES["fdr_bh_gapped"](spark, SF).collect()
+    assert {r["word"]: r["fdr"] for r in rows if r["gap"] == 0} == plain and len({r["gap"] for r in rows}) > 1
+
+
+@pytest.mark.parametrize("name", ["enrichment_z_gapped", "enriched_words_gapped"])
+def test_spaced_words_against_sql(spark, duck, name):
+    test_query_against_sql(spark, duck, name)
