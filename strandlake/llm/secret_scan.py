@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -114,7 +115,10 @@ END = ("^", "^")
 
 def features(tokens, of_file, words):
     """[[place]] for each token: its shape and word, its neighbours' shapes and words, and the file's features."""
-    kinds = [kind_of(t, words) for t in tokens]
+    return kind_features([kind_of(t, words) for t in tokens], of_file)
+
+
+def kind_features(kinds, of_file):
     at = lambda j: kinds[j] if 0 <= j < len(kinds) else END
     return [[place(x) for x in own_features(k, of_file) + [f for d in NEAR for f in near_features(at(i + d), d)]] for i, k in enumerate(kinds)]
 
@@ -240,34 +244,58 @@ def words_before(sequences, most=500):
     return [w for _, w in sorted(kept)[:most]]
 
 
-def fit(docs, text_col="text", rows=800, most=1000, seed=3):
+def pieces(tokens, gold, width):
+    """An island and its labels in pieces of at most width tokens; what a piece starts inside of begins there."""
+    for i in range(0, len(tokens), width):
+        g = gold[i : i + width]
+        yield tokens[i : i + width], [1, *g[1:]] if g[0] == 2 else g
+
+
+def samples(width):
+    """Islands of whole texts, in pieces: all that the field sees of each token (shape, word), file features, labels."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for o, text in zip(b.column("o").to_pylist(), C.strings(b.column("t")), strict=True):
+                own = (x for tokens, of_file, gold in sequences_of(text) for x in ((*p, of_file) for p in pieces(tokens, gold, width)))
+                for i, (tokens, gold, of_file) in enumerate(own):
+                    rows.append((o, i, any(gold), [shape(t) for t in tokens], [t.lower() if len(t) <= 12 else "" for t in tokens], of_file, gold))
+            names, labels = pa.list_(pa.string()), pa.list_(pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), names, names, names, labels)
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["o", "i", "secret", "shapes", "low", "of_file", "gold"])
+
+    return run
+
+
+def fit(docs, text_col="text", rows=800, most=1000, seed=3, width=400):
     """Fits the field on a bounded sample: `rows` texts with a base match and as many without, chosen by hash.
 
-    At most `most` islands of either kind are used. The labels are those of the base scan; each island that
-    names its secret is learned a second time under another name, so that shape and neighbours have to tell as well.
-    None when no text of the sample has a base match.
+    The sampled texts are read whole, in tasks, and file features are those of the whole text. At most `most` islands
+    of either kind come to the driver, chosen by hash; one of more than `width` tokens counts as several. The labels are
+    those of the base scan; each island that names its secret is learned a second time under another name, so that shape
+    and neighbours have to tell as well. None when no text of the sample has a base match.
     """
     texts = C.pick(docs, _text=text_col).where("_text is not null")
     likely = F.col("_text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}")
     order = F.xxhash64("_text", F.lit(seed))
-    # the prefix of 4,000 characters bounds the sample's size; the scan itself reads whole texts
-
-    def pick(df):
-        keyed = df.select(order.alias("o"), "_text")
-        # hashes alone are ordered, so that no task hands texts to the driver that others beat
-        last = keyed.select("o").orderBy("o").limit(rows).agg(F.max("o")).first()[0]
-        kept = keyed.where(F.col("o") <= F.lit(last)).groupBy("o").agg(F.min(F.substring("_text", 1, 4000)).alias("t"))
-        return [r["t"] for r in kept.orderBy("o", "t").collect()]
-
-    some, none = [], []
-    for text in pick(texts.where(likely)) + pick(texts.where(~likely)):
-        for own in sequences_of(text):
-            (some if any(own[2]) else none).append(own)
-    if not some:
+
+    def last(df):  # hashes alone are ordered, so that no task hands texts to the driver that others beat
+        return F.lit(df.select(order.alias("o")).orderBy("o").limit(rows).agg(F.max("o")).first()[0])
+
+    ends = [(kind, last(texts.where(kind))) for kind in (likely, ~likely)]
+    chosen = ((order <= ends[0][1]) & likely) | ((order <= ends[1][1]) & ~likely)
+    kept = texts.where(chosen).groupBy(order.alias("o")).agg(F.min("_text").alias("t"))
+    found = kept.mapInArrow(samples(width), "o long, i long, secret boolean, shapes array<string>, low array<string>, of_file array<string>, gold array<long>")
+    nth = F.row_number().over(Window.partitionBy("secret").orderBy(F.xxhash64("o", "i"), "o", "i"))  # of the sample alone
+    picked = found.withColumn("n", nth).where(F.col("n") <= most).orderBy(F.desc("secret"), "n").collect()
+    if not picked or not picked[0]["secret"]:
         return None
-    words = words_before(some[:most] + none[:most])
+    words = words_before([(r["low"], r["of_file"], r["gold"]) for r in picked])
     known = set(words)
-    weights, steps = train([(features(tokens, of_file, known), gold) for tokens, of_file, gold in some[:most] + none[:most]], seed=seed)
+    learned = [(kind_features([(s, w if w in known else "") for s, w in zip(r["shapes"], r["low"], strict=True)], r["of_file"]), r["gold"]) for r in picked]
+    weights, steps = train(learned, seed=seed)
     return {"weights": weights, "steps": steps, "words": words}
 
 

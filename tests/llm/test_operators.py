@@ -273,6 +273,26 @@ def test_secrets(spark):
     assert secret_scan.secret_scan(table.limit(0), None).count() == 0
 
 
+def test_secrets_late_in_long_texts_are_learned(spark):
+    import numpy as np
+
+    rng = random.Random(16)
+    made = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    rows = [(k, f"{words(rng, 3000)} password={made(18)} {words(rng, 9)}") for k in range(40)]
+    assert all(r[1].index("password=") > 10_000 for r in rows)
+    model = secret_scan.fit(docs(spark, rows))
+    assert model is not None
+    size = next(x for x in secret_scan.file_features(rows[0][1]) if x.startswith("size"))
+    assert size == "size4" and np.abs(model["weights"][secret_scan.place(f"{size}|{secret_scan.shape(made(18))}")]).max() > 0
+    fresh = f"{words(rng, 3000)} password={made(18)} end"
+    start = fresh.index("password=") + 9
+    tokens = [fresh[a:b] for a, b in (m.span() for m in secret_scan.TOKEN.finditer(fresh, start - 9, start + 18))]
+    scorer = secret_scan.Scorer(model)
+    assert secret_scan.viterbi(scorer.scores(tokens, secret_scan.file_features(fresh)), scorer.steps) == [0, 0, 1]
+    gold = [0, 1, 2, 2, 0]
+    assert list(secret_scan.pieces(list("abcde"), gold, 2)) == [(["a", "b"], [0, 1]), (["c", "d"], [1, 2]), (["e"], [0])]
+
+
 def test_viterbi_finds_the_best_path():
     import itertools
 
