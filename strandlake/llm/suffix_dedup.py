@@ -1,13 +1,18 @@
 """Repeated passages by a depth-limited radix sort of suffixes.
 
-Suffixes are ordered only through their first `width` bytes, and only as far as groups need it: a pass splits groups
-by the next digit, groups of one drop out, and groups that the last pass leaves are exactly the repeated windows.
-The digits are hashed, since order within a group is of no use, and of uneven width, the most telling first:
-
-1. the anchor: of the window's `gram`-byte strings the one with the least hash, leftmost first. Equal windows have equal
-   anchors at equal places, so one row stands for all windows of an anchor occurrence, some 80 of them.
-2. the context: all bytes of those windows. Occurrences with equal contexts have only repeated windows, settled at once.
-3. the window itself, for the contexts whose anchor also stands in other contexts.
+Suffixes are sorted only through their first `width` bytes, and only as far as groups need it: each pass splits groups by
+the next digit, groups of one drop out, and groups that the last pass leaves are exactly the repeated windows. Suffixes
+move in bundles: neighbours of one text whose windows overlap. A bundle's core is what all its windows have in common,
+its hull all that they cover. A pass groups bundles by core; those with equal hulls are settled at once, since all their
+windows are repeated; one bundle for each different hull of a core goes on, cut into finer bundles, whose cores are
+longer: the depth to which a group's suffixes are known to agree grows from pass to pass.
+
+1. bundles by anchor: of a window's `gram`-byte strings the one with the least hash, leftmost first. Equal windows have
+   equal anchors at equal places, so a bundle stands for all windows of an anchor's occurrence, some 75 of them.
+2. bundles of `fine` suffixes, aligned to the anchor, with cores of width - fine + 1 bytes.
+3. single suffixes, through all `width` bytes.
+
+Digits are compared as 64-bit hashes and hulls by 64 more bits within a core, since the order inside a group is of no use.
 """
 
 import hashlib
@@ -25,8 +30,8 @@ from .shingles import mix
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 CHUNK = 1 << 22  # bytes looked at together
-CROWD = 2000  # contexts of one anchor that one task settles, of some 300 bytes each
 PLACE = np.uint64((1 << 23) - 1)  # places in a chunk and its overlap
+LONGEST = 1 << 15  # suffixes of one bundle, or of one row of a settled run
 
 _powers = {}
 
@@ -76,106 +81,81 @@ def anchors(raw, width, gram):
     return first[start], last[np.append(start[1:], len(first)) - 1], place[start], hashes[start]
 
 
-def occurrences(width, gram):
-    """A row for each anchor occurrence: its text, windows, anchor, and the digest of its context."""
+def packed(first, last, place):
+    """Where a bundle is in its text: first suffix, suffixes after it, distance from the last to the anchor."""
+    return (first << 32) | ((last - first) << 16) | (place - last)
 
-    def run(batches):
-        for b in batches:
-            row, first_, last_, hash_, context = [], [], [], [], []
-            for i, raw in enumerate(C.raw(b.column("_text"))):
-                if len(raw) < width:
-                    continue
-                first, last, place, hashes = anchors(np.frombuffer(raw, np.uint8), width, gram)
-                row.append(np.full(len(first), i))
-                first_.append(first)
-                last_.append(last)
-                hash_.append(hashes)
-                # the anchor's place in the context belongs to the digest
-                context += [xxhash.xxh3_128_digest(raw[f : t + width], seed=p - f) for f, t, p in zip(first.tolist(), last.tolist(), place.tolist(), strict=True)]
-            none = [np.empty(0, np.int64)]
-            words = np.frombuffer(b"".join(context), "<i8").reshape(-1, 2)
-            cols = [b.column("_id").take(pa.array(np.concatenate(row or none))), b.column("_row").take(pa.array(np.concatenate(row or none)))]
-            cols += [pa.array(np.concatenate(x or none).astype(np.int64)) for x in (first_, last_, hash_)] + [pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy())]
-            yield pa.record_batch(cols, names=["_id", "_row", "first", "last", "anchor", "c1", "c2"])
 
-    return run
-
-
-def windows_of(width):
-    """Each window of the contexts in demand: where it starts in the text that stands for them, and its digest."""
+BUNDLES = ("core", "hull", "times", "at")
 
-    def run(batches):
-        for b in batches:
-            row, first, anchor, times, digests = [], [], [], [], []
-            for i, (raw, wanted) in enumerate(zip(C.raw(b.column("_text")), b.column("wanted").to_pylist(), strict=True)):
-                for w in wanted:
-                    n = w["last"] - w["first"] + 1
-                    row.append(np.full(n, i))
-                    first.append(np.arange(w["first"], w["last"] + 1))
-                    anchor.append(np.full(n, w["anchor"], np.int64))
-                    times.append(np.full(n, w["times"]))
-                    digests += [xxhash.xxh3_64_digest(raw[s : s + width]) for s in range(w["first"], w["last"] + 1)]
-            none = [np.empty(0, np.int64)]
-            take = pa.array(np.concatenate(row or none))
-            cols = [b.column("_id").take(take), b.column("_row").take(take)]
-            cols += [pa.array(np.concatenate(x or none).astype(np.int64)) for x in (first, anchor, times)]
-            yield pa.record_batch([*cols, pa.array(np.frombuffer(b"".join(digests), "<i8").copy())], names=["_id", "_row", "first", "anchor", "times", "window"])
 
-    return run
+def bundle_batch(batch, rows, cols):
+    """An Arrow batch of bundles: rows of the batch that they belong to, and core, hull, times and place of each."""
+    none = [np.empty(0, np.int64)]
+    take = pa.array(np.concatenate(rows or none))
+    arrays = [pa.array(np.concatenate([np.asarray(x, np.int64) for x in c] or none)) for c in cols]
+    return pa.record_batch([batch.column("_id").take(take), batch.column("_row").take(take), *arrays], names=["_id", "_row", *BUNDLES])
 
 
-def contexts_of(width):
-    """The bytes of each context in demand, from the text that stands for it."""
+def by_anchor(width, gram):
+    """Bundles of whole texts by anchor. What occurs several times in one text is one bundle with that count; all its
+    places are told as settled runs besides (times = 0), so that a text of one short period has few bundles."""
 
     def run(batches):
         for b in batches:
-            rows, at = [], []
-            for i, (raw, wanted) in enumerate(zip(C.raw(b.column("_text")), b.column("wanted").to_pylist(), strict=True)):
-                at += [i] * len(wanted)
-                rows += [(w["anchor"], w["times"], w["first"], raw[w["first"] : w["last"] + width]) for w in wanted]
-            take = pa.array(at, pa.int64())
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.record_batch([b.column("_id").take(take), b.column("_row").take(take), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["_id", "_row", "anchor", "times", "first", "context"])
+            rows, cols = [], ([], [], [], [])
+            for i, raw in enumerate(C.raw(b.column("_text"))):
+                if len(raw) < width:
+                    continue
+                first, last, place, core = anchors(np.frombuffer(raw, np.uint8), width, gram)
+                digest = xxhash.xxh3_64_intdigest
+                # the anchor's place belongs to the hull
+                hull = np.array([digest(raw[f : t + width], p - f) for f, t, p in zip(first.tolist(), last.tolist(), place.tolist(), strict=True)], np.uint64).view(np.int64)
+                times = np.ones(len(core), np.int64)
+                at = packed(first, last, place)
+                _, index, inverse, count = np.unique(np.stack([core, hull]), axis=1, return_index=True, return_inverse=True, return_counts=True)
+                if len(index) < len(core):
+                    many = count[inverse.ravel()] > 1
+                    edge = np.diff(np.concatenate([[0], many.astype(np.int8), [0]]))
+                    for x, y in zip(first[np.flatnonzero(edge == 1)].tolist(), last[np.flatnonzero(edge == -1) - 1].tolist(), strict=True):
+                        start = np.arange(x, y + 1, LONGEST)
+                        rows.append(np.full(len(start), i))
+                        for c, v in zip(cols, (np.zeros(len(start)), np.zeros(len(start)), np.zeros(len(start)), packed(start, np.minimum(start + LONGEST - 1, y), np.minimum(start + LONGEST - 1, y))), strict=True):
+                            c.append(v)
+                    core, hull, at, times = core[index], hull[index], at[index], count
+                rows.append(np.full(len(core), i))
+                for c, v in zip(cols, (core, hull, times, at), strict=True):
+                    c.append(v)
+            yield bundle_batch(b, rows, cols)
 
     return run
 
 
-def last_pass(width):
-    """Contexts sorted by anchor -> runs of windows that stand in several contexts of one anchor."""
-
-    def settle(group):
-        """[(row of the batch, from, to)] of contexts that occur once."""
-        seen = {}
-        for _, times, _, context in group:
-            for s in range(len(context) - width + 1):
-                window = context[s : s + width]
-                seen[window] = seen.get(window, 0) + times
-        out = []
-        for key, times, first, context in group:
-            if times == 1:
-                on = [seen[context[s : s + width]] > 1 for s in range(len(context) - width + 1)]
-                edge = [s for s in range(len(on)) if on[s] and not (s and on[s - 1])], [s for s in range(len(on)) if on[s] and not (s + 1 < len(on) and on[s + 1])]
-                out += [(key, first + a, first + z) for a, z in zip(*edge, strict=True)]
-        return out
+def finer(width, size):
+    """The bundles in demand, cut into such of at most `size` suffixes, aligned to the anchor."""
 
     def run(batches):
-        group, at, schema = [], None, None
+        digest = xxhash.xxh3_64_intdigest
         for b in batches:
-            schema = schema or b.schema
-            out = []
-            for key, row, anchor, times, first, context in zip(*(b.column(x).to_pylist() for x in ("_id", "_row", "anchor", "times", "first", "context")), strict=True):
-                if anchor != at:
-                    out += settle(group)
-                    group, at = [], anchor
-                group.append(((key, row), times, first, context))
-            yield told(out, schema)
-        if group:
-            yield told(settle(group), schema)
-
-    def told(out, schema):
-        cols = [pa.array([k[0] for k, _, _ in out], schema.field("_id").type)] + [pa.array(x, pa.int64()) for x in ([k[1] for k, _, _ in out], [f for _, f, _ in out], [z for _, _, z in out])]
-        return pa.record_batch(cols, names=["_id", "_row", "from", "to"])
+            rows, cols = [], ([], [], [], [])
+            for i, (raw, wanted) in enumerate(zip(C.raw(b.column("_text")), b.column("wanted").to_pylist(), strict=True)):
+                core, hull, times, at = [], [], [], []
+                for w in wanted:
+                    first, more, left = w["at"] >> 32, (w["at"] >> 16) & 0xFFFF, w["at"] & 0xFFFF
+                    last = first + more
+                    place = last + left
+                    for k in range(left // size, (place - first) // size + 1):
+                        late = place - k * size  # the last suffix of the bundle, and the first, if they are all here
+                        early = late - size + 1
+                        x, y = max(first, early), min(last, late)
+                        core.append(digest(raw[late : early + width], k))
+                        hull.append(digest(raw[x : y + width], late - y))
+                        times.append(w["times"])
+                        at.append((x << 32) | ((y - x) << 16) | (place - y))
+                rows.append(np.full(len(at), i))
+                for c, v in zip(cols, (np.array(core, np.uint64).view(np.int64), np.array(hull, np.uint64).view(np.int64), times, at), strict=True):
+                    c.append(v)
+            yield bundle_batch(b, rows, cols)
 
     return run
 
@@ -188,11 +168,12 @@ def cut(width):
             out = []
             for raw, runs in zip(C.raw(b.column("_text")), b.column("runs").to_pylist(), strict=True):
                 spans = []
-                for r in sorted((r["from"], r["to"]) for r in runs or []):
-                    if spans and r[0] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], r[1] + width)
+                for at in sorted(runs or []):
+                    start, end = at >> 32, (at >> 32) + ((at >> 16) & 0xFFFF) + width
+                    if spans and start <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], end)
                     else:
-                        spans.append([r[0], r[1] + width])
+                        spans.append([start, end])
                 starts, ends = [0, *(e for _, e in spans)], [*(s for s, _ in spans), len(raw)]
                 kept = b"".join(raw[s:e] for s, e in zip(starts, ends, strict=True)) if spans else raw
                 out.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in spans]))
@@ -204,59 +185,62 @@ def cut(width):
     return run
 
 
-def suffix_dedup(docs, id_col="doc_id", text_col="text", width=200, gram=48, folder=None):
+def suffix_dedup(docs, id_col="doc_id", text_col="text", width=200, gram=48, fine=12, folder=None):
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end of removed runs).
 
     Texts are UTF-8 bytes. A byte is removed if a string of `width` bytes covers it that also starts anywhere else, in
     the same text or another; strings don't cross texts, may overlap, and are judged on the input.
 
     Null and empty texts, and those below `width` bytes, lose nothing. Rows that repeat an id, or have none, are texts
-    of their own. No rows give no rows. An anchor, a context or a window may be as frequent as it likes: each is only
-    ever counted, with partial sums on the map side, and joined by Spark's skew-aware joins.
-    What the first pass keeps is written to folder (below spark.checkpoint.dir by default).
+    of their own. No rows give no rows. A core, a hull or a window may be as frequent as it likes: each is only ever
+    counted, with partial sums on the map side, and met by a join of two stored tables, whose skewed side Spark splits;
+    no task has to hold a group. A bundle that a pass hands on becomes a bounded number of finer ones, so that rows grow
+    with the input. `width` is less than 32,768. What a pass counts is written to folder (below spark.checkpoint.dir by default).
     """
     folder = folder or C.shared_dir(docs.sparkSession, "suffixes")
     kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"_id {kind}, _row long, core long, hull long, times long, at long"
     # rows of one id are told apart by their text; those of equal text too fare alike, whichever is which
     docs = C.pick(docs, _id=id_col, _text=text_col).withColumn("_row", F.xxhash64(C.whole(F.col("_text"))))
-    rows = docs.mapInArrow(occurrences(width, gram), f"_id {kind}, _row long, first long, last long, anchor long, c1 long, c2 long")
-
-    counted = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("c1").alias("low"), F.max("c1").alias("high")).where("n > 1")
-    groups = counted.select(F.col("anchor").alias("_anchor"), (F.col("low") != F.col("high")).alias("several"))
-    found = saved(rows.join(groups, F.col("anchor") == F.col("_anchor")).drop("_anchor"), folder, "occurrences")
-
-    several = found.where("several")
-    contexts = several.groupBy("anchor", "c1", "c2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("_id", "_row", "first", "last")).alias("at"))
-    contexts = saved(contexts.select("anchor", "c1", "c2", "times", "at.*"), folder, "contexts")
-    # an anchor of very many contexts is settled window by window, in shuffles that no group can overload
-    crowd = contexts.groupBy("anchor").count().where(F.col("count") > CROWD).select(F.col("anchor").alias("_a"))
-    contexts_ = contexts.join(crowd, F.col("anchor") == F.col("_a"), "left").withColumn("crowded", F.col("_a").isNotNull())
-    item = F.struct("anchor", "times", "first", "last")
-    wanted = contexts_.groupBy(F.col("_id").alias("_i"), F.col("_row").alias("_r")).agg(F.collect_list(F.when(~F.col("crowded"), item)).alias("few"), F.collect_list(F.when(F.col("crowded"), item)).alias("many"))
-    wanted = saved(wanted, folder, "wanted")
-
-    def texts(which):
-        own = wanted.where(F.size(which) > 0).select("_i", "_r", F.col(which).alias("wanted"))
-        near = C.maybe_in(docs, F.col("_row"), C.bit_filter(own.select("_r")), "_in").where("_in").drop("_in")
-        return near.join(own, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_row") == F.col("_r"))).select("_id", "_row", "_text", "wanted").dropDuplicates(["_id", "_row"])
-
-    spelled = texts("few").mapInArrow(contexts_of(width), f"_id {kind}, _row long, anchor long, times long, first long, context binary")
-    partly = spelled.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(last_pass(width), f"_id {kind}, _row long, from long, to long")
-    if not crowd.isEmpty():
-        windows = texts("many").mapInArrow(windows_of(width), f"_id {kind}, _row long, first long, anchor long, times long, window long")
-        again = windows.groupBy("anchor", "window").agg(F.sum("times").alias("n")).where("n > 1").drop("n")
-        partly = partly.unionByName(windows.where("times = 1").join(again, ["anchor", "window"], "left_semi").select("_id", "_row", F.col("first").alias("from"), F.col("first").alias("to")))
-
-    whole = several.join(contexts.where("times > 1").select("anchor", "c1", "c2"), ["anchor", "c1", "c2"], "left_semi").unionByName(found.where("not several").select(several.columns))
-    runs = whole.select("_id", "_row", F.col("first").alias("from"), F.col("last").alias("to")).unionByName(partly)
-    runs = saved(runs.groupBy(F.col("_id").alias("_i"), F.col("_row").alias("_r")).agg(F.collect_list(F.struct("from", "to")).alias("runs")), folder, "runs")
+    settled = []
+
+    def sort(bundles, name, last=False):
+        """Settles bundles of equal hulls; returns those that go on, one for each hull of a core that has several."""
+        bundles = saved(bundles, folder, name)
+        counted = bundles.where("times > 0").groupBy("core", "hull").agg(F.sum("times").alias("times"), *([] if last else [F.min(F.struct("_id", "_row", "at")).alias("one")]))
+        counted = saved(counted.where("times > 1") if last else counted, folder, f"{name}-counted")
+        fresh = bundles.where("times = 1" if name != "anchors" else "times > 0")
+        again = fresh.join(counted.where("times > 1").select("core", "hull"), ["core", "hull"], "left_semi")
+        settled.append(again.select("_id", "_row", "at"))
+        if name == "anchors":
+            settled.append(bundles.where("times = 0").select("_id", "_row", "at"))
+        if last:
+            return None
+        several = saved(counted.groupBy("core").count().where("count > 1").select("core"), folder, f"{name}-several")
+        return counted.join(several, "core", "left_semi").select("one.*", "times")
+
+    def cut_finer(bundles, name, size):
+        wanted = bundles.groupBy(F.col("_id").alias("_i"), F.col("_row").alias("_r")).agg(F.collect_list(F.struct("at", "times")).alias("wanted"))
+        wanted = saved(wanted, folder, f"{name}-wanted")
+        near = C.maybe_in(docs, F.col("_row"), C.bit_filter(wanted.select("_r")), "_in").where("_in").drop("_in")
+        texts = near.join(wanted, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_row") == F.col("_r"))).select("_id", "_row", "_text", "wanted").dropDuplicates(["_id", "_row"])
+        return texts.mapInArrow(finer(width, size), schema)
+
+    going = sort(docs.mapInArrow(by_anchor(width, gram), schema), "anchors")
+    going = sort(cut_finer(going, "bundles", fine), "bundles")
+    sort(cut_finer(going, "windows", 1), "windows", last=True)
+
+    runs = settled[0]
+    for more in settled[1:]:
+        runs = runs.unionByName(more)
+    runs = saved(runs.groupBy(F.col("_id").alias("_i"), F.col("_row").alias("_r")).agg(F.collect_list("at").alias("runs")), folder, "runs")
 
     # texts without any run are cut where they are read; only the others are shuffled
     marked = C.maybe_in(docs, F.col("_row"), C.bit_filter(runs.select("_r")), "_in")
     some = marked.where("_in").join(runs, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_row") == F.col("_r")), "left").select("_id", "_text", "runs")
-    none = marked.where("not _in").select("_id", "_text", F.lit(None).cast("array<struct<from:bigint,to:bigint>>").alias("runs"))
-    schema = f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
-    return some.unionByName(none).mapInArrow(cut(width), schema).withColumnRenamed("_id", id_col)
+    none = marked.where("not _in").select("_id", "_text", F.lit(None).cast("array<bigint>").alias("runs"))
+    result = f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
+    return some.unionByName(none).mapInArrow(cut(width), result).withColumnRenamed("_id", id_col)
 
 
 def op6_suffix_dedup(spark, sf_dir):

@@ -153,14 +153,19 @@ def test_near_dedup_in_large_buckets(spark, monkeypatch):
     assert 1 < len(set(root)) < 60
 
 
-def test_suffix_dedup_against_all_windows(spark, corpus, monkeypatch):
+def test_suffix_dedup_against_all_windows(spark, corpus):
+    rng = random.Random(17)
+    passage = words(rng, 60)
+    odd = [("a" * 900,), ("ab" * 500,), ("abcdefg" * 80 + words(rng, 20),), (words(rng, 30) + "a" * 450,), (words(rng, 50) + "\n" + passage[:-3] + "q",)]
+    odd += [(f"{words(rng, rng.randrange(30))} {passage[: rng.randrange(150, len(passage))]} {words(rng, 30)}",) for _ in range(12)]
+    rows = [*corpus, *((600 + k, t) for k, (t,) in enumerate(odd)), (600, "a" * 900), (700, passage), (700, passage)]
     seen = {}
-    for k, (_, t) in enumerate(corpus):
+    for _, t in rows:
         b = (t or "").encode()
         for s in range(len(b) - 199):
             seen[b[s : s + 200]] = seen.get(b[s : s + 200], 0) + 1
     want = []
-    for i, t in corpus:
+    for i, t in rows:
         b = (t or "").encode()
         off = [False] * len(b)
         for s in range(len(b) - 199):
@@ -168,11 +173,10 @@ def test_suffix_dedup_against_all_windows(spark, corpus, monkeypatch):
                 off[s : s + 200] = [True] * 200
         kept = bytes(x for x, o in zip(b, off, strict=True) if not o)
         want.append((i, len(b), sum(off), sum(o and not (k and off[k - 1]) for k, o in enumerate(off)), hashlib.sha256(kept).hexdigest()))
-    for crowd in (2000, 0):
-        monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
-        got = suffix_dedup.suffix_dedup(docs(spark, corpus))
+    for fine in (12, 1, 200):
+        got = suffix_dedup.suffix_dedup(docs(spark, rows), fine=fine)
         assert by_id(got, "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=str)
-    assert sum(w[2] > 0 for w in want) > 10
+    assert sum(w[2] > 0 for w in want) > 25
     assert suffix_dedup.suffix_dedup(docs(spark, [])).count() == 0
 
 
