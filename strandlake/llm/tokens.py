@@ -1,15 +1,19 @@
 """Token ids of whole texts through a vocabulary file of the tokenizers library."""
 
+import os
 import re
 import struct
 
 import numpy as np
+import regex
 
 #: A space between two others than white space is the start of a new pre-token in byte-level vocabularies.
 EDGE = re.compile(r"(?<=\S)(?= \S)")
 CROWDED = re.compile(r"\s \s")
-#: Stretches that a worker remembers, about 150 bytes each.
-KEEP = 1_000_000
+# Fixed value: the pre-tokens of byte-level vocabularies.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Words that a worker remembers, about 150 bytes each.
+KEEP = 300_000
 
 
 def byte_letters():
@@ -23,47 +27,68 @@ _encoders = {}
 
 
 def encoder(path):
-    """One encoder for each worker and file; what it remembers outlives the task."""
+    """One encoder for each worker and file; what it remembers, some 45 MB at most, outlives the task."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
 class Encoder(dict):
-    """Stretch of text -> its ids as bytes.
+    """Word -> the ids of a space and the word, as bytes; ids are those that the library gives without adding special tokens.
 
-    A byte-level vocabulary splits at each single space before encoding, so the ids of a text are those of its
-    stretches in a row; each different stretch is encoded once and then remembered, up to `keep` of them.
+    A byte-level vocabulary splits at each single space before encoding, so the ids of a text are those of its words,
+    each with its space, in a row. The words met last are remembered, between half of `keep` and `keep` of them: when
+    half of it is full, it becomes the older half. Texts that hold the string of an added token are left to the library
+    whole, which splits there first.
     """
 
     def __init__(self, path, keep=KEEP):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.keep, self.letters, self.model = keep, byte_letters(), self.tokenizer.model
+        self.half, self.older, self.short, self.letters = max(1, keep // 2), {}, {}, byte_letters()
+        self.formats = [struct.Struct(f"<{n}{self.kind.char}").pack for n in range(64)]
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = Tokenizer.from_file(path).model
+        self.model._resize_cache(0)  # what is remembered is remembered here
 
     def encode(self, text):
         """The ids as little-endian unsigned numbers of `kind`."""
-        parts = text.split(" ") if not CROWDED.search(text) else None
-        if parts is None:
-            return b"".join(map(self.__getitem__, EDGE.split(text)))
-        head = self[parts[0]] if parts[0] else b""
-        return head + b"".join([self[" " + x] for x in parts[1:]])
-
-    def __missing__(self, part):
-        word = part[1:] if part[0] == " " else part
-        if word.isalpha():  # a single pre-token
-            ids = [x.id for x in self.model.tokenize(part.encode().decode("latin1").translate(self.letters))]
-        elif len(word) > 1 and word[-1] in ".,;:!?" and word[:-1].isalpha():  # a mark after letters is a pre-token of its own
-            return self[part[:-1]] + self[part[-1]]
-        else:
-            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        ids = struct.pack(f"<{len(ids)}{self.kind.char}", *ids)
-        if len(self) < self.keep and len(part) < 64:
-            self[part] = ids
+        if any(x in text for x in self.added):
+            return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if CROWDED.search(text):
+            return b"".join([self[x[1:]] if x[0] == " " else self.pieces(x) for x in EDGE.split(text)])
+        head, *rest = text.split(" ")
+        return (self.pieces(head) if head else b"") + b"".join(map(self.__getitem__, rest))
+
+    def packed(self, ids):
+        return self.formats[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}{self.kind.char}", *ids)
+
+    def piece(self, text):
+        """Of a single pre-token; short ones are remembered, up to 10,000 of them."""
+        if (ids := self.short.get(text)) is None:
+            ids = self.packed([x.id for x in self.model.tokenize(text.encode().decode("latin1").translate(self.letters))])
+            if len(text) < 4 and len(self.short) < 10_000:
+                self.short[text] = ids
+        return ids
+
+    def pieces(self, text):
+        return b"".join([self[x[1:]] if x[0] == " " and x[1:].isalpha() else self.piece(x) for x in PIECE.findall(text)])
+
+    def __missing__(self, word):
+        ids = self.older.get(word)
+        if ids is None:
+            if word.isalpha():
+                ids = self.packed([x.id for x in self.model.tokenize("Ġ" + word)]) if word.isascii() else self.piece(" " + word)
+            elif word[:-1].isalpha() and word[-1] in ".,;:!?":
+                ids = self[word[:-1]] + self.piece(word[-1])
+            else:
+                ids = self.pieces(" " + word)
+        if len(word) < 64:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
         return ids
