@@ -21,6 +21,11 @@ def pick(df, **columns):
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
 
 
+def beside(name, results):
+    """The name under which an extra column goes beside the result columns: x_<name> where one of them has it."""
+    return f"x_{name}" if name.lower() in {r.lower() for r in results} else name
+
+
 def whole(column):
     """Null texts count as empty."""
     return F.coalesce(column, F.lit(""))

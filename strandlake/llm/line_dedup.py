@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from . import common as C
+from .components import saved
 
 
 def line_key(line, least):
@@ -46,7 +47,7 @@ def reassemble(least):
     return run
 
 
-def line_dedup(docs, id_col="doc_id", text_col="text", least_chars=40, least_docs=5, extra=()):
+def line_dedup(docs, id_col="doc_id", text_col="text", least_chars=40, least_docs=5, extra=(), folder=None):
     """One row per input row: id, the extra columns, n_lines, n_dropped, kept_text.
 
     Lines end at \\n. A line's key is the line stripped of [\\x20\\x09-\\x0D] with A-Z in lower case. A key of at
@@ -54,20 +55,25 @@ def line_dedup(docs, id_col="doc_id", text_col="text", least_chars=40, least_doc
     largest id that holds it; the other lines stay, in their places.
 
     Null or empty text is one empty line. Rows that share an id count as one document and are each reassembled; rows
-    with a null id count as one document, smaller than any other. Extra columns pass through. No rows give no rows.
+    with a null id count as one document, smaller than any other. Extra columns pass through, as x_<name> where
+    a result column has the name. No rows give no rows.
 
     Keys travel as 16-byte hashes, once per document; counting combines on the map side; texts are shuffled once, to
-    meet the list of keys that their document loses.
+    meet the list of keys that their document loses. The keys over the threshold are written to folder (below
+    spark.checkpoint.dir by default), so that Spark knows their size when it joins: small, they are broadcast; else a
+    line that very many documents share is a skewed key that it splits.
     """
-    keys = C.pick(docs, _id=id_col, _text=text_col).mapInArrow(explode_keys(least_chars), f"_id {docs.schema[id_col].dataType.simpleString()}, _key binary").distinct()
-    common = keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keep")).where(F.col("_n") >= least_docs)
+    keys = C.pick(docs, _id=id_col, _text=text_col).mapInArrow(explode_keys(least_chars), f"_id {docs.schema[id_col].dataType.simpleString()}, _key binary")
+    common = keys.distinct().groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_keep")).where(F.col("_n") >= least_docs)
+    common = saved(common.select("_key", "_keep"), folder or C.shared_dir(docs.sparkSession, "lines"), "common")
     lost = keys.join(common, "_key").where(~F.col("_id").eqNullSafe(F.col("_keep")))
-    lost = lost.groupBy("_id").agg(F.collect_list("_key").alias("_drop")).withColumnRenamed("_id", "_lost")
-    rows = docs.select(F.col(id_col).alias("_id"), *(F.col(c).alias(f"_x_{c}") for c in extra), F.col(text_col).alias("_text"))
+    lost = lost.groupBy("_id").agg(F.collect_set("_key").alias("_drop")).withColumnRenamed("_id", "_lost")
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), *(F.col(f"`{c}`").alias(f"_x_{c}") for c in extra), F.col(f"`{text_col}`").alias("_text"))
     rows = rows.join(lost, F.col("_id").eqNullSafe(F.col("_lost")), "left").drop("_lost")
     kinds = "".join(f"`_x_{c}` {docs.schema[c].dataType.simpleString()}, " for c in extra)
     out = rows.mapInArrow(reassemble(least_chars), f"_id {docs.schema[id_col].dataType.simpleString()}, {kinds}n_lines long, n_dropped long, kept_text string")
-    return out.select(F.col("_id").alias(id_col), *(F.col(f"_x_{c}").alias(c) for c in extra), "n_lines", "n_dropped", "kept_text")
+    names = (id_col, "n_lines", "n_dropped", "kept_text")
+    return out.select(F.col("_id").alias(id_col), *(F.col(f"`_x_{c}`").alias(C.beside(c, names)) for c in extra), "n_lines", "n_dropped", "kept_text")
 
 
 def op3_line_dedup(spark, sf_dir):
