@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as C
+from .components import saved
 
 
 @F.arrow_udf(T.BinaryType())
@@ -16,13 +17,16 @@ def text_digest(text: pa.Array) -> pa.Array:
     return pa.array([None if x is None else hashlib.sha256(x.lower()).digest() for x in raw], pa.binary())
 
 
-def exact_dedup(docs, id_col="doc_id", text_col="text", prefix=64, bits=22, carry=None):
+def exact_dedup(docs, id_col="doc_id", text_col="text", prefix=64, bits=None, carry=None, folder=None):
     """One row per input row: id, keep_id, group_size, kept, and the carried columns.
 
     Texts are equal when identical after lower-casing A-Z. The row with the largest id stays.
     Every step reads narrower evidence first: byte lengths that two rows share, then the hash of the first `prefix`
     characters, and only rows that still have a possible twin are hashed in full. The steps are handed on as bitmaps
-    of 2**bits places (0.5 MB at 22), so no text is shuffled; a crowded bitmap costs time, never a row.
+    of 2**bits places, so no text is shuffled. By default bits follow the number of rows, 16 places for each, between
+    2**20 and 2**25 (some 20 MB, the most that is broadcast); beyond that a crowded bitmap costs time, never a row. Rows
+    hashed in full and their groups are written to folder (below spark.checkpoint.dir by default), so that a large
+    group is a skewed key that Spark splits when they are joined.
 
     Null text counts as empty. A null id counts as smaller than any other. Rows that repeat an id and a text
     are all returned, and only one of those with the kept id has kept = true. No rows give no rows.
@@ -30,6 +34,8 @@ def exact_dedup(docs, id_col="doc_id", text_col="text", prefix=64, bits=22, carr
     """
     rows = C.pick(docs, _id=id_col, _text=text_col).withColumn("_text", C.whole(F.col("_text")))
     rows = rows.withColumn("_n", F.octet_length("_text").cast("long"))
+    folder = folder or C.shared_dir(docs.sparkSession, "exact")
+    bits = bits or min(25, max(20, (16 * docs.count()).bit_length()))
     shared = rows.groupBy("_n").count().where("count > 1").select("_n")
     rows = C.maybe_in(rows, F.col("_n"), C.bit_filter(shared, bits), "_again", bits)
 
@@ -48,8 +54,9 @@ def exact_dedup(docs, id_col="doc_id", text_col="text", prefix=64, bits=22, carr
     some = rows.where("_full is not null").groupBy("_full", "_id").agg(
         F.count(F.lit(1)).alias("_copies"), *(F.first(k).alias(k) for k in extra)
     )
+    some = saved(some, folder, "hashed")
     groups = some.groupBy("_full").agg(F.sum("_copies").alias("group_size"), F.max("_id").alias("keep_id"))
-    some = some.join(groups, "_full").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    some = some.join(saved(groups, folder, "groups"), "_full").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return alone.unionByName(some.select(
         F.col("_id").alias(id_col), "keep_id", "group_size", ((F.col("_i") == 1) & F.col("_id").eqNullSafe(F.col("keep_id"))).alias("kept"), *extra
     ))
