@@ -2,13 +2,16 @@
 
 Archives are gzip members, one a record. The index holds one JSON line a capture, `key page_id {...}`, sorted by the
 URL's reversed-host key, in compressed blocks of some thousand lines; a sparse directory keeps each block's first and
-last key and its place. A look-up binary-searches the directory, reads one block by range, then the record by range.
+last key and its place, sorted by key. A look-up binary-searches the directory, reads one block by range, then the record
+by range. Reading everything back deals the directory's blocks over tasks instead, so that a key that very many captures
+share is spread.
 """
 
 import base64
 import gzip
 import hashlib
 import json
+import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from urllib.parse import quote, urlsplit
@@ -20,10 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as C
+from .components import saved
 
 CAPTURES = "key string, page_id long, file string, offset long, length long, record_type string, refers_to long"
 DIRECTORY = "file string, block long, first_key string, last_key string, offset long, length long, n long"
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+SAFE = ":/?#[]@!$&()*+,;=%~"  # stay as they are in a Target-URI
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
@@ -45,20 +50,22 @@ def reversed_host(url):
     return f"{key}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")
 
 
-def record(page_id, url, payload, digest, refers_to, date):
-    """One WARC/1.1 record: response with its payload, or revisit of the response of page refers_to without."""
+def record(page_id, url, payload, digest, refers_to, date, place):
+    """One WARC/1.1 record: response with its payload, or revisit of the response of page refers_to without.
+
+    place (file and offset) makes its record id. Page ids are in fields of our own; a null URL is told by urn:page:.
+    """
     block = b"" if refers_to is not None else HTTP % len(payload) + payload
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, place)}>", f"WARC-Date: {date}", f"Page-ID: {'' if page_id is None else page_id}",
+        f"WARC-Target-URI: {f'urn:page:{page_id}' if url is None else quote(url, safe=SAFE)}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}", f"Content-Length: {len(block)}",
     ]
-    if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}")
     if refers_to is None:
         head.append("Content-Type: application/http; msgtype=response")
     else:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"Refers-To-Page-ID: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 1, mtime=0)
 
 
@@ -66,10 +73,11 @@ def parse(member):
     """(page_id, url, record_type, payload or None, digest in base32, refers_to) of a record's gzip member."""
     head, _, rest = zlib.decompress(member, 31).partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    number = lambda x: int(x) if (x := x[len("<urn:page:") : -1]) else None
+    number = lambda x: int(x) if x else None
+    url = fields["WARC-Target-URI"]
     revisit = fields["WARC-Type"] == "revisit"
     payload = None if revisit else rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
-    return number(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), fields["WARC-Type"], payload, fields["WARC-Payload-Digest"][5:], number(fields["WARC-Refers-To"]) if revisit else None
+    return number(fields["Page-ID"]), None if url.startswith("urn:page:") else url, fields["WARC-Type"], payload, fields["WARC-Payload-Digest"][5:], number(fields["Refers-To-Page-ID"]) if revisit else None
 
 
 def write_archives(folder, date):
@@ -86,7 +94,7 @@ def write_archives(folder, date):
                 rows = []
                 cols = (b.column(x).to_pylist() for x in ("_id", "_url", "_digest", "_refers"))
                 for page_id, url, digest, refers, payload in zip(*cols, C.raw(b.column("_html")), strict=True):
-                    member = record(page_id, url, payload, digest, refers, date)
+                    member = record(page_id, url, payload, digest, refers, date, f"{name}:{offset}")
                     out.write(member)
                     rows.append((reversed_host(url), page_id, name, offset, len(member), "response" if refers is None else "revisit", refers))
                     offset += len(member)
@@ -142,12 +150,15 @@ def write_warc(pages, folder, id_col="page_id", url_col="url", html_col="html",
     Of rows with equal payloads of at least least_bytes bytes, those with the smallest id are responses and the others
     revisit it; smaller payloads are all responses. The payload is the html in UTF-8; null counts as empty.
     A null id is larger than any other; if all ids of a group are null, all are responses. Rows that repeat an id and a
-    payload are all responses or all revisits. A null URL has no Target-URI and the key ''. No rows give no archive.
+    payload are all responses or all revisits. A null URL has a Target-URI of urn:page: and the key ''. Columns besides the
+    three don't matter. No rows give no archive.
     Folder: archives in archive, index blocks in index, the sparse directory as a Parquet table in directory.
     """
     rows = C.pick(pages, _id=id_col, _url=url_col, _html=html_col).withColumn("_id", F.col("_id").cast("long")).withColumn("_digest", sha1("_html"))
     groups = rows.where(F.coalesce(F.octet_length("_html"), F.lit(0)) >= least_bytes).groupBy(F.col("_digest").alias("_group")).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    rows = rows.join(groups.where("_n > 1").drop("_n"), F.col("_digest") == F.col("_group"), "left").withColumn("_refers", F.when(~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first")))
+    # stored, so that Spark knows their size: few are broadcast; else a very common page is a skewed key that it splits
+    groups = saved(groups.where("_n > 1").drop("_n"), folder, "groups")
+    rows = rows.join(groups, F.col("_digest") == F.col("_group"), "left").withColumn("_refers", F.when(~F.col("_id").eqNullSafe(F.col("_first")), F.col("_first")))
     captures = rows.mapInArrow(write_archives(f"{folder}/archive", date), CAPTURES)
     captures.write.parquet(f"{folder}/captures")  # the files are written once, whatever is read of their places
     order = ["key", F.col("page_id").asc_nulls_first(), "file", "offset"]
@@ -217,19 +228,37 @@ def read_warc(spark, folder, with_payload=True):
     return places.mapInArrow(read_members(f"{folder}/archive", with_payload), RECORDS)
 
 
+def blocks_of(directory, keys):
+    """{row: [key]} of a batch of the directory: blocks that may hold a key, by binary search in each index file's rows."""
+    file, first, last = (directory.column(x) for x in ("file", "first_key", "last_key"))
+    names = file.to_pylist()
+    edges = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+    out = {}
+    for start, end in zip(edges, edges[1:], strict=False):
+        for k in keys:
+            at = bisect_left(range(end), k, lo=start, key=lambda i: last[i].as_py())
+            while at < end and first[at].as_py() <= k:  # a key may fill several blocks
+                out.setdefault(at, []).append(k)
+                at += 1
+    return out
+
+
 def find(spark, folder, urls):
-    """Records of the given URLs (a list, of at most some thousands): directory, block, record, each by range."""
+    """Records of the given URLs (a list, of at most some thousands): directory, block, record, each by range.
+
+    The scan of the directory skips row groups outside the keys' range; the rest of it is binary-searched for each key,
+    and only blocks that may hold one are read.
+    """
     keys = sorted({reversed_host(u) for u in urls})
-    directory = spark.read.parquet(f"{folder}/directory")
+    if not keys:
+        return spark.createDataFrame([], RECORDS)
+    directory = spark.read.parquet(f"{folder}/directory").where((F.col("first_key") <= keys[-1]) & (F.col("last_key") >= keys[0]))
 
     def search(batches):
         store, base = fs.FileSystem.from_uri(f"{folder}/index")
         for b in batches:
-            for file, first, last, offset, length in zip(*(b.column(x).to_pylist() for x in ("file", "first_key", "last_key", "offset", "length")), strict=True):
-                wanted = keys[bisect_left(keys, first) : bisect_right(keys, last)]
-                if not wanted:
-                    continue
-                lines = read_block(store, base, file, offset, length)
+            for at, wanted in blocks_of(b, keys).items():
+                lines = read_block(store, base, *(b.column(x)[at].as_py() for x in ("file", "offset", "length")))
                 own = [x[0] for x in lines]
                 got = [x for k in wanted for x in lines[bisect_left(own, k) : bisect_right(own, k)]]
                 if got:
@@ -242,9 +271,10 @@ def find(spark, folder, urls):
 def op10_warc(spark, sf_dir):
     folder = C.shared_dir(spark, "warc")
     write_warc(C.read(spark, sf_dir, "pages"), folder)
-    records = read_warc(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = saved(read_warc(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), folder, "read")
     first = records.where("record_type = 'response'").select(F.col("page_id").alias("_page"), F.col("payload_bytes").alias("_bytes"))
     first = first.join(records.where("record_type = 'revisit'").select(F.col("refers_to").alias("_page")).distinct(), "_page", "left_semi").groupBy("_page").agg(F.max("_bytes").alias("_bytes"))
+    first = saved(first, folder, "referred")
     # a revisit has the payload of the response that it refers to
     return records.join(first, records.refers_to == first._page, "left").select("page_id", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
