@@ -26,7 +26,7 @@ def sign(k, bins, rows):
                     out.append((0, None, None, None))
             kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
             cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.record_batch([b.column("_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["_id", "n", "digest", "bands", "sketch"])
+            yield pa.record_batch([b.column("_id"), b.column("_row"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["_id", "_row", "n", "digest", "bands", "sketch"])
 
     return run
 
@@ -71,34 +71,27 @@ def confirmed(pairs, docs, k, percent):
 
 
 def sets_of(k):
-    """(digest, set in 32 bits) of the texts that belong to a digest in demand."""
+    """(digest, set in 32 bits) of texts with their digests."""
 
     def run(batches):
         for b in batches:
             digests, sets = [], []
             for raw, digest in zip(C.raw(b.column("_text")), b.column("digest").to_pylist(), strict=True):
-                own = S.shingles(raw, k)
-                if S.digest(own) == digest:
-                    digests.append(digest)
-                    sets.append(np.unique((own >> np.uint64(32)).astype(np.uint32)).tobytes())
+                digests.append(digest)
+                sets.append(np.unique((S.shingles(raw, k) >> np.uint64(32)).astype(np.uint32)).tobytes())
             yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["digest", "own"])
 
     return run
 
 
 def spell(k):
-    """(_id, shingle) of the texts that belong to a digest in demand."""
+    """(digest, shingle) of texts with their digests."""
 
     def run(batches):
         for b in batches:
-            ids, hashes = [], []
-            for doc_id, raw, digest in zip(b.column("_id").to_pylist(), C.raw(b.column("_text")), b.column("digest").to_pylist(), strict=True):
-                own = S.shingles(raw, k)
-                if S.digest(own) == digest:
-                    ids.append(np.full(len(own), doc_id, np.int64))
-                    hashes.append(own.view(np.int64))
-            none = [np.empty(0, np.int64)]
-            yield pa.record_batch([pa.array(np.concatenate(ids or none)), pa.array(np.concatenate(hashes or none))], names=["_id", "shingle"])
+            own = [S.shingles(raw, k).view(np.int64) for raw in C.raw(b.column("_text"))]
+            at = np.repeat(np.arange(len(own)), [len(x) for x in own])
+            yield pa.record_batch([b.column("digest").take(pa.array(at)), pa.array(np.concatenate([*own, np.empty(0, np.int64)]))], names=["digest", "shingle"])
 
     return run
 
@@ -118,8 +111,9 @@ def compare(least, percent):
     whose sketches agree in `least` places.
 
     shared bounds how many of its n shingles a set can have in common with any other here, and so a pair's similarity.
-    Members of large buckets also bring their sets in 32 bits, which tell too little apart only by overrating a pair,
-    and all their bands: a pair is looked at in the first band that it shares.
+    Members of large buckets also bring their sets in 32 bits, and all their bands: a pair is looked at in the first
+    band that it shares. What the intersection may have lost to equal 32-bit values (at most what the set that lost
+    fewer has lost) is added, so that a pair is only ever overrated.
     """
 
     def pairs(unit):
@@ -138,7 +132,7 @@ def compare(least, percent):
             if large and len(at):
                 at = at[bands[i][(bands[at] == bands[i]).argmax(axis=1)] == unit[0][0]]
             for j in at.tolist():
-                if large and 100 * (k := together(own[i], own[j])) < percent * (n[i] + n[j] - k):
+                if large and 100 * (k := together(own[i], own[j]) + min(n[i] - len(own[i]), n[j] - len(own[j]))) < percent * (n[i] + n[j] - k):
                     continue
                 u, v = (i, j) if rep[i] <= rep[j] else (j, i)
                 yield unit[u][3], unit[u][4], unit[v][3], unit[v][4]
@@ -185,10 +179,11 @@ def near_dedup(docs, id_col="doc_id", text_col="text", words=5, percent=80, bins
     """
     spark = docs.sparkSession
     folder = folder or C.shared_dir(spark, "near")
-    docs = C.pick(docs, _id=id_col, _text=text_col).withColumn("_id", F.col("_id").cast("long"))
-    signed = saved(docs.mapInArrow(sign(words, bins, rows), "_id long, n long, digest binary, bands array<long>, sketch binary"), folder, "signed")
-    reps = signed.where("_id is not null and digest is not null").groupBy("digest").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    reps = saved(reps, folder, "representatives")
+    # rows of one id are told apart by their text
+    docs = C.pick(docs, _id=id_col, _text=text_col).withColumn("_id", F.col("_id").cast("long")).withColumn("_row", F.xxhash64(C.whole(F.col("_text"))))
+    signed = saved(docs.mapInArrow(sign(words, bins, rows), "_id long, _row long, n long, digest binary, bands array<long>, sketch binary"), folder, "signed")
+    reps = signed.where("_id is not null and digest is not null").groupBy("digest").agg(F.min(F.struct("_id", "_row")).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps = saved(reps.select("digest", F.col("least._id").alias("rep"), F.col("least._row").alias("row"), "n", "bands", "sketch"), folder, "representatives")
 
     each = reps.select("rep", "digest", F.explode("bands").alias("band"))
     stars = each.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rep", "digest")).alias("centre")).where("size > 1")
@@ -221,12 +216,13 @@ def near_dedup(docs, id_col="doc_id", text_col="text", words=5, percent=80, bins
 def left_over(open_, reps, docs, words, percent, bins):
     """Pairs across components that share a bucket and whose sketches agree far enough."""
     crowd = open_.where(F.col("size") > SMALL).select("rep", "digest").distinct()
-    texts = C.maybe_in(docs, F.col("_id"), C.bit_filter(crowd.select("rep")), "_in").where("_in").select("_id", "_text")
-    texts = texts.join(crowd, F.col("_id") == F.col("rep")).select("_id", "_text", "digest").dropDuplicates(["_id", "digest"])
-    spelled = texts.mapInArrow(spell(words), "_id long, shingle long")
-    alone = spelled.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("_id").alias("_id")).where("c = 1").groupBy("_id").agg(F.count(F.lit(1)).alias("mine"))
+    crowd = crowd.join(reps.select("digest", "row"), "digest")
+    texts = C.maybe_in(docs, F.col("_id"), C.bit_filter(crowd.select("rep")), "_in").where("_in").select("_id", "_row", "_text").dropDuplicates(["_id", "_row"])
+    texts = texts.join(crowd, (F.col("_id") == F.col("rep")) & (F.col("_row") == F.col("row"))).select("_text", "digest")
+    spelled = texts.mapInArrow(spell(words), "digest binary, shingle long")
+    alone = spelled.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("digest").alias("digest")).where("c = 1").groupBy("digest").agg(F.count(F.lit(1)).alias("mine"))
     sized = open_.join(reps.select("digest", "n", "sketch", "bands"), "digest")
-    big = sized.where(F.col("size") > SMALL).join(alone.withColumnRenamed("_id", "rep"), "rep", "left").withColumn("shared", F.col("n") - F.coalesce("mine", F.lit(0)))
+    big = sized.where(F.col("size") > SMALL).join(alone, "digest", "left").withColumn("shared", F.col("n") - F.coalesce("mine", F.lit(0)))
     big = big.where(100 * F.col("shared") >= percent * F.col("n")).join(texts.mapInArrow(sets_of(words), "digest binary, own binary").dropDuplicates(["digest"]), "digest").drop("mine")
     small = sized.where(F.col("size") <= SMALL).withColumn("shared", F.col("n")).withColumn("bands", F.lit(None).cast("array<long>")).withColumn("own", F.lit(None).cast("binary"))
     left = small.unionByName(big)
@@ -244,3 +240,16 @@ def left_over(open_, reps, docs, words, percent, bins):
 
 def op9_near_dedup(spark, sf_dir):
     return near_dedup(C.read(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS g FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * k >= 85 * (na + nb - k)),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach(id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, u.b FROM reach r JOIN u ON u.a = r.other),
+c AS (SELECT id AS doc_id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, component_id = doc_id AS kept FROM s JOIN c USING (doc_id)
+"""
