@@ -28,7 +28,8 @@ class Bins:
         self.room, self.mask, self.used, self.count = {}, 0, {}, 0
 
     def put(self, size):
-        """(bin, offset) of a piece: in the open bin with the least room that holds it, the oldest of those, or in a new one."""
+        """(bin, offset) of a piece: in the open bin with the least room that holds it, of those the last to
+        come to that room, or in a new one."""
         if fitting := self.mask >> size:
             left = size + (fitting & -fitting).bit_length() - 1
             at = self.room[left].pop()
