@@ -49,6 +49,10 @@ def shape(token):
     token = token[1:] if lead else token
     if len(token) == 1 and not token.isalnum():
         return f"{lead}{token}" if token.isascii() else f"{lead}sign"
+    n = len(token)
+    if n > 1 and token.isascii() and token.isalpha() and token[1:].islower():  # most words
+        kind = f"{lead}{'l' if token[0].islower() else 'lu'}:{n if n < 5 else min(n, 64).bit_length()}"
+        return kind if n < 5 else f"{kind}:-:{'' if token.lower().strip('abcdef') else 'x'}"
     letters = "".join(sorted({("d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o") for c in token}))
     kind = f"{lead}{letters}:{min(len(token), 64).bit_length() if len(token) > 4 else len(token)}"
     if len(token) < 5:
