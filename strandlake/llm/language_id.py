@@ -1,8 +1,8 @@
 """Language identification with hyperdimensional n-gram profiles.
 
-Each letter has a random vector of +1 and -1. An n-gram is bound by permuting the vector of each letter by its place and
-multiplying; a text bundles its n-grams by adding them up. Languages have the bundle of their texts as prototype, and a
-text gets the language with the largest cosine.
+Each letter has a random vector of +1 and -1, drawn from its code point. An n-gram is bound by permuting the vector of each
+letter by its place and multiplying; a text bundles its n-grams by adding them up. Languages have the bundle of their
+texts as prototype, and a text gets the language with the largest cosine.
 """
 
 import zlib
@@ -12,34 +12,31 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from . import common as C
+from .shingles import mix
 
-#: Symbols: 0 between words, 1-26 a-z, 27-63 other letters by code point.
-SYMBOLS, OTHERS = 64, 37
+POINT = 21  # bits of a code point
 ROWS = 128  # texts whose n-grams are bound together
 
 _tables = {}
 
 
 def symbols():
-    """Symbol of each code point of the basic plane, of either case."""
+    """Symbol of each code point of the basic plane: the letter in lower case, 0 for what is no letter."""
     if "symbols" not in _tables:
-        table = np.zeros(1 << 16, np.uint8)
-        for x in range(1 << 16):
-            c = chr(x)
-            if c.isalpha():
-                low = ord(c.lower()[0])
-                table[x] = low - 96 if 97 <= low <= 122 else 27 + low % OTHERS
-        _tables["symbols"] = table
+        _tables["symbols"] = np.array([symbol(x) for x in range(1 << 16)], np.int64)
     return _tables["symbols"]
 
 
-def letters(n, dimensions, seed):
-    """n arrays of the symbols' vectors, the k-th rotated by k places."""
-    key = (n, dimensions, seed)
-    if key not in _tables:
-        base = np.random.default_rng(seed).integers(0, 2, (SYMBOLS, dimensions)).astype(np.float32) * 2 - 1
-        _tables[key] = [np.roll(base, n - 1 - k, axis=1) for k in range(n)]
-    return _tables[key]
+def symbol(point):
+    c = chr(point)
+    return ord(c.lower()[0]) if c.isalpha() else 0
+
+
+def vectors(points, dimensions, seed):
+    """Rows of +1 and -1: 64 of them from each hash of the code point, the seed and a counter."""
+    words = -(-dimensions // 64)
+    hashes = mix(mix(points.astype(np.uint64) + np.uint64(seed << 32))[:, None] + np.arange(1, words + 1, dtype=np.uint64))
+    return np.unpackbits(hashes.view(np.uint8), axis=1)[:, :dimensions].astype(np.float32) * 2 - 1
 
 
 def grams(text, n):
@@ -47,25 +44,26 @@ def grams(text, n):
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     own = symbols()[np.minimum(points, 0xFFFF)]
     if (high := points > 0xFFFF).any():
-        own[high] = [27 + x % OTHERS if chr(x).isalpha() else 0 for x in points[high].tolist()]
+        own[high] = [symbol(x) for x in points[high].tolist()]
     if not own.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    own = np.concatenate([[0], own, [0]]).astype(np.int32)
+    own = np.concatenate([[0], own, [0]])
     own = own[np.append(True, (own[1:] != 0) | (own[:-1] != 0))]
     if len(own) < n:
-        own = np.append(own, np.zeros(n - len(own), np.int32))
+        own = np.append(own, np.zeros(n - len(own), np.int64))
     codes = own[: len(own) - n + 1].copy()
     for k in range(1, n):
-        codes = codes * SYMBOLS + own[k : len(own) - n + 1 + k]
+        codes = (codes << POINT) | own[k : len(own) - n + 1 + k]
     return np.unique(codes, return_counts=True)
 
 
 def bind(codes, n, dimensions, seed):
-    tables = letters(n, dimensions, seed)
-    out = tables[-1][codes % SYMBOLS].copy()
-    for k in range(n - 2, -1, -1):
-        codes = codes // SYMBOLS
-        out *= tables[k][codes % SYMBOLS]
+    """The product of the letters' vectors, the k-th letter's rotated by n - 1 - k places."""
+    out = None
+    for k in range(n):  # from the last letter on
+        points, at = np.unique((codes >> (POINT * k)) & ((1 << POINT) - 1), return_inverse=True)
+        own = np.roll(vectors(points, dimensions, seed), k, axis=1)[at]
+        out = own if out is None else np.multiply(out, own, out=out)
     return out
 
 
@@ -79,8 +77,8 @@ def bundles(texts, n, dimensions, seed):
             continue
         counts = np.zeros((len(own), len(codes)), np.float32)
         counts[np.repeat(np.arange(len(own)), [len(c) for c, _ in own]), place] = np.concatenate([c for _, c in own])
-        for k in range(0, len(codes), 1 << 14):  # bounds the memory of n-grams bound at once
-            out[at : at + ROWS] += counts[:, k : k + (1 << 14)] @ bind(codes[k : k + (1 << 14)], n, dimensions, seed)
+        for k in range(0, len(codes), 1 << 12):  # bounds the memory of n-grams bound at once
+            out[at : at + ROWS] += counts[:, k : k + (1 << 12)] @ bind(codes[k : k + (1 << 12)], n, dimensions, seed)
     return out
 
 
@@ -92,7 +90,8 @@ def learn(n, dimensions, seed):
             for lang, text in zip(b.column("_lang").to_pylist(), C.strings(b.column("_text")), strict=True):
                 held.setdefault(lang, []).append(text)
             for lang, own in held.items():
-                sums[lang] = sums.get(lang, 0) + bundles(own, n, dimensions, seed).astype(np.float64).sum(axis=0)
+                for at in range(0, len(own), 4 * ROWS):
+                    sums[lang] = sums.get(lang, 0) + bundles(own[at : at + 4 * ROWS], n, dimensions, seed).sum(axis=0, dtype=np.float64)
                 texts[lang] = texts.get(lang, 0) + len(own)
         keys = list(sums)
         yield pa.record_batch([pa.array(keys, pa.string()), pa.array([texts[k] for k in keys], pa.int64()), pa.array([sums[k] for k in keys], pa.list_(pa.float64()))], names=["lang", "n", "sums"])
@@ -100,8 +99,8 @@ def learn(n, dimensions, seed):
     return run
 
 
-def fit(labelled, lang_col="lang", text_col="text", n=3, dimensions=512, seed=7):
-    """{"langs", "prototypes", ...} from every row with a language and a text.
+def fit(labelled, lang_col="lang", text_col="text", n=3, dimensions=1024, seed=7):
+    """{"langs", "prototypes", ...} from every row with a language and a text; n is at most 3, three code points in a long.
 
     Each task adds up its own texts and returns one row a language; those rows are summed by language and place, so
     what reaches the driver is one vector of `dimensions` for each language.
@@ -130,25 +129,27 @@ def predict(texts, model):
 def label(shared):
     def run(batches):
         for b in batches:
-            got = [p for at in range(0, b.num_rows, 1024) for p in predict(C.strings(b.column("_text").slice(at, 1024)), shared.value)]
+            got = [p for at in range(0, b.num_rows, 4 * ROWS) for p in predict(C.strings(b.column("_text").slice(at, 4 * ROWS)), shared.value)]
             rest = [x for x in b.schema.names if x != "_text"]
             yield pa.record_batch([*(b.column(x) for x in rest), pa.array([k for k, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*rest, "lang_pred", "score"])
 
     return run
 
 
-def identify(docs, model, text_col="text", keep=None):
-    """The kept columns (all by default) of every row with lang_pred and score; columns of these names are replaced.
+def identify(docs, model, text_col="text", keep=None, lang_name="lang_pred", score_name="score"):
+    """The kept columns (all by default) of every row with the predicted language and score, under the given names;
+    columns of these names are replaced.
 
     score is the cosine with the language's prototype, at least 0. Null texts and those without letters get 'und' and
     0, as do all without a learned language. Texts are taken whole; no rows give no rows. The model, of one vector a
     language, is broadcast.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    names = (lang_name, score_name)
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
     rows = docs.select(*(F.col(f"`{c}`").alias(f"_x_{c}") for c in keep), F.col(f"`{text_col}`").alias("_text"))
     kinds = "".join(f"`_x_{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     out = rows.mapInArrow(label(docs.sparkSession.sparkContext.broadcast(model)), f"{kinds}lang_pred string, score double")
-    return out.select(*(F.col(f"_x_{c}").alias(c) for c in keep), "lang_pred", "score")
+    return out.select(*(F.col(f"`_x_{c}`").alias(c) for c in keep), F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))
 
 
 def held_out(doc_id):
