@@ -132,7 +132,8 @@ def decontaminate(docs, benchmark, id_col="doc_id", text_col="text", item_col="i
     The windows are broadcast only if they take at most `broadcast_bytes`, which is counted first; a larger benchmark
     meets the texts in a shuffled join on the windows' hashes, with the same result.
     Null text has no words; items of null or wordless text have no windows; a null item id shows as ''. Rows that
-    repeat an id are each judged by their own text. No rows give no rows; without a benchmark nothing is hit.
+    repeat an id are each judged by their own text. Extra columns pass through, as x_<name> where a result column has the
+    name. No rows give no rows; without a benchmark nothing is hit.
     """
     spark = docs.sparkSession
 
@@ -147,7 +148,7 @@ def decontaminate(docs, benchmark, id_col="doc_id", text_col="text", item_col="i
     size = items.agg(F.coalesce(F.sum(F.length("_window") + 80), F.lit(0))).first()[0]
 
     id_kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("_id"), *(F.col(c).alias(f"_x_{c}") for c in extra), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), *(F.col(f"`{c}`").alias(f"_x_{c}") for c in extra), F.col(f"`{text_col}`").alias("_text"))
     kinds = "".join(f"`_x_{c}` {docs.schema[c].dataType.simpleString()}, " for c in extra)
     schema = f"_id {id_kind}, {kinds}{RESULT}"
     if size <= broadcast_bytes:
@@ -159,8 +160,9 @@ def decontaminate(docs, benchmark, id_col="doc_id", text_col="text", item_col="i
         hashed = items.mapInArrow(lambda batches: (pa.record_batch([b.column("_item"), pa.array([hashlib.blake2b(w, digest_size=16).digest() for w in b.column("_window").to_pylist()], pa.binary())], names=["_item", "_window"]) for b in batches), f"_item {kind}, _window binary")
         hits = own.join(hashed, "_window").groupBy(F.col("_id").alias("_i"), F.col("_digest").alias("_d")).agg(F.collect_list(F.struct("_at", "_n", "_item")).alias("_hits"))
         out = keyed.join(hits, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_digest") == F.col("_d")), "left")
-        out = out.select("_id", *(f"_x_{c}" for c in extra), "_text", "_hits").mapInArrow(from_hits, schema)
-    return out.select(F.col("_id").alias(id_col), *(F.col(f"_x_{c}").alias(c) for c in extra), "n_words", "n_hit", "items", "spans", "clean_text")
+        out = out.select("_id", *(f"`_x_{c}`" for c in extra), "_text", "_hits").mapInArrow(from_hits, schema)
+    names = (id_col, "n_words", "n_hit", "items", "spans", "clean_text")
+    return out.select(F.col("_id").alias(id_col), *(F.col(f"`_x_{c}`").alias(C.beside(c, names)) for c in extra), "n_words", "n_hit", "items", "spans", "clean_text")
 
 
 def op7_decontaminate(spark, sf_dir):

@@ -18,6 +18,8 @@ QUERIES = {
 SQL = {
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op6_suffix_dedup": suffix_dedup.OP6_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
+    "op9_near_dedup": near_dedup.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
 }

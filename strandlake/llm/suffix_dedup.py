@@ -245,3 +245,17 @@ def suffix_dedup(docs, id_col="doc_id", text_col="text", width=200, gram=48, fin
 
 def op6_suffix_dedup(spark, sf_dir):
     return suffix_dedup(C.read(spark, sf_dir, "documents")).drop("spans")
+
+
+OP6_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+t AS (SELECT doc_id, o, substr(h, 2 * o + 1, 2398) AS t FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 1000)) AS o FROM d)),
+w AS (SELECT doc_id, o + i AS i, md5(substr(t, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, o, t, unnest(range(0, least(1000, length(t) // 2 - 199))) AS i FROM t WHERE length(t) >= 400)),
+r AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+m AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w SEMI JOIN r USING (k)),
+g AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM m),
+sp AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, g),
+pc AS (SELECT doc_id, a, b, substr(h, 2 * before + 1, 2 * (a - before)) AS piece FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM sp) JOIN d USING (doc_id)),
+c AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(piece, '' ORDER BY a) AS head FROM pc GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)
+"""
