@@ -102,3 +102,13 @@ def from_consensus(pattern):
         return F.transform(on, lambda x: F.when(x == 1, F.floor(F.lit(100) / n)).otherwise(0).cast("long"))
 
     return F.transform(F.split(pattern, ""), row)
+
+
+def weight_consensus(pwm, drop):
+    """IUPAC letters of the bases whose weight is at most `drop` below the row's largest."""
+
+    def letter(r):
+        bits = F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.lit(0), lambda a, k: a + F.when(r[k] >= F.array_max(r) - drop, F.pow(F.lit(2), k).cast("int")).otherwise(0))
+        return F.substring(F.lit(IUPAC), bits + 1, F.lit(1))
+
+    return F.array_join(each(pwm, letter), "")

@@ -3,6 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..session import saved, shared_dir
+
 PART = 64  # width of the parts of a sequence that range joins meet in
 
 
@@ -65,3 +67,39 @@ def resolve(hits, id_col="event_id"):
     clash = both.where((shared > 0) & ((F.col("a_motif") == F.col("b_motif")) | (4 * shared > F.least("a_len", "b_len"))))
     lost = clash.select(F.when(key("a") < key("b"), F.col(f"b_{id_col}")).otherwise(F.col(f"a_{id_col}")).alias(id_col)).distinct()
     return hits.join(lost, id_col, "left_anti")
+
+
+def conflicts(hits, id_col="event_id", reach=15):
+    """a, b: pairs of hits of one sequence that can't both stay, a starting first; the start of one is at most `reach` before
+    the other's. Two of one motif can't; two motifs can if the second starts in the last quarter of the first, or after
+    it, and shares less than three quarters of its own length."""
+    both = near_pairs(hits, hits, reach).where(F.col(f"a_{id_col}") != F.col(f"b_{id_col}"))
+    both = both.where((F.col("a_start") < F.col("b_start")) | (F.col(f"a_{id_col}") < F.col(f"b_{id_col}")))
+    shift = F.col("b_start") - F.col("a_start")
+    apart = (4 * shift >= 3 * F.col("a_len")) & (4 * (F.col("a_len") - shift) < 3 * F.col("b_len"))
+    return both.where((F.col("a_motif") == F.col("b_motif")) | ~apart).select(F.col(f"a_{id_col}").alias("a"), F.col(f"b_{id_col}").alias("b"))
+
+
+def resolve_greedy(hits, id_col="event_id", reach=15):
+    """Hits kept one after the other, best first (score, earlier start, motif, id), each unless it conflicts with one kept.
+
+    Each round keeps the hits that are better than all open ones in conflict with them, and drops those that these are in
+    conflict with; so a chain takes as many rounds as it has falls, whatever the number of sequences. What is open is
+    written to the shared folder.
+    """
+    folder, turn = shared_dir(hits.sparkSession, "greedy"), 0
+    rank = F.struct((-F.col("score")).alias("s"), F.col("start").alias("p"), F.col("motif").alias("m"), F.col(id_col).alias("i"))
+    ranks = hits.select(F.col(id_col).alias("x"), rank.alias("rank"))
+    at = lambda c: ranks.select(F.col("x").alias(c), F.col("rank").alias(f"{c}_rank"))
+    pairs = conflicts(hits, id_col, reach).join(at("a"), "a").join(at("b"), "b")
+    better = F.col("a_rank") < F.col("b_rank")
+    open_ = saved(pairs.select(F.when(better, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(better, F.col("b")).otherwise(F.col("a")).alias("b")), folder, "open-0")
+    lost = None
+    while not open_.isEmpty():
+        turn += 1
+        kept = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone = saved(open_.join(kept, "a", "left_semi").select("b").distinct(), folder, f"gone-{turn}")
+        lost = gone if lost is None else lost.unionByName(gone)
+        left = open_.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti")
+        open_ = saved(left.select("a", "b"), folder, f"open-{turn}")
+    return hits if lost is None else hits.join(lost.withColumnRenamed("b", id_col), id_col, "left_anti")

@@ -4,6 +4,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..session import saved, shared_dir
+
 BLOCK = 256  # motifs that are compared at once
 
 
@@ -78,13 +80,18 @@ def similar_pairs(left, right, match, width=16):
 
 
 def groups(ids, links):
-    """(id, group): the least id that links reach; a few rounds of grouped minima, each cutting the distance by half."""
-    from pyspark.sql import Window
+    """(id, group): the least id that links reach; a few rounds of grouped minima, each cutting the distance by half.
 
+    What each round comes to is written to the shared folder, so that nothing is held and no lineage grows.
+    """
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    spark = ids.sparkSession
-    checkpointed = spark.sparkContext.getCheckpointDir() is not None
-    cut = (lambda df: df.checkpoint()) if checkpointed else (lambda df: df.persist())
+    folder, turn = shared_dir(ids.sparkSession, "groups"), 0
+
+    def cut(df):
+        nonlocal turn
+        turn += 1
+        return saved(df, folder, f"turn-{turn}")
+
     labels = cut(ids.select(F.col("id"), F.col("id").alias("group")))
     both = cut(both.distinct())
     while True:

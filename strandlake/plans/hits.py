@@ -214,9 +214,16 @@ def name_parts(spark, sf_dir):
 
 @query(H + "SELECT event_id, (row_number() OVER (PARTITION BY motif ORDER BY score DESC, event_id) - 1) // 100 + 1 AS page, motif FROM hits")
 def paged(spark, sf_dir):
-    """The page of 100 that each hit of a motif is shown on, best first."""
-    n = F.row_number().over(Window.partitionBy("motif").orderBy(F.desc("score"), "event_id"))
-    return hits(spark, sf_dir).select("event_id", (F.floor((n - 1) / 100) + 1).cast("long").alias("page"), "motif")
+    """The page of 100 that each hit of a motif is shown on, best first.
+
+    Hits are counted by score first; only counts are added up along a motif, and only hits of one score put in order.
+    """
+    rows = hits(spark, sf_dir)
+    scores = rows.groupBy("motif", "score").agg(F.count(F.lit(1)).alias("c"))
+    ahead = F.sum("c").over(Window.partitionBy("motif").orderBy(F.desc("score"))) - F.col("c")
+    rows = rows.join(scores.withColumn("ahead", ahead), ["motif", "score"])
+    n = F.col("ahead") + F.row_number().over(Window.partitionBy("motif", "score").orderBy("event_id"))
+    return rows.select("event_id", (F.floor((n - 1) / 100) + 1).cast("long").alias("page"), "motif")
 
 
 @query(H + f"SELECT event_id, round(1 - 0.5 * {erfc_sql('score / sqrt(2.0::DOUBLE)')}, 6) AS cdf FROM hits")
@@ -248,3 +255,69 @@ def hits_redundant(spark, sf_dir):
     rows = hits(spark, sf_dir)
     kept = ops.resolve(rows).select("event_id", F.lit(1).alias("kept"))
     return rows.join(kept, "event_id", "left").groupBy("motif").agg(F.count(F.lit(1)).alias("n"), F.count("kept").alias("resolved"))
+
+
+NEARBY = "nb AS (SELECT a.event_id AS a, b.event_id AS b FROM hits a JOIN hits b ON a.seq_id = b.seq_id AND b.start - a.start BETWEEN 0 AND 15 AND a.event_id <> b.event_id AND (a.start < b.start OR a.event_id < b.event_id) AND (a.motif = b.motif OR NOT (4 * (b.start - a.start) >= 3 * a.len AND 4 * (a.start + a.len - b.start) < 3 * b.len)))"
+
+
+@query()
+def hits_greedy(spark, sf_dir):
+    """Hits that are left when the best is kept first, then the best that is in conflict with none kept, and so on."""
+    return ops.resolve_greedy(hits(spark, sf_dir)).select("event_id", "motif", "seq_id", "start", "score")
+
+
+@query(H + f", {NEARBY} SELECT b AS event_id, count(*) AS n FROM (SELECT a, b FROM nb UNION ALL SELECT b, a FROM nb) GROUP BY 1")
+def hit_conflicts(spark, sf_dir):
+    """How many hits each hit is in conflict with: one motif within 15 bases, or two that share too much."""
+    pairs = ops.conflicts(hits(spark, sf_dir))
+    return pairs.select(F.explode(F.array("a", "b")).alias("event_id")).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+FRAMED = "fp AS (SELECT CASE WHEN a.motif <= b.motif THEN a.motif ELSE b.motif END AS m1, CASE WHEN a.motif <= b.motif THEN b.motif ELSE a.motif END AS m2, CASE WHEN a.strand = b.strand THEN 1 ELSE -1 END::BIGINT AS dir, CASE WHEN a.motif <= b.motif THEN CASE WHEN a.strand = '+' THEN b.start - a.start ELSE a.start + a.len - b.start - b.len END ELSE CASE WHEN b.strand = '+' THEN a.start - b.start ELSE b.start + b.len - a.start - a.len END END AS gap FROM hits a JOIN hits b ON a.seq_id = b.seq_id AND b.start - a.start BETWEEN 0 AND 50 AND (a.start < b.start OR a.event_id < b.event_id))"
+
+
+def framed(rows):
+    """m1, m2, dir, gap of hits within 50 bases: where the second motif stands as seen along the first, the lesser name."""
+    p = ops.later_pairs(rows)
+    ahead = F.col("a_motif") <= F.col("b_motif")
+    seen = lambda x, y: F.when(F.col(f"{x}_strand") == "+", F.col(f"{y}_start") - F.col(f"{x}_start")).otherwise(F.col(f"{x}_start") + F.col(f"{x}_len") - F.col(f"{y}_start") - F.col(f"{y}_len"))
+    same = F.when(F.col("a_strand") == F.col("b_strand"), 1).otherwise(-1).cast("long")
+    return p.select(F.least("a_motif", "b_motif").alias("m1"), F.greatest("a_motif", "b_motif").alias("m2"), same.alias("dir"), F.when(ahead, seen("a", "b")).otherwise(seen("b", "a")).alias("gap"))
+
+
+@query(H + f", {FRAMED} SELECT m1, m2, dir, gap, count(*) AS n FROM fp GROUP BY ALL HAVING count(*) >= 5")
+def pair_frames(spark, sf_dir):
+    """How often two motifs stand at one distance and in one direction, as seen along the first."""
+    return framed(hits(spark, sf_dir)).groupBy("m1", "m2", "dir", "gap").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+
+
+@query(H + f", {FRAMED}, f AS (SELECT motif, count(*) AS c FROM hits GROUP BY 1), g AS (SELECT m1, m2, dir, gap, count(*) AS n FROM fp GROUP BY ALL) SELECT m1, m2, dir, gap, n, round(n / least(a.c, b.c), 6) AS share FROM g JOIN f a ON a.motif = m1 JOIN f b ON b.motif = m2 WHERE n >= 5 AND n >= 0.05 * least(a.c, b.c)")
+def pair_offsets_framed(spark, sf_dir, share=0.05):
+    """Of those, what makes up at least a twentieth of the rarer motif's hits."""
+    rows = hits(spark, sf_dir)
+    f = rows.groupBy("motif").agg(F.count(F.lit(1)).alias("c"))
+    g = framed(rows).groupBy("m1", "m2", "dir", "gap").agg(F.count(F.lit(1)).alias("n"))
+    g = g.join(f.select(F.col("motif").alias("m1"), F.col("c").alias("c1")), "m1").join(f.select(F.col("motif").alias("m2"), F.col("c").alias("c2")), "m2")
+    rare = F.least("c1", "c2")
+    return g.where((F.col("n") >= 5) & (F.col("n") >= share * rare)).select("m1", "m2", "dir", "gap", "n", F.round(F.col("n") / rare, 6).alias("share"))
+
+
+@query(H + """, nm AS (SELECT doc_id AS seq_id FROM documents LEFT JOIN labels USING (doc_id) WHERE regexp_matches(source, '(?i)^SRC') AND coalesce(quality, 1) = 1),
+p AS (SELECT seq_id, count(*) FILTER (WHERE motif = 'click' AND score >= 1) AS a, count(*) FILTER (WHERE motif = 'error' AND strand = '+') AS b, count(*) FILTER (WHERE motif = 'view' AND start BETWEEN 100 AND 3000) AS c FROM hits GROUP BY 1)
+SELECT seq_id, a, b, c FROM p SEMI JOIN nm USING (seq_id) WHERE a >= 2 AND b >= 2 AND c >= 2""")
+def search_names(spark, sf_dir):
+    """Sequences of certain names and attributes with at least two hits of each of three motifs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    names = docs.where(F.col("source").rlike("(?i)^SRC") & (F.coalesce("quality", F.lit(1)) == 1)).select(F.col("doc_id").alias("seq_id"))
+    of = lambda m, c, n: F.count(F.when((F.col("motif") == m) & c, 1)).alias(n)
+    p = hits(spark, sf_dir).groupBy("seq_id").agg(of("click", F.col("score") >= 1, "a"), of("error", F.col("strand") == "+", "b"), of("view", F.col("start").between(100, 3000), "c"))
+    return p.where("a >= 2 and b >= 2 and c >= 2").join(names, "seq_id", "left_semi")
+
+
+@query("WITH c AS (SELECT 'R' || o_orderkey AS name, o_custkey * 10 AS start, 300 + o_orderkey % 500 AS len, o_orderkey % 2 = 0 AS forward FROM orders), reg(a, b) AS (VALUES " + ", ".join(map(str, REGIONS)) + ") SELECT name || '-' || a || '-' || least(b, len) AS name, CASE WHEN forward THEN '+' ELSE '-' END AS strand, (least(b, len) - a)::BIGINT AS len, (CASE WHEN forward THEN start + a ELSE start + len - least(b, len) END)::BIGINT AS start FROM c, reg WHERE len > a")
+def region_coordinates(spark, sf_dir):
+    """Coordinates of the regions that sequences are cut into: on the other strand they count from the end."""
+    c = table(spark, sf_dir, "orders").select(F.concat(F.lit("R"), F.col("o_orderkey").cast("string")).alias("of"), (F.col("o_custkey") * 10).alias("at"), (300 + F.col("o_orderkey") % 500).alias("n"), (F.col("o_orderkey") % 2 == 0).alias("forward"))
+    regions = F.explode(F.array(*(F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in REGIONS)))
+    rows = c.withColumn("r", regions).select("of", "at", "n", "forward", F.col("r.a").alias("a"), F.least("r.b", "n").alias("e")).where("n > a")
+    return rows.select(F.concat_ws("-", "of", "a", "e").alias("name"), F.when(F.col("forward"), "+").otherwise("-").alias("strand"), (F.col("e") - F.col("a")).alias("len"), F.when(F.col("forward"), F.col("at") + F.col("a")).otherwise(F.col("at") + F.col("n") - F.col("e")).alias("start"))

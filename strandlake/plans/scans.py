@@ -91,13 +91,19 @@ def fp_whole(spark, sf_dir):
 
 @query("WITH " + SEQ + ", " + LIBRARY + ", win AS (" + windows(*TEMPLATE) + f") SELECT motif, seq_id, '+' AS strand, i - 1 AS start FROM win JOIN lib ON word = pattern UNION ALL SELECT motif, seq_id, '-', i - 1 FROM win JOIN lib ON {rc('word')} = pattern")
 def scan_consensus(spark, sf_dir):
-    """Exact occurrences of the consensus library on either strand."""
-    rows = [(r["motif"], [[1.0 if c == b else 0.0 for b in "ACGT"] for c in r["pattern"]]) for r in library(spark, sf_dir).orderBy("motif").collect()]
-    out = None
-    for k in range(0, len(rows), 100):  # blocks of 100 motifs stay below the limit of a broadcast
-        part = scan.scan(sequences(spark, sf_dir), scan.word_scores(rows[k : k + 100]), 8.0)
-        out = part if out is None else out.unionByName(part)
-    return out.select("motif", "seq_id", "strand", "start")
+    """Exact occurrences of the consensus library on either strand, in one scan for whatever number of motifs.
+
+    The driver sees only which of the 4**8 words occur in the library; the words found are joined with it.
+    """
+    import numpy as np
+
+    lib = library(spark, sf_dir)
+    score = np.zeros(4**8)
+    for r in lib.select(seq.word_code(F.col("pattern")).alias("code")).distinct().collect():  # at most 65,536
+        score[r["code"]] = 1.0
+    seqs = sequences(spark, sf_dir)
+    hits = with_match(scan.scan(seqs, {"word": score}, 1.0), seqs).drop("motif")
+    return hits.join(lib, hits.match == lib.pattern).select("motif", "seq_id", "strand", "start")
 
 
 @query(FAMILY + DICTIONARY + ", " + SEQ + ", win AS (" + windows(*TEMPLATE) + f"""), n AS (SELECT word, count(*) AS n FROM win WHERE grp = 'ctrl' GROUP BY word), bs AS (SELECT word, n FROM n UNION ALL SELECT {rc('word')}, n FROM n),
@@ -160,7 +166,7 @@ def refine_counts(spark, sf_dir):
     return cells(spark, sf_dir)
 
 
-@query(CELLS + ", l AS (SELECT *, log10(f1 + 1) AS y, log10(f2 + 1) AS x FROM cell), g AS (SELECT motif, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM l GROUP BY motif) SELECT motif, p, base, round(0.5 * (y - CASE WHEN b IS NULL OR isnan(b) THEN 0 ELSE b * x + a END), 5) AS step FROM l JOIN g USING (motif)")
+@query(CELLS + ", l AS (SELECT *, log10(f1 + 1) AS y, log10(f2 + 1) AS x FROM cell), g AS (SELECT motif, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM l GROUP BY motif) SELECT motif, p, base, round(0.5 * (y - CASE WHEN b IS NULL OR isnan(b) THEN 0 ELSE b * x + a END), 5) + 0.0 AS step FROM l JOIN g USING (motif)")
 def refine_regression(spark, sf_dir):
     """Step of each cell: half of what its log count lies above the line through all cells of the motif."""
     return regression(cells(spark, sf_dir), "motif")
@@ -170,7 +176,7 @@ def regression(counts, key):
     rows = counts.select(key, "p", "base", F.log10(F.col("f1") + 1).alias("y"), F.log10(F.col("f2") + 1).alias("x"))
     line = rows.groupBy(key).agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    return rows.join(line, key).select(key, "p", "base", F.round(0.5 * (F.col("y") - (zero("b") * F.col("x") + zero("a"))), 5).alias("step"))
+    return rows.join(line, key).select(key, "p", "base", (F.round(0.5 * (F.col("y") - (zero("b") * F.col("x") + zero("a"))), 5) + 0.0).alias("step"))
 
 
 @query(CELLS + f", {LENGTHS}, d AS (SELECT motif, p, base, greatest(1, f1 - len1 / len2 * f2) AS v FROM cell, tot) SELECT motif, p, base, round(log10(4 * v / sum(v) OVER (PARTITION BY motif, p)), 6) AS weight FROM d")
@@ -477,3 +483,51 @@ def refine(spark, sf_dir, turns=3):
             matrices[motif] = [[math.log10(4 * x / sum(row)) for x in row] for row in v]
     cells_ = [(m, p + 1, *(round(x, 6) for x in row)) for m, rows in sorted(matrices.items()) for p, row in enumerate(rows)]
     return spark.createDataFrame(cells_, "motif string, p long, a double, c double, g double, t double")
+
+
+@query(CELLS + " SELECT motif, p, base, round(log10(4 * greatest(1, f1) / sum(greatest(1, f1)) OVER (PARTITION BY motif, p)), 6) AS weight FROM cell")
+def refine_resample(spark, sf_dir):
+    """New log-odds of each cell from its count in test alone."""
+    rows = cells(spark, sf_dir).withColumn("v", F.greatest(F.lit(1.0), F.col("f1").cast("double")))
+    return rows.select("motif", "p", "base", F.round(F.log10(4 * F.col("v") / F.sum("v").over(Window.partitionBy("motif", "p"))), 6).alias("weight"))
+
+
+@query(SCAN + f""", {LENGTHS}, s AS (SELECT motif, count(*) FILTER (WHERE grp = 'test') AS n1, count(*) FILTER (WHERE grp = 'ctrl') AS n2 FROM hit GROUP BY motif)
+SELECT motif, round((s.n1 - s.n2 * len1 / len2) / sqrt(nullif(s.n2 * len1 / len2, 0)), 6) AS score FROM s, tot""")
+def refine_score(spark, sf_dir):
+    """Hits above those of the scaled control, in roots of the latter; null without any in control."""
+    s = fp_threshold(spark, sf_dir)
+    seqs = enrich.lengths(sequences(spark, sf_dir)).select("len1", "len2")
+    scaled = F.col("n2") * F.col("len1") / F.col("len2")
+    return s.select("motif", "n1", "n2").crossJoin(F.broadcast(seqs)).select("motif", F.round(F.when(scaled != 0, (F.col("n1") - scaled) / F.sqrt(scaled)), 6).alias("score"))
+
+
+@query()
+def background_uniform(spark, sf_dir):
+    """A control of random bases, all equally likely, as long as the test's sequences."""
+    seqs = sequences(spark, sf_dir).where("grp = 'test'")
+    return background.markov(seqs, [], seed=2).select("seq_id", F.length("u").cast("long").alias("n"), F.md5(F.col("u").cast("binary")).alias("digest"))
+
+
+@query()
+def enriched_markov(spark, sf_dir):
+    """Candidates of the test's sequences against a random control from their own transitions: what is done when no control
+    is given."""
+    seqs = sequences(spark, sf_dir).where("grp = 'test'").select("seq_id", "grp", "u")
+    table = [tuple(r) for r in words.markov3_transitions(spark, sf_dir).select("context", "next", "n").collect()]  # at most 256
+    both = seqs.unionByName(background.markov(seqs, table).select("seq_id", F.lit("ctrl").alias("grp"), "u"))
+    st = enrich.statistics(enrich.fold(kmers.pivot_groups(kmers.count_words(both))), enrich.lengths(both), words.SPANS)
+    return enrich.candidates(st).select("word", "x", "y", F.round("z", 6).alias("z"), F.round("ratio", 6).alias("ratio"))
+
+
+@query(words.GAP0 + f""", {words.PIVOT}, {words.FOLD}, {words.PROFILE}, {LENGTHS}, sh AS (SELECT *, n / sum(n) OVER (PARTITION BY grp) AS share FROM pro),
+b AS (SELECT a.n_cg, a.share / c.share AS f, a.cpg / nullif(c.cpg, 0) AS g FROM sh a JOIN sh c USING (n_cg) WHERE a.grp = 'test' AND c.grp = 'ctrl')
+SELECT word, x, y, round((x + 5) / (y * (len1 / len2 * f * pow(coalesce(g, 1), {words.CPG})) + 5), 6) AS ratio FROM folded JOIN b ON {words.CG} = b.n_cg, tot""")
+def enrichment_cg(spark, sf_dir):
+    """Enrichment ratio with the control's counts adjusted to the test's share of C and G and of CG in a row."""
+    seqs = sequences(spark, sf_dir)
+    counts = kmers.count_words(seqs)
+    folded = enrich.fold(kmers.pivot_groups(counts)).withColumn("n_cg", seq.count_cg(F.col("word"))).withColumn("n_cpg", seq.count_cpg(F.col("word")))
+    factor = words.composition(counts, seqs)  # at most 9 rows
+    rows = folded.join(F.broadcast(factor), "n_cg")
+    return rows.select("word", "x", "y", F.round((F.col("x") + 5) / (F.col("y") * F.col("f") * F.pow("g", F.col("n_cpg")) + 5), 6).alias("ratio"))

@@ -112,13 +112,18 @@ def cg_adjust(spark, sf_dir):
     """Factor of a control count by the composition of its word; there are at most 9 x 5 compositions."""
     seqs = sequences(spark, sf_dir)
     counts = kmers.count_words(seqs)
+    kinds = counts.select(seq.count_cg(F.col("word")).alias("n_cg"), seq.count_cpg(F.col("word")).alias("n_cpg")).distinct()
+    return kinds.join(composition(counts, seqs), "n_cg").select("n_cg", "n_cpg", F.round(F.col("f") * F.pow("g", F.col("n_cpg")), 6).alias("adjust"))
+
+
+def composition(counts, seqs):
+    """n_cg, f, g: a control count's factor is f * g ** (CG in a row), by the number of C and G."""
     w = Window.partitionBy("grp")
     pro = profile(counts).withColumn("share", F.col("n") / F.sum("n").over(w))
     a, c = (pro.where(F.col("grp") == g).select("n_cg", F.col("share").alias(f"s_{g}"), F.col("cpg").alias(f"c_{g}")) for g in ("test", "ctrl"))
     both = a.join(c, "n_cg").crossJoin(F.broadcast(enrich.lengths(seqs)))
-    kinds = counts.select(seq.count_cg(F.col("word")).alias("n_cg"), seq.count_cpg(F.col("word")).alias("n_cpg")).distinct()
     g = F.when(F.col("c_ctrl") != 0, F.col("c_test") / F.col("c_ctrl")).otherwise(1.0)
-    return kinds.join(both, "n_cg").select("n_cg", "n_cpg", F.round(F.col("len1") / F.col("len2") * F.col("s_test") / F.col("s_ctrl") * F.pow(g, F.col("n_cpg")), 6).alias("adjust"))
+    return both.select("n_cg", (F.col("len1") / F.col("len2") * F.col("s_test") / F.col("s_ctrl")).alias("f"), g.alias("g"))
 
 
 MARKOV = kmers.templates(4)[:1]

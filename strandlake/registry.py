@@ -1,6 +1,7 @@
 """All queries of the sequence engine: name -> function(spark, sf_dir), and name -> the same in SQL."""
 
-from .plans import hits, motifs, scans, words
+from .plans import clusters, files, finish, hits, motifs, scans, words
 
-QUERIES = words.QUERIES | motifs.QUERIES | scans.QUERIES | hits.QUERIES
-SQL = words.SQL | motifs.SQL | scans.SQL | hits.SQL
+PLANS = (words, motifs, scans, finish, clusters, hits, files)
+QUERIES = {k: f for p in PLANS for k, f in p.QUERIES.items()}
+SQL = {k: s for p in PLANS for k, s in p.SQL.items()}

@@ -1,6 +1,8 @@
-"""Getting the package to the executors."""
+"""Getting the package to the executors, and tables between jobs."""
 
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -18,3 +20,20 @@ def ship(spark):
             z.write(p, p.relative_to(HERE.parent))
     context.addPyFile(str(path))
     context._strandlake_shipped = True
+
+
+def shared_dir(spark, name):
+    """A new folder below spark.checkpoint.dir, which driver and executors share; a local session without that setting
+    gets one of its own, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        base = f"file://{tempfile.mkdtemp(prefix='strandlake-')}"
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df, folder, name):
+    """df written to the shared folder and read again: its lineage ends there."""
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.parquet(f"{folder}/{name}")

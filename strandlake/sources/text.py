@@ -17,9 +17,30 @@ def records(spark, path):
     return rows.where(~F.col("value").rlike("^(Parameters|Headers):")).select(F.trim(parts[0]).alias("head"), F.coalesce(F.get(parts, 1), F.lit("")).alias("body"))
 
 
-def read_fasta(spark, path, least=10):
-    """name, seq: lines of a record joined; sequences with fewer than `least` letters drop out."""
+def parameters(spark, path):
+    """{key: value} of the Parameters: line at the start of a file, {} without one."""
+    row = spark.read.text(path).where(F.col("value").startswith("Parameters:")).limit(1).collect()
+    words = row[0]["value"][len("Parameters:") :].replace("\t", " ").split() if row else []
+    return dict(w.split("=", 1) for w in words if "=" in w)
+
+
+def headers(spark, path):
+    """Column names of the Headers: line at the start of a file, None without one."""
+    row = spark.read.text(path).where(F.col("value").startswith("Headers:")).limit(1).collect()
+    return [x.strip() for x in row[0]["value"][len("Headers:") :].strip().split("\t")] if row else None
+
+
+def read_fasta(spark, path, least=10, part=None):
+    """name, seq: lines of a record joined; sequences with fewer than `least` letters drop out.
+
+    part: longer sequences come in rows of `part` letters, named name-1, name-2 and so on.
+    """
     rows = records(spark, path).select(F.element_at(F.split("head", r"\s+"), 1).alias("name"), F.regexp_replace("body", r"\s", "").alias("seq"))
+    if part:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / part)), lambda k: F.substring(F.col("seq"), (k * part + 1).cast("int"), F.lit(part)))
+        long = F.length("seq") > part
+        rows = rows.where(F.length("seq") > 0).select("name", long.alias("long"), F.posexplode(cut).alias("k", "seq"))
+        rows = rows.select(F.when(F.col("long"), F.concat_ws("-", "name", (F.col("k") + 1).cast("string"))).otherwise(F.col("name")).alias("name"), "seq")
     return rows.where(F.length("seq") >= least)
 
 
@@ -35,8 +56,15 @@ def rows_of(body):
     return F.transform(lines, lambda x: F.transform(F.slice(F.split(F.trim(x), r"\s+"), 2, 4), lambda v: v.cast("double")))
 
 
-def read_pfm(spark, path, columns=("name", "pattern", "patternRev", "freq", "ratio", "info", "score", "p", "fdr")):
-    """The named columns of the head line, tab-separated, and pfm; missing columns are null, freq 100 and ratio 2."""
+MOTIF = ("name", "pattern", "patternRev", "freq", "ratio", "info", "score", "p", "fdr")
+
+
+def read_pfm(spark, path, columns=None):
+    """The columns of the head line, tab-separated, and pfm; missing columns are null, freq 100 and ratio 2.
+
+    The names are those given, else those of the file's Headers: line, else MOTIF.
+    """
+    columns = columns or headers(spark, path) or MOTIF
     rows, parts = records(spark, path), F.split("head", "\t")
     kinds = {"freq": "long", "ratio": "double", "info": "double", "score": "double", "p": "double", "fdr": "double"}
     default = {"freq": 100, "ratio": 2.0}
@@ -44,10 +72,11 @@ def read_pfm(spark, path, columns=("name", "pattern", "patternRev", "freq", "rat
     return rows.select(*cols, rows_of(F.col("body")).alias("pfm"))
 
 
-def write_pfm(motifs, path, columns=("name", "pattern", "patternRev", "freq", "ratio", "info", "score", "p", "fdr")):
+def write_pfm(motifs, path, columns=MOTIF, brief=False):
+    """Motifs as text; brief leaves the matrices out."""
     head = F.concat(F.lit(">"), F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)))
     body = F.array_join(F.transform("pfm", lambda r, i: F.concat_ws("\t", i.cast("string"), *(r[k].cast("string") for k in range(4)))), "\n")
-    motifs.select(F.concat(head, F.lit("\n"), body, F.lit("\n")).alias("value")).write.text(path)
+    motifs.select((head if brief else F.concat(head, F.lit("\n"), body, F.lit("\n"))).alias("value")).write.text(path)
 
 
 def read_meme(spark, path, least=6):
@@ -67,15 +96,22 @@ def read_hits(spark, path):
     return rows.select(*(F.get("v", F.lit(k)).try_cast(t).alias(n) for k, (n, t) in enumerate(kinds)))
 
 
-def write_hits(hits, path):
-    cols = ("motif", "seq_name", "strand", "len", "start", "score", "match")
+def write_hits(hits, path, names=None):
+    """Hits as text, with the conservation if there is one; names: seq_name of all sequences, those without a hit get a
+    NONE row."""
+    cols = [c for c in ("motif", "seq_name", "strand", "len", "start", "score", "match", "conservation") if c != "conservation" or c in hits.columns]
+    if names is not None:
+        none = names.join(hits, "seq_name", "left_anti").select("seq_name", F.lit("NONE").alias("motif"))
+        hits = hits.select(cols).unionByName(none, allowMissingColumns=True)
     hits.select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols)).alias("value")).write.text(path)
 
 
 def read_conservation(spark, path):
-    """name, values of each record: whole numbers parted by commas or spaces."""
+    """name, interval, values of each record: whole numbers parted by commas or spaces, one for `interval` bases (1 unless the
+    file's Parameters: line says otherwise)."""
+    interval = int(parameters(spark, path).get("interval", 1))
     values = F.transform(F.filter(F.split("body", r"[,\s]+"), lambda x: x != ""), lambda x: x.cast("int"))
-    return records(spark, path).select(F.element_at(F.split("head", r"\s+"), 1).alias("name"), values.alias("values"))
+    return records(spark, path).select(F.element_at(F.split("head", r"\s+"), 1).alias("name"), F.lit(interval).cast("long").alias("interval"), values.alias("values"))
 
 
 def read_bed(spark, path):
@@ -100,3 +136,81 @@ def extract(regions, chromosomes, width=1 << 20):
     got = wanted.join(parts, ["chr", "part"]).select("name", "chr", "strand", "start", "len", "part", F.substring(F.col("piece"), (at + 1).cast("int"), n.cast("int")).alias("t"))
     seqs = got.groupBy("name", "chr", "strand", "start", "len").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "t"))), lambda s: s["t"]), "").alias("seq"))
     return seqs.select("name", F.when(F.col("strand") == "-", revcomp(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
+
+
+def write_meme(motifs, path):
+    """name, nsites, pfm (percent) in MEME's form."""
+    body = F.array_join(F.transform("pfm", lambda r: F.concat_ws(" ", *(F.round(r[k] / 100, 6).cast("decimal(10,6)").cast("string") for k in range(4)))), "\n")
+    head = F.format_string("MOTIF %s\nletter-probability matrix: alength= 4 w= %d nsites= %d", "name", F.size("pfm"), "nsites")
+    motifs.select(F.concat(head, F.lit("\n"), body, F.lit("\n")).alias("value")).write.text(path)
+
+
+def write_positions(hits, path, sequences):
+    """motif, seq_no, seq_name, dir, pos of hits, one line each, after the number of sequences."""
+    spark = hits.sparkSession
+    spark.createDataFrame([(f"Parameters: Nseq={sequences}",)], "value string").coalesce(1).write.text(path)
+    cols = ("motif", "seq_no", "seq_name", "dir", "pos")
+    hits.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in cols)).alias("value")).write.mode("append").text(path)
+
+
+def read_positions(spark, path, motifs=None):
+    """motif, seq_no, seq_name, dir, pos, n_seqs; only of the given motifs (column motif), if any. Needs Nseq=."""
+    n = parameters(spark, path)["Nseq"]
+    rows = spark.read.text(path).where(~F.col("value").rlike(r"^(Headers|Parameters):|^\s*$")).select(F.split("value", "\t").alias("v"))
+    kinds = (("motif", "string"), ("seq_no", "long"), ("seq_name", "string"), ("dir", "long"), ("pos", "long"))
+    rows = rows.select(*(F.get("v", F.lit(k)).try_cast(t).alias(c) for k, (c, t) in enumerate(kinds)), F.lit(int(n)).cast("long").alias("n_seqs"))
+    return rows if motifs is None else rows.join(motifs.select("motif"), "motif", "left_semi")
+
+
+def write_repeats(repeats, path):
+    """gap, code, ratio, len, name and pfm (len x 4 whole numbers) as records of two lines."""
+    head = F.concat_ws("\t", *(F.col(c).cast("string") for c in ("gap", "code", "ratio", "len", "name")))
+    cells = F.concat_ws("\t", F.transform(F.flatten("pfm"), lambda x: x.cast("string")))
+    repeats.select(F.concat(F.lit(">"), head, F.lit("\n"), cells).alias("value")).write.text(path)
+
+
+def read_repeats(spark, path):
+    """gap, code, ratio, len, name, pfm of each record of two lines; the first may start with '>'."""
+    v = F.split("head", r"\s+")
+    cells = F.transform(F.filter(F.split("body", r"\s+"), lambda x: x != ""), lambda x: x.cast("long"))
+    rows = records(spark, path).select(v.alias("v"), cells.alias("c"))
+    pfm = F.transform(F.sequence(F.lit(0), F.floor(F.size("c") / 4).cast("int") - 1), lambda k: F.slice("c", 4 * k + 1, F.lit(4)))
+    kinds = (("gap", "long"), ("code", "long"), ("ratio", "double"), ("len", "long"), ("name", "string"))
+    return rows.where(F.size("c") >= 4).select(*(F.get("v", F.lit(k)).try_cast(t).alias(c) for k, (c, t) in enumerate(kinds)), pfm.alias("pfm"))
+
+
+def write_clusters(clusters, members, path):
+    """Clusters (name, pfm in percent) with their members (name, motif, dir, offset): head, rows, members by name, links
+    left to the caller. A cluster is a record, so its members are gathered for it."""
+    own = members.groupBy("name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("motif", "dir", "offset"))), lambda m: F.concat_ws("\t", m["motif"], m["dir"].cast("string"), m["offset"].cast("string"))), "\n").alias("members"), F.count(F.lit(1)).alias("n"))
+    body = F.array_join(F.transform("pfm", lambda r, i: F.concat_ws("\t", i.cast("string"), *(F.round(r[k], 4).cast("string") for k in range(4)))), "\n")
+    rows = clusters.join(own, "name", "left")
+    rows.select(F.concat(F.lit(">"), F.col("name"), F.lit("\t"), F.coalesce("n", F.lit(0)).cast("string"), F.lit("\n"), body, F.lit("\nmembers\n"), F.coalesce("members", F.lit("")), F.lit("\n")).alias("value")).write.text(path)
+
+
+def read_clusters(spark, path):
+    """name, n, pfm, members (motif, dir, offset) of each cluster."""
+    parts, head = F.split("body", "\nmembers\n"), F.split("head", "\t")
+    lines = F.filter(F.split(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    members = F.transform(lines, lambda x: F.struct(F.split(x, "\t")[0].alias("motif"), F.split(x, "\t")[1].cast("long").alias("dir"), F.split(x, "\t")[2].cast("long").alias("offset")))
+    return records(spark, path).select(head[0].alias("name"), F.get(head, F.lit(1)).cast("long").alias("n"), rows_of(parts[0]).alias("pfm"), members.alias("members"))
+
+
+def write_compare(pairs, path):
+    """query, target, match, dir, offset as text: each query, then its matches, indented, best first."""
+    line = lambda m: F.concat(F.lit("    "), F.concat_ws("\t", m["target"], F.format_number(m["match"], 4), m["dir"].cast("string"), m["offset"].cast("string")))
+    own = pairs.groupBy("query").agg(F.sort_array(F.collect_list(F.struct((-F.col("match")).alias("k"), "target", "match", "dir", "offset"))).alias("m"))
+    own.select(F.concat(F.col("query"), F.lit("\n"), F.array_join(F.transform("m", line), "\n")).alias("value")).write.text(path)
+
+
+def write_progress(turns, path):
+    """motif, turn, n1, n2, threshold of a refinement, in the order of motif and turn."""
+    rows = turns.repartitionByRange("motif", "turn").sortWithinPartitions("motif", "turn")
+    rows.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in ("motif", "turn", "n1", "n2", "threshold"))).alias("value")).write.text(path)
+
+
+def read_coordinates(spark, path):
+    """name, chr, strand, len, start of rows of five columns; rows with a strand other than + or -, or no size, drop out."""
+    rows = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("v")).where(F.size("v") == 5)
+    rows = rows.select(F.col("v")[0].alias("name"), F.col("v")[1].alias("chr"), F.col("v")[2].alias("strand"), F.col("v")[3].try_cast("long").alias("len"), F.col("v")[4].try_cast("long").alias("start"))
+    return rows.where("strand in ('+', '-') and len > 0 and start >= 0")

@@ -18,7 +18,9 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 AGAINST_SQL = """seq_normalize seq_stats mask_modes revcomp kmer_count_gap0 kmer_mean_ss cg_adjust markov3_transitions enrichment_z enriched_words
 distrib_histogram distrib_quantiles abundance hit_spans sequence_summary search_dist hit_pairs hits_resolved region_split extract_regions validate_upload normal_cdf gamma_q lower_bound
-pwm_logodds pfm_consensus display_consensus self_similarity scan_core scan_threshold motif_pairs palindromes motif_components kmeans_step scan_hits calibrate_threshold refine_regression""".split()
+pwm_logodds pfm_consensus display_consensus self_similarity scan_core scan_threshold motif_pairs palindromes motif_components kmeans_step scan_hits calibrate_threshold refine_regression
+paged scan_consensus hit_conflicts pair_frames search_names region_coordinates fasta_file pfm_file meme_file hits_file positions_file conservation_file bed_file coordinates_file
+sql_functions pwm_consensus motif_edit validate_motifs kmeans_distance repeats_file repeat_annotate enrichment_cg""".split()
 
 
 def seqs(spark, rows):
