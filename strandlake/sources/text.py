@@ -62,9 +62,12 @@ MOTIF = ("name", "pattern", "patternRev", "freq", "ratio", "info", "score", "p",
 def read_pfm(spark, path, columns=None):
     """The columns of the head line, tab-separated, and pfm; missing columns are null, freq 100 and ratio 2.
 
-    The names are those given, else those of the file's Headers: line, else MOTIF.
+    The names are those given, else those of the file's Headers: line (in any case); columns beyond it go by MOTIF.
     """
-    columns = columns or headers(spark, path) or MOTIF
+    if columns is None:
+        known = {c.lower(): c for c in MOTIF}
+        named = [known.get(h.lower(), h) for h in headers(spark, path) or ()]
+        columns = (*named, *(c for c in MOTIF[len(named) :] if c not in named))
     rows, parts = records(spark, path), F.split("head", "\t")
     kinds = {"freq": "long", "ratio": "double", "info": "double", "score": "double", "p": "double", "fdr": "double"}
     default = {"freq": 100, "ratio": 2.0}
