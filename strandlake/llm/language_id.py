@@ -16,6 +16,7 @@ from .shingles import mix
 
 POINT = 21  # bits of a code point
 ROWS = 128  # texts whose n-grams are bound together
+BOUND = 1 << 10  # n-grams bound at once
 
 _tables = {}
 
@@ -77,8 +78,8 @@ def bundles(texts, n, dimensions, seed):
             continue
         counts = np.zeros((len(own), len(codes)), np.float32)
         counts[np.repeat(np.arange(len(own)), [len(c) for c, _ in own]), place] = np.concatenate([c for _, c in own])
-        for k in range(0, len(codes), 1 << 12):  # bounds the memory of n-grams bound at once
-            out[at : at + ROWS] += counts[:, k : k + (1 << 12)] @ bind(codes[k : k + (1 << 12)], n, dimensions, seed)
+        for k in range(0, len(codes), BOUND):
+            out[at : at + ROWS] += counts[:, k : k + BOUND] @ bind(codes[k : k + BOUND], n, dimensions, seed)
     return out
 
 
@@ -126,12 +127,16 @@ def predict(texts, model):
     return [(model["langs"][k], float(min(1.0, max(0.0, row[k])))) if s > 0 else ("und", 0.0) for k, row, s in zip(best.tolist(), cosine, size.tolist(), strict=True)]
 
 
-def label(shared):
+def label(shared, keep_text=False):
+    """Rows with _text -> the other columns, _text if it is to be kept, language and score, in small batches."""
+
     def run(batches):
-        for b in batches:
-            got = [p for at in range(0, b.num_rows, 4 * ROWS) for p in predict(C.strings(b.column("_text").slice(at, 4 * ROWS)), shared.value)]
-            rest = [x for x in b.schema.names if x != "_text"]
-            yield pa.record_batch([*(b.column(x) for x in rest), pa.array([k for k, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*rest, "lang_pred", "score"])
+        for whole in batches:
+            rest = [x for x in whole.schema.names if keep_text or x != "_text"]
+            for at in range(0, whole.num_rows, 4 * ROWS):
+                b = whole.slice(at, 4 * ROWS)
+                got = predict(C.strings(b.column("_text")), shared.value)
+                yield pa.record_batch([*(b.column(x) for x in rest), pa.array([k for k, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*rest, "lang_pred", "score"])
 
     return run
 
@@ -146,10 +151,12 @@ def identify(docs, model, text_col="text", keep=None, lang_name="lang_pred", sco
     """
     names = (lang_name, score_name)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    rows = docs.select(*(F.col(f"`{c}`").alias(f"_x_{c}") for c in keep), F.col(f"`{text_col}`").alias("_text"))
-    kinds = "".join(f"`_x_{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    out = rows.mapInArrow(label(docs.sparkSession.sparkContext.broadcast(model)), f"{kinds}lang_pred string, score double")
-    return out.select(*(F.col(f"`_x_{c}`").alias(c) for c in keep), F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))
+    # the text goes to the workers once, whether or not it is kept
+    inner = {c: "_text" if c == text_col else f"_x_{c}" for c in keep}
+    rows = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in {**inner, text_col: "_text"}.items()))
+    kinds = "".join(f"`{x}` {docs.schema[c].dataType.simpleString()}, " for c, x in inner.items())
+    out = rows.mapInArrow(label(docs.sparkSession.sparkContext.broadcast(model), text_col in inner), f"{kinds}lang_pred string, score double")
+    return out.select(*(F.col(f"`{x}`").alias(c) for c, x in inner.items()), F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))
 
 
 def held_out(doc_id):
