@@ -64,6 +64,11 @@ def shared_dir(spark, name, path=None):
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def places(n, most=26):
+    """Bits of a place in a bitmap for n keys: 16 places a key, 2**most at most, beyond which it passes more rows."""
+    return min(most, max(10, (16 * n).bit_length()))
+
+
 def bit_filter(keys, bits=22):
     """(word, mask) rows of a bitmap of 2**bits places for the non-null longs in the only column of keys.
 

@@ -1,6 +1,6 @@
 """Queries of the text operators, with SQL where SQL can express them."""
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, merkle, near_dedup, packing, records, secret_scan, suffix_dedup, warc
+from . import decontaminate, exact_dedup, language_id, line_dedup, merkle, near_dedup, packing, records, secret_scan, suffix_dedup, superkmers, warc
 
 QUERIES = {
     "op1_secrets": secret_scan.op1_secrets,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_warc": warc.op10_warc,
+    "op11_superkmers": superkmers.op11_superkmers,
     "op13_merkle": merkle.op13_merkle,
 }
 
@@ -23,5 +24,6 @@ SQL = {
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op9_near_dedup": near_dedup.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op11_superkmers": superkmers.OP11_SQL,
     "op13_merkle": merkle.OP13_SQL,
 }
