@@ -69,6 +69,18 @@ def places(n, most=26):
     return min(most, max(10, (16 * n).bit_length()))
 
 
+def frequent_from(counted, column, most, least=1):
+    """The least number, `least` or above, that at most `most` rows of counted reach in column; exact to an eighth of a
+    power of two."""
+    limit, room = least, most
+    sizes = counted.where(F.col(column) >= least).groupBy(F.floor(8 * F.log2(column)).alias("size")).agg(F.count(F.lit(1)).alias("n"), F.max(column).alias("top"))
+    for r in sizes.orderBy(F.desc("size")).collect():  # at most 64 * 8
+        room -= r["n"]
+        if room < 0:
+            return max(limit, r["top"] + 1)
+    return limit
+
+
 def bit_filter(keys, bits=22):
     """(word, mask) rows of a bitmap of 2**bits places for the non-null longs in the only column of keys.
 

@@ -1,6 +1,6 @@
 """Queries of the text operators, with SQL where SQL can express them."""
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, merkle, near_dedup, packing, records, secret_scan, suffix_dedup, superkmers, warc
+from . import cross_align, decontaminate, exact_dedup, language_id, line_dedup, merkle, near_dedup, packing, records, secret_scan, suffix_dedup, superkmers, warc
 
 QUERIES = {
     "op1_secrets": secret_scan.op1_secrets,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_warc": warc.op10_warc,
     "op11_superkmers": superkmers.op11_superkmers,
+    "op12_cross_align": cross_align.op12_cross_align,
     "op13_merkle": merkle.op13_merkle,
 }
 
