@@ -238,6 +238,30 @@ def test_whole_motifs_are_scanned(spark):
     assert len({x[0] for x in want}) == 3 and scan.wide_scan(seqs(spark, rows), []).count() == 0
 
 
+def test_motifs_of_all_widths_share_one_index():
+    """Brute force over widths with one block, several, and columns left over; strong and weak thresholds."""
+    rng = np.random.default_rng(4)
+    motifs = []
+    for k, width in enumerate((8, 9, 11, 15, 16, 17, 23, 24, 31, 16, 8)):
+        m = np.log10(4 * rng.dirichlet([0.3] * 4, width) + 0.04)
+        motifs.append((k, m.tolist(), int(rng.integers(0, width - 7)), float(m.max(axis=1).sum() * rng.choice([0.2, 0.4, 0.6]))))
+    bases = rng.choice([0, 1, 2, 3, 4], 1500, p=[0.25, 0.24, 0.24, 0.25, 0.02])
+    text = "".join("ACGTN"[b] for b in bases)
+    want = set()
+    for k, m, _, least in motifs:
+        m = np.array(m)
+        for strand, turned in (("+", m), ("-", m[::-1, ::-1])):
+            for i in range(len(bases) - len(m) + 1):
+                w = bases[i : i + len(m)]
+                if (w < 4).all() and round(turned[np.arange(len(m)), w].sum(), 6) >= least:
+                    want.add((k, strand, i))
+    _, span, parts = kmers.templates(8)[0]
+    for room in (1, 1000, 1 << 20):
+        got = [(k, strand, i) for k, strand, at, _ in scan.Index(motifs).hits(bases, *kmers.window_codes(text, span, parts), np.concatenate([[0], np.cumsum(bases > 3)]), room=room) for i in at.tolist()]
+        assert len(got) == len(want) and set(got) == want
+    assert len({k for k, _, _ in want}) > 5 and len(scan.Index(motifs).post) < len(motifs) * 65536 / 4
+
+
 def test_scan_whole_takes_every_motif(spark):
     """All rows of embeddings, not one of each label, in 16 columns: the strand and place of a planted best window."""
     if not os.path.isdir(SF):
