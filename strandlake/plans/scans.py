@@ -68,19 +68,31 @@ def whole_motifs(spark, sf_dir):
 
 
 WIDTH = 16
+# either half of a hit has at least half of its score
+WHOLE = M + f""", zz AS (SELECT vec_id, p, {LOGODDS} AS z FROM pos), v AS (SELECT vec_id, sum(list_sum(z)) / 4 AS mean, sum((list_dot_product(z, z) - list_sum(z) * list_sum(z) / 4) / 3) AS var, sum(list_max(z)) AS most, list(z ORDER BY p) AS m FROM zz GROUP BY vec_id),
+lim AS (SELECT vec_id, m, round(greatest(least(mean + (0.968 - 0.3235 * ln(4 * 5 / 10000) - 0.0037336 * ln(4 * 5 / 10000) * ln(4 * 5 / 10000)) * sqrt(var), most * 0.75), 1.301), 6) AS least FROM v),
+turned AS (SELECT vec_id, '+' AS strand, least, m FROM lim UNION ALL SELECT vec_id, '-', least, list_transform(list_reverse(m), lambda r: list_reverse(r)) FROM lim),
+four AS (SELECT c, array_to_string(list_transform(range(0, 4), lambda j: substr('ACGT', 1 + ((c >> (2 * j)) & 3)::INT, 1)), '') AS w FROM range(0, 256) t(c)),
+quad AS (SELECT vec_id, strand, least, q, w, list_sum(list_transform(range(0, 4), lambda j: m[4 * q + j + 1][1 + ((c >> (2 * j)) & 3)])) AS s FROM turned, four, range(0, 4) t(q)),
+part AS (SELECT a.vec_id, a.strand, a.q // 2 AS half, a.w || b.w AS word FROM quad a JOIN quad b ON a.vec_id = b.vec_id AND a.strand = b.strand AND a.q + 1 = b.q AND a.q % 2 = 0 WHERE a.s + b.s >= a.least / 2 - 1e-6),
+""" + SEQ + """, win AS (SELECT seq_id, grp, i, substr(u, i, 16) AS f FROM (SELECT seq_id, grp, u, unnest(range(1, length(u) - 14)) AS i FROM seq WHERE length(u) >= 16)), clean AS (SELECT * FROM win WHERE strpos(f, 'N') = 0),
+cand AS (SELECT vec_id, strand, seq_id, grp, i, f FROM clean JOIN part ON half = 0 AND word = substr(f, 1, 8) UNION SELECT vec_id, strand, seq_id, grp, i, f FROM clean JOIN part ON half = 1 AND word = substr(f, 9, 8)),
+scored AS (SELECT vec_id, seq_id, grp, c.strand, i - 1 AS start, f, least, round(list_sum(list_transform(range(1, 17), lambda j: m[j][strpos('ACGT', substr(f, j, 1))])), 6) AS score FROM cand c JOIN turned USING (vec_id, strand)),
+hit AS (SELECT vec_id, seq_id, grp, strand, start, score, CASE WHEN strand = '+' THEN f ELSE """ + rc("f") + """ END AS match FROM scored WHERE score >= least) """
 
 
 def whole_found(spark, sf_dir):
     return scan.wide_scan(sequences(spark, sf_dir), whole_motifs(spark, sf_dir)).withColumnRenamed("motif", "vec_id")
 
 
-@query()
+@query(WHOLE + "SELECT vec_id, seq_id, grp, strand, start, score, match FROM hit")
 def scan_whole(spark, sf_dir):
-    """Hits of every motif over all of its 16 columns, at the motif's own threshold; tested by brute force."""
+    """Hits of every motif over all of its 16 columns, at the motif's own threshold."""
     return with_match(whole_found(spark, sf_dir), sequences(spark, sf_dir), WIDTH).select("vec_id", "seq_id", "grp", "strand", "start", "score", "match")
 
 
-@query()
+@query(WHOLE + f""", {LENGTHS}, s AS (SELECT vec_id, count(*) FILTER (WHERE grp = 'test') AS n1, count(*) FILTER (WHERE grp = 'ctrl') AS n2 FROM hit GROUP BY vec_id)
+SELECT vec_id, s.n1, s.n2, round(s.n2 * len1 / len2, 4) AS scaled, round(s.n1 - s.n2 * len1 / len2, 4) AS freq, round(s.n1 / nullif(s.n2 * len1 / len2, 0), 6) AS ratio FROM s, tot""")
 def fp_whole(spark, sf_dir):
     """As fp_threshold, for every motif over all of its columns; a motif without hits has no row."""
     of = lambda g: F.count(F.when(F.col("grp") == g, 1)).alias("n1" if g == "test" else "n2")
@@ -195,23 +207,26 @@ def whole_cells(spark, sf_dir):
     return cell_counts(scan_whole(spark, sf_dir), "vec_id")
 
 
-@query()
+WHOLE_CELLS = WHOLE + ", ch AS (SELECT vec_id, grp, j AS p, substr(match, j, 1) AS base FROM hit, range(1, 17) t(j)), cell AS (SELECT vec_id, p, base, count(*) FILTER (WHERE grp = 'test') AS f1, count(*) FILTER (WHERE grp = 'ctrl') AS f2 FROM ch GROUP BY ALL)"
+
+
+@query(WHOLE_CELLS + " SELECT * FROM cell")
 def refine_counts_whole(spark, sf_dir):
     """As refine_counts, over the hits of scan_whole."""
     return whole_cells(spark, sf_dir)
 
 
-@query()
+@query(WHOLE_CELLS + ", l AS (SELECT *, log10(f1 + 1) AS y, log10(f2 + 1) AS x FROM cell), g AS (SELECT vec_id, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM l GROUP BY vec_id) SELECT vec_id, p, base, round(0.5 * (y - CASE WHEN b IS NULL OR isnan(b) THEN 0 ELSE b * x + a END), 5) + 0.0 AS step FROM l JOIN g USING (vec_id)")
 def refine_regression_whole(spark, sf_dir):
     return regression(whole_cells(spark, sf_dir), "vec_id")
 
 
-@query()
+@query(WHOLE_CELLS + f", {LENGTHS}, d AS (SELECT vec_id, p, base, greatest(1, f1 - len1 / len2 * f2) AS v FROM cell, tot) SELECT vec_id, p, base, round(log10(4 * v / sum(v) OVER (PARTITION BY vec_id, p)), 6) AS weight FROM d")
 def refine_difference_whole(spark, sf_dir):
     return difference(whole_cells(spark, sf_dir), sequences(spark, sf_dir), "vec_id")
 
 
-@query()
+@query(WHOLE + "SELECT vec_id, seq_id, strand, start, round(list_sum(list_transform(range(1, 17), lambda j: m[j][strpos('ACGT', substr(match, j, 1))])), 4) AS again FROM hit JOIN lim USING (vec_id)")
 def rescore_whole(spark, sf_dir):
     """As rescore, over the hits of scan_whole; the matrices are joined by motif."""
     m = motifs(spark, sf_dir).select("vec_id", pfm.logodds(F.col("pfm")).alias("m"))
@@ -226,7 +241,7 @@ def hits_conservation(spark, sf_dir):
     return track_mean(found(spark, sf_dir), sequences(spark, sf_dir), "motif", 8)
 
 
-@query()
+@query(WHOLE + ", k AS (SELECT vec_id, seq_id, start, strand, substr(u, (start // 10) * 10 + 1, ((start + 15) // 10 - start // 10 + 1) * 10) AS t FROM hit JOIN seq USING (seq_id)) SELECT vec_id, seq_id, start, strand, (10 * (length(t) - length(translate(t, 'CG', ''))) // ((length(t) + 9) // 10))::BIGINT AS conservation FROM k")
 def hits_conservation_whole(spark, sf_dir):
     return track_mean(whole_found(spark, sf_dir), sequences(spark, sf_dir), "vec_id", WIDTH)
 
