@@ -12,7 +12,10 @@ Long documents take several places in the vector, from one common end to another
 """
 
 import hashlib
+import json
 import re
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +23,16 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .components import saved
-from .tokens import Encoder, byte_letters
+from .tokens import PIECE, byte_letters
 
-BYTES = 1 << 22  # text that is merged together
-LANE = 256  # A tokens after which a long document may take a further place in the vector
+BYTES = 1 << 20  # text that is merged together
+LANE = 128  # A tokens after which a long document may take a further place in the vector
 NEAR = 64  # tokens among which a common end is looked for there
-HELD = 1 << 21  # pairs whose counts a task holds before it hands them on
+HELD = 1 << 19  # pairs whose counts a task holds before it hands them on
 ROW = 100_000  # pairs in one row of counts
 
 SPACED = re.compile(" +[^ ]*")
+LONG_BLANK = re.compile(r"\s{4000}")
 
 _sides = {}
 
@@ -42,22 +46,38 @@ def sides(a_path, b_path):
     return _sides[key]
 
 
-class ByteLevel(Encoder):
-    """A: ids of a byte-level vocabulary; strings of special tokens are plain text."""
+class ByteLevel:
+    """A: ids of a byte-level vocabulary of the tokenizers library; strings of special tokens are plain text.
+
+    Its ids are those of merging by rank, if the merges stand in the order of their ids (checked), which a faster library
+    does as well.
+    """
 
     def __init__(self, path):
-        super().__init__(path)
-        self.added = []
-        if self.kind.itemsize != 2:
-            raise ValueError("ids must fit into 16 bits")
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
+        letters, entries = {v: k for k, v in byte_letters().items()}, self.library.get_vocab()
+        added = {x.content for x in self.library.get_added_tokens_decoder().values()}
+        ranks = {bytes(map(letters.__getitem__, w)): i for w, i in entries.items() if w not in added}
+        merges = json.loads(self.library.to_str())["model"]["merges"]
+        ids = [entries["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in merges]
+        if max(entries.values()) >= 1 << 16 or ids != sorted(ids):
+            raise ValueError("ids must fit into 16 bits and follow the merges")
+        self.size = np.zeros(1 << 16, np.int64)
+        self.size[[*ranks.values()]] = [*map(len, ranks)]
+        self.encoding = tiktoken.Encoding("byte-level", pat_str=PIECE.pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text):
+        if LONG_BLANK.search(text):  # too deep for the faster one
+            return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("H", self.encoding.encode_ordinary(text)).tobytes()
 
     def sizes(self):
-        """Bytes of each id's token: a letter of its entry for each."""
-        entries = self.tokenizer.get_vocab()
-        letters, out = set(byte_letters().values()), np.zeros(1 << 16, np.int64)
-        for entry, i in entries.items():
-            out[i] = len(entry) if letters.issuperset(entry) else 0
-        return out
+        """Bytes of each id's token."""
+        return self.size
 
 
 class Pieces(dict):
@@ -91,18 +111,16 @@ class Pieces(dict):
     def words(text):
         """Words of a space and the text: spaces and what follows up to the next, or a line feed and what follows. The
         space that the library adds before each is left out."""
+        if "  " not in text and text[0] != " ":
+            return text.replace("\n", " \n").split(" ")
+        out = []
         for k, line in enumerate(text.split("\n")):
-            if "  " not in (line if k else " " + line):
-                head, *rest = line.split(" ")
-                yield "\n" + head if k else head
-                yield from rest
-                continue
             spaced = line if k else " " + line
-            head = spaced[: spaced.index(" ")]
+            head = spaced.split(" ", 1)[0]
             if k:
-                yield "\n" + head
-            for word in SPACED.findall(spaced, len(head)):  # of several spaces, all go with the word after them
-                yield word[1:]
+                out.append("\n" + head)
+            out += [w[1:] for w in SPACED.findall(spaced, len(head))]  # of several spaces, all go with the word after them
+        return out
 
     def encode(self, texts):
         """Ids of each text, as bytes."""
@@ -110,10 +128,10 @@ class Pieces(dict):
             return [np.array(x, "<u2").tobytes() for x in self.library.encode(texts, num_threads=1)]
         if len(self) > self.keep:
             self.clear()
-        found = [[] if "▁" in t else [*self.words(t)] for t in texts]  # that sign becomes a space, so the text isn't spelled
-        fresh = [w for w in {w for ws in found for w in ws} if w not in self]
+        found = [[] if "▁" in t else self.words(t) for t in texts]  # that sign becomes a space, so the text isn't spelled
+        fresh = [*set(chain.from_iterable(found)).difference(self)]
         for w, ids in zip(fresh, self.library.encode(fresh, num_threads=1), strict=True):
-            self[w] = np.array([self.space] if not w else ids[1:] if w[:1] == "\n" else ids, "<u2").tobytes()  # a space alone was added before the line feed
+            self[w] = array("H", [self.space] if not w else ids[1:] if w[0] == "\n" else ids).tobytes()  # a space alone was added before the line feed
         return [b"".join(map(self.__getitem__, ws)) for ws in found]
 
 
@@ -186,17 +204,20 @@ class Batch:
         out[at_a], out[at_b] = self.a, self.b
         out[at_a[self.a_cut]] += 1 << 16  # a bar behind
         out[at_b[self.b_cut]] += 2 << 16  # a semicolon behind
-        parts, table = [*map(spelled().__getitem__, out.tolist())], np.concatenate([[0], np.cumsum(self.n_a + self.n_b)]).tolist()
-        return [b"".join(parts[x:y])[:-1] for x, y in zip(table[:-1], table[1:], strict=True)]
+        signs, length = spelled()
+        found = signs[out]
+        text, ends = found[found > 0].tobytes(), np.append(0, np.cumsum(length[out]))[np.append(0, np.cumsum(self.n_a + self.n_b))].tolist()
+        return [text[x : y - 1] for x, y in zip(ends[:-1], ends[1:], strict=True)]
 
 
 _spelled = []
 
 
 def spelled():
-    """Decimal ids with what may follow them."""
+    """Decimal ids and what may follow them, as rows of signs filled up with zeros, and their lengths."""
     if not _spelled:
-        _spelled.extend(b"%d%c" % (i, sign) for sign in b",|;" for i in range(1 << 16))
+        words = [b"%d%c" % (i, sign) for sign in b",|;" for i in range(1 << 16)]
+        _spelled.extend((np.array(words, "S6").view(np.uint8).reshape(-1, 6), np.array([*map(len, words)])))
     return _spelled
 
 
@@ -267,6 +288,7 @@ def encode(a_path, b_path):
                     if len(held[0][0]) > HELD:
                         yield from told(held, kind)
                         held = []
+                del found  # before the next one is made
         yield from told(held, kind)
 
     return run
@@ -307,6 +329,7 @@ def sums(a_path, b_path, shared, groups):
                     for i, g in zip(some, found.groups(), strict=True):
                         text[i - x] = g.decode()
                 yield pa.record_batch([*cols, pa.array(n_best), pa.array(count_sum), rest, pa.array(text, pa.string())], names=[*SUMS, "rest", "groups"])
+                del found
 
     return run
 

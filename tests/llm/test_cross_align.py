@@ -120,3 +120,10 @@ def test_lanes_change_nothing(monkeypatch, lane):
         want = {(i, j) for i in range(len(a_end)) for j in range(len(b_end)) if a_begin[i] < b_end[j] and b_begin[j] < a_end[i]}
         assert len(a_link) == len(want) and {*zip(a_link.tolist(), b_link.tolist(), strict=True)} == want
         assert a_end[a_cut].tolist() == b_end[b_cut].tolist() == sorted({*a_end.tolist()} & {*b_end.tolist()})
+
+
+def test_byte_level_ids_are_the_librarys():
+    own, library = cross_align.ByteLevel(A), Tokenizer.from_file(A)
+    library.encode_special_tokens = True
+    some = [t for t in texts(2000, 3) if t] + [" " * 200_000, "a" * 100_000, "x" + "\n" * 50_000 + "y"]
+    assert [np.frombuffer(own.encode(" " + t), "<u2").tolist() for t in some] == [x.ids for x in library.encode_batch([" " + t for t in some], add_special_tokens=False)]
