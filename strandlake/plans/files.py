@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seq, surface
 from ..session import shared_dir
-from ..sources import text
+from ..sources import formats, text
 from .finish import REPEATS, core_cells, repeat_stats, repeat_words
 from .motifs import M, by_row, cells, motifs
 from .tables import HITS, SEQ, hits, rc, sequences, table
@@ -36,6 +36,53 @@ def fasta_file(spark, sf_dir):
     return text.read_fasta(spark, path, part=PART).select("name", F.length("seq").cast("long").alias("n"), F.md5(F.col("seq").cast("binary")).alias("digest"))
 
 
+@query("WITH " + SEQ + f""", p AS (SELECT 'S' || seq_id || ' a>b' AS name, s, unnest(range(0, (length(s) - 1) // {PART} + 1)) * {PART} AS start FROM seq WHERE length(s) >= 10)
+SELECT name, start::BIGINT AS start, length(substr(s, start + 1, {PART})) AS n, md5(substr(s, start + 1, {PART})) AS digest FROM p""")
+def fasta_source(spark, sf_dir):
+    """Sequences through the fasta data source and back: long ones in parts with their place, ranges that end anywhere, and
+    the sign of a record inside names."""
+    formats.register(spark)
+    path = f"{shared_dir(spark, 'fasta')}/sequences"
+    sequences(spark, sf_dir).select(F.concat(named("seq_id", "S"), F.lit(" a>b")).alias("name"), F.lit(0).cast("long").alias("start"), F.col("s").alias("seq")).write.format("fasta").mode("append").save(path)
+    back = spark.read.format("fasta").option("partLetters", PART).option("rangeBytes", 1 << 22).load(path)
+    return back.select("name", "start", F.length("seq").cast("long").alias("n"), F.md5(F.col("seq").cast("binary")).alias("digest"))
+
+
+@query(M + f"SELECT 'M' || vec_id AS name, label AS freq, p, {cells('list_transform(f, lambda x: round(x, 4))').replace('], 6)', '], 4)')} FROM pos JOIN m USING (vec_id, label)")
+def pfm_source(spark, sf_dir):
+    """Motifs through the pfm data source and back: two folders whose files name their columns in another order."""
+    formats.register(spark)
+    path = shared_dir(spark, "pfm")
+    rows = motifs(spark, sf_dir).select("vec_id", named("vec_id", "M").alias("name"), F.col("label").alias("freq"), F.transform("pfm", lambda r: F.transform(r, lambda x: F.round(x, 4))).alias("pfm"))
+    for k, names in enumerate(("name\tfreq", "Freq\tname")):
+        rows.where(F.col("vec_id") % 2 == k).drop("vec_id").write.format("pfm").option("Headers", names).mode("append").save(f"{path}/{k}")
+    back = spark.read.format("pfm").load(path)
+    return back.select("name", "freq", F.posexplode("pfm").alias("p", "r")).select("name", "freq", (F.col("p") + 1).cast("long").alias("p"), *(F.round(F.col("r")[k], 4).alias(n) for k, n in enumerate("acgt")))
+
+
+@query(M + f"SELECT 'M' || vec_id AS name, p, {cells('list_transform(f, lambda x: 100 * round(x / 100, 6))').replace('], 6)', '], 4)')} FROM pos")
+def meme_source(spark, sf_dir):
+    """Motifs through the meme data source and back."""
+    formats.register(spark)
+    path = f"{shared_dir(spark, 'meme')}/motifs"
+    motifs(spark, sf_dir).select(named("vec_id", "M").alias("name"), F.lit(100).cast("long").alias("nsites"), "pfm").write.format("meme").mode("append").save(path)
+    return by_row(spark.read.format("meme").option("rangeBytes", 1 << 16).load(path).withColumnRenamed("name", "vec_id"), F.col("pfm"), 4).withColumnRenamed("vec_id", "name")
+
+
+@query("WITH " + SEQ + ", t AS (SELECT seq_id, 5 * (1 + seq_id % 2) AS w, u FROM seq WHERE length(u) > 0) SELECT 'S' || seq_id AS name, w::BIGINT AS interval, ((length(u) + w - 1) // w)::BIGINT AS n, (10 * (length(u) - length(translate(u, 'CG', ''))))::BIGINT AS total FROM t")
+def consv_source(spark, sf_dir):
+    """Tracks of 5 and of 10 bases a value in one folder: each file goes by its own interval."""
+    formats.register(spark)
+    path = shared_dir(spark, "track")
+    s = sequences(spark, sf_dir).where(F.length("u") > 0)
+    for k, w in enumerate((5, 10)):
+        values = F.transform(F.sequence(F.lit(0), F.floor((F.length("u") - 1) / w).cast("int")), lambda j: (10 * seq.count_cg(F.substring(F.col("u"), w * j + 1, F.lit(w)))).cast("int"))  # noqa: B023
+        rows = s.where(F.col("seq_id") % 2 == k).select(named("seq_id", "S").alias("name"), F.lit(w).cast("long").alias("interval"), values.alias("values"))
+        rows.write.format("consv").option("Parameters", f"interval={w}").mode("append").save(f"{path}/{k}")
+    back = spark.read.format("consv").load(f"{path}/*")
+    return back.select("name", "interval", F.size("values").cast("long").alias("n"), F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
 @query(M + f"SELECT 'M' || vec_id AS name, p, {cells('f').replace('6)', '4)')} FROM pos")
 def pfm_file(spark, sf_dir):
     """Motifs as text and back, by their head columns."""

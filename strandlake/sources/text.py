@@ -10,24 +10,41 @@ from ..functions.seq import revcomp
 
 
 def records(spark, path):
-    """head, body of each '>' record; text before the first '>' and empty records drop out."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    rows = rows.withColumn("value", F.regexp_replace("value", "\r", ""))
+    """head, body, file of each record that a line led by '>' begins; what stands before a file's first record drops out."""
+    rows = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    rows = rows.withColumn("value", F.regexp_replace(F.regexp_replace("value", "\r", ""), "^>", "")).where(F.trim("value") != "")
     parts = F.split("value", "\n", 2)
-    return rows.where(~F.col("value").rlike("^(Parameters|Headers):")).select(F.trim(parts[0]).alias("head"), F.coalesce(F.get(parts, 1), F.lit("")).alias("body"))
+    return rows.where(~F.col("value").rlike("^(Parameters|Headers):")).select(F.trim(parts[0]).alias("head"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("body"), "file")
 
 
-def parameters(spark, path):
-    """{key: value} of the Parameters: line at the start of a file, {} without one."""
-    row = spark.read.text(path).where(F.col("value").startswith("Parameters:")).limit(1).collect()
-    words = row[0]["value"][len("Parameters:") :].replace("\t", " ").split() if row else []
-    return dict(w.split("=", 1) for w in words if "=" in w)
+def parameters_of(spark, path):
+    """file, known ({key: value}) of each file that has a Parameters: line."""
+    rows = spark.read.text(path).where(F.col("value").startswith("Parameters:")).select(F.col("_metadata.file_path").alias("file"), F.substring("value", len("Parameters:") + 1, 1 << 20).alias("value"))
+    words = rows.select("file", F.explode(F.split(F.trim("value"), r"\s+")).alias("w")).where("instr(w, '=') > 0")
+    pairs = words.groupBy("file", F.substring_index("w", "=", 1).alias("k")).agg(F.min(F.expr("substr(w, instr(w, '=') + 1)")).alias("v"))
+    return pairs.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("known"))
+
+
+def with_parameter(rows, spark, path, key, name):
+    """rows (with file) and `name`: key of the file's Parameters: line; the files of one folder that Spark has written
+    (part-...) share what one of them has."""
+    known = parameters_of(spark, path).select("file", F.try_element_at("known", F.lit(key)).cast("long").alias(name))
+    folder = F.when(F.col("file").rlike("/part-[^/]*$"), F.regexp_replace("file", "/[^/]*$", "")).alias("folder")
+    shared = known.groupBy(folder).agg(F.min_by(name, "file").alias("_shared")).where("folder is not null")
+    rows = rows.join(known, "file", "left").withColumn("folder", folder).join(shared, "folder", "left")
+    return rows.withColumn(name, F.coalesce(name, "_shared")).drop("folder", "_shared")
 
 
-def headers(spark, path):
-    """Column names of the Headers: line at the start of a file, None without one."""
-    row = spark.read.text(path).where(F.col("value").startswith("Headers:")).limit(1).collect()
-    return [x.strip() for x in row[0]["value"][len("Headers:") :].strip().split("\t")] if row else None
+def headers_of(spark, path):
+    """file, names of each file that has a Headers: line."""
+    rows = spark.read.text(path).where(F.col("value").startswith("Headers:")).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace(F.substring("value", len("Headers:") + 1, 1 << 20), r"^\s+|\s+$", "").alias("value"))
+    return rows.groupBy("file").agg(F.min("value").alias("value")).select("file", F.transform(F.split("value", "\t"), lambda x: F.trim(x)).alias("names"))
+
+
+def parameters(spark, path):
+    """{key: value} of the Parameters: line at the start of a file, {} without one; of a folder, those of its first file."""
+    row = parameters_of(spark, path).orderBy("file").first()
+    return row["known"] if row else {}
 
 
 def read_fasta(spark, path, least=10, part=None):
@@ -64,14 +81,21 @@ def read_pfm(spark, path, columns=None):
 
     The names are those given, else those of the file's Headers: line (in any case); columns beyond it go by MOTIF.
     """
-    if columns is None:
-        known = {c.lower(): c for c in MOTIF}
-        named = [known.get(h.lower(), h) for h in headers(spark, path) or ()]
-        columns = (*named, *(c for c in MOTIF[len(named) :] if c not in named))
     rows, parts = records(spark, path), F.split("head", "\t")
     kinds = {"freq": "long", "ratio": "double", "info": "double", "score": "double", "p": "double", "fdr": "double"}
     default = {"freq": 100, "ratio": 2.0}
-    cols = [F.coalesce(F.nullif(F.get(parts, k), F.lit("")).try_cast(kinds.get(c, "string")), F.lit(default.get(c)).cast(kinds.get(c, "string"))).alias(c) for k, c in enumerate(columns)]
+    if columns is None:
+        named = headers_of(spark, path)
+        known = {c.lower(): c for c in MOTIF}
+        heads = [r["names"] for r in named.select("names").distinct().orderBy("names").collect()]  # as many as the kinds of files
+        columns = [*dict.fromkeys([*(known.get(h.lower(), h) for names in heads for h in names), *MOTIF])]
+        rows = rows.join(named, "file", "left").withColumn("lower", F.transform(F.coalesce("names", F.array().cast("array<string>")), lambda x: F.lower(x)))
+        usual = lambda c: F.when(F.lit(MOTIF.index(c)) >= F.size("lower"), F.get(parts, F.lit(MOTIF.index(c)))) if c in MOTIF else F.lit(None)
+        at = {c: F.array_position("lower", c.lower()) for c in columns}
+        value = {c: F.when(at[c] > 0, F.get(parts, (at[c] - 1).cast("int"))).otherwise(usual(c)) for c in columns}
+    else:
+        value = {c: F.get(parts, F.lit(k)) for k, c in enumerate(columns)}
+    cols = [F.coalesce(F.nullif(value[c], F.lit("")).try_cast(kinds.get(c, "string")), F.lit(default.get(c)).cast(kinds.get(c, "string"))).alias(c) for c in columns]
     return rows.select(*cols, rows_of(F.col("body")).alias("pfm"))
 
 
@@ -112,9 +136,10 @@ def write_hits(hits, path, names=None):
 def read_conservation(spark, path):
     """name, interval, values of each record: whole numbers parted by commas or spaces, one for `interval` bases (1 unless the
     file's Parameters: line says otherwise)."""
-    interval = int(parameters(spark, path).get("interval", 1))
     values = F.transform(F.filter(F.split("body", r"[,\s]+"), lambda x: x != ""), lambda x: x.cast("int"))
-    return records(spark, path).select(F.element_at(F.split("head", r"\s+"), 1).alias("name"), F.lit(interval).cast("long").alias("interval"), values.alias("values"))
+    rows = with_parameter(records(spark, path), spark, path, "interval", "interval")
+    interval = F.coalesce("interval", F.lit(1).cast("long"))
+    return rows.select(F.element_at(F.split("head", r"\s+"), 1).alias("name"), interval.alias("interval"), values.alias("values"))
 
 
 def read_bed(spark, path):
@@ -157,11 +182,11 @@ def write_positions(hits, path, sequences):
 
 
 def read_positions(spark, path, motifs=None):
-    """motif, seq_no, seq_name, dir, pos, n_seqs; only of the given motifs (column motif), if any. Needs Nseq=."""
-    n = parameters(spark, path)["Nseq"]
-    rows = spark.read.text(path).where(~F.col("value").rlike(r"^(Headers|Parameters):|^\s*$")).select(F.split("value", "\t").alias("v"))
+    """motif, seq_no, seq_name, dir, pos, n_seqs (Nseq= of its file, null without any); only of the given motifs (column motif), if any."""
+    rows = spark.read.text(path).where(~F.col("value").rlike(r"^(Headers|Parameters):|^\s*$")).select(F.split("value", "\t").alias("v"), F.col("_metadata.file_path").alias("file"))
+    rows = with_parameter(rows, spark, path, "Nseq", "n_seqs")
     kinds = (("motif", "string"), ("seq_no", "long"), ("seq_name", "string"), ("dir", "long"), ("pos", "long"))
-    rows = rows.select(*(F.get("v", F.lit(k)).try_cast(t).alias(c) for k, (c, t) in enumerate(kinds)), F.lit(int(n)).cast("long").alias("n_seqs"))
+    rows = rows.select(*(F.get("v", F.lit(k)).try_cast(t).alias(c) for k, (c, t) in enumerate(kinds)), "n_seqs")
     return rows if motifs is None else rows.join(motifs.select("motif"), "motif", "left_semi")
 
 
