@@ -350,10 +350,11 @@ def cut_out(text, start, end, reach):
     return a, b
 
 
-def sequences_of(text, rng, reach=120, longest=300):
-    """[(kind, tokens, labels)] to learn from: around the secrets that the base scan finds; a planted one, a decoy and
-    nothing at random places of the text; each of at most `longest` tokens."""
+def sequences_of(text, rng, reach=120, longest=300, each=20):
+    """[(kind, tokens, labels)] to learn from: around `each` secrets at most, drawn from those that the base scan finds; a
+    planted one, a decoy and nothing at random places of the text; each of at most `longest` tokens, the first ones."""
     out, base = [], [(secret, end) for _, end, _, secret in base_spans(text)]
+    drawn = base if len(base) <= each else rng.sample(base, each)
 
     def tell(kind, text, marked, a, b):
         tokens, gold = labelled(text, marked, a, b)
@@ -361,7 +362,7 @@ def sequences_of(text, rng, reach=120, longest=300):
             gold = gold[:longest]
             out.append((kind, tokens[:longest], gold))
 
-    for start, end in base:
+    for start, end in drawn:
         tell("base", text, base, *cut_out(text, start, end, reach))
     for kind in ("planted", "decoy", "plain"):
         at = rng.randrange(len(text) + 1)
@@ -380,7 +381,7 @@ def sequences_of(text, rng, reach=120, longest=300):
     return out
 
 
-def samples(seed):
+def samples(seed, longest, each):
     """Sequences of whole texts: all that the field sees of each token (shape, word), file features, labels."""
 
     def run(batches):
@@ -392,7 +393,7 @@ def samples(seed):
                     continue
                 signs = sum(len(t.strip()) == 1 and not t.strip().isalnum() for t in tokens)
                 of_file = file_features(len(text), signs, len(tokens))
-                for i, (kind, own, gold) in enumerate(sequences_of(text, random.Random(o ^ seed))):
+                for i, (kind, own, gold) in enumerate(sequences_of(text, random.Random(o ^ seed), longest=longest, each=each)):
                     rows.append((o, i, kind, [shape(t) for t in own], [t.strip().lower() if len(t) <= 13 else "" for t in own], of_file, gold))
             names, labels = pa.list_(pa.string()), pa.list_(pa.int64())
             kinds = (pa.int64(), pa.int64(), pa.string(), names, names, names, labels)
@@ -403,18 +404,23 @@ def samples(seed):
 
 
 def words_before(sequences, most=500):
-    """Words of 3 to 12 characters seen at least 3 times, mostly within three tokens before a secret; the most frequent."""
-    seen, near = Counter(), Counter()
-    for low, _, gold in sequences:
+    """Words of 3 to 12 characters, mostly within three tokens before a secret, seen there in at least 3 texts; the most
+    frequent. sequences: (text's number, words, labels)."""
+    seen, near, texts = Counter(), Counter(), {}
+    for o, low, gold in sequences:
         seen.update(low)
-        near.update(low[j] for j in {j for i, g in enumerate(gold) if g == B for j in range(max(0, i - 3), i)})
-    kept = [(-n, w) for w, n in near.items() if n >= 3 and 2 * n > seen[w] and 3 <= len(w) <= 12]
+        here = [low[j] for j in {j for i, g in enumerate(gold) if g == B for j in range(max(0, i - 3), i)}]
+        near.update(here)
+        for w in here:
+            texts.setdefault(w, set()).add(o)
+    kept = [(-n, w) for w, n in near.items() if len(texts[w]) >= 3 and 2 * n > seen[w] and 3 <= len(w) <= 12]
     return [w for _, w in sorted(kept)[:most]]
 
 
-def fit(docs, text_col="text", pool=20_000, most=1000, seed=3):
-    """Fits the field on a bounded sample: about `pool` whole texts, chosen by hash, of which at most `most` sequences of
-    each kind come to the driver, of at most 300 tokens each; no text or sequence is chosen by where it is.
+def fit(docs, text_col="text", pool=20_000, most=1000, longest=300, each=20, seed=3):
+    """Fits the field on a bounded sample: about `pool` different whole texts at most, chosen by hash, of which at most
+    `most` sequences of each kind come to the driver, of at most `longest` tokens each, and around `each` found secrets of
+    a text at most; no text or sequence is chosen by where it is, and a text that repeats counts once.
 
     Labels are those of the base scan, and of secrets planted into texts of the sample in other wordings (NAMES, JOINS,
     made_secret); decoys and plain stretches are the other examples. None where no text of the sample has a token.
@@ -423,12 +429,13 @@ def fit(docs, text_col="text", pool=20_000, most=1000, seed=3):
     n = docs.count()
     if pool < n:
         texts = texts.where(F.col("o") < int(-(1 << 63) + (1 << 64) * pool / n))
-    found = texts.mapInArrow(samples(seed), "o long, i long, kind string, shapes array<string>, low array<string>, of_file array<string>, gold array<long>")
+    texts = texts.groupBy("o").agg(F.first("_text").alias("_text"))  # one of equal texts
+    found = texts.mapInArrow(samples(seed, longest, each), "o long, i long, kind string, shapes array<string>, low array<string>, of_file array<string>, gold array<long>")
     nth = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("o", "i"), "o", "i"))  # of the sample alone
     picked = found.withColumn("n", nth).where(F.col("n") <= most).orderBy("kind", "n").collect()
     if not picked:
         return None
-    words = words_before([(r["low"], r["of_file"], r["gold"]) for r in picked])
+    words = words_before([(r["o"], r["low"], r["gold"]) for r in picked])
     known = set(words)
     learned = [(kind_features([(s, w if w in known else "") for s, w in zip(r["shapes"], r["low"], strict=True)], r["of_file"]), r["gold"]) for r in picked]
     weights, steps = train(learned, seed=seed)

@@ -632,3 +632,15 @@ def test_pipeline(spark, tmp_path):
     assert set(left[3]) == set(range(12)) | {14} and item not in left[3][14]
     out = corpus_pipeline.run(spark, folder)
     assert {r["doc_id"] for r in out.collect()} == set(left[3])
+
+
+def test_the_sample_of_secrets_is_of_different_texts(spark):
+    """A text that repeats counts once, and one text with many secrets gives a few of them only."""
+    crowd = " ".join(f"password = abcdefgh{k:04d}" for k in range(300))
+    rng = random.Random(2)
+    assert sum(kind == "base" for kind, _, _ in secret_scan.sequences_of(crowd, rng, each=5)) == 5
+    assert secret_scan.words_before([(1, ["vkgs", "x"], [0, 1])] * 9) == [] and secret_scan.words_before([(k, ["vkgs", "x"], [0, 1]) for k in range(3)]) == ["vkgs"]
+    same = docs(spark, [(k, "token: abcdefgh12345678 " + "plain words " * 20) for k in range(400)])
+    alone = docs(spark, [(0, "token: abcdefgh12345678 " + "plain words " * 20)])
+    many, one = (secret_scan.fit(d, pool=1000) for d in (same, alone))
+    assert (many["weights"] == one["weights"]).all() and many["words"] == one["words"]
