@@ -1,10 +1,11 @@
 """Questions about motif hits: motif, seq_id, strand, len, start, score, and an id that breaks ties."""
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..session import saved, shared_dir
-
 PART = 64  # width of the parts of a sequence that range joins meet in
 
 
@@ -80,26 +81,105 @@ def conflicts(hits, id_col="event_id", reach=15):
     return both.where((F.col("a_motif") == F.col("b_motif")) | ~apart).select(F.col(f"a_{id_col}").alias("a"), F.col(f"b_{id_col}").alias("b"))
 
 
-def resolve_greedy(hits, id_col="event_id", reach=15):
+class Sweep:
+    """Hits of one sequence in the order of their starts -> those that the greedy choice keeps.
+
+    A hit that all better ones in conflict with have lost to is kept, once no more can come (none starts within reach);
+    what it is in conflict with is lost, which may free others, and so on down the chain. Only hits that still wait, and
+    those within reach, are held.
+    """
+
+    def __init__(self, reach):
+        self.reach, self.near, self.waiting = reach, deque(), deque()
+
+    @staticmethod
+    def clash(a, b):
+        """As conflicts(): a starts first. A hit is [rank, start, len, motif, row, kept or not, worse hits, better hits waiting, whether all have come]."""
+        shift = b[1] - a[1]
+        return a[3] == b[3] or not (4 * shift >= 3 * a[2] and 4 * (a[2] - shift) < 3 * b[2])
+
+    def add(self, rank, start, length, motif, row):
+        """Rows that are decided to stay by now."""
+        out, hit = self.upto(start - self.reach), [rank, start, length, motif, row, None, [], 0, False]
+        while self.near and self.near[0][1] < start - self.reach:
+            self.near.popleft()
+        for other in self.near:
+            if other[5] is None and self.clash(other, hit):
+                better, worse = (other, hit) if other[0] < hit[0] else (hit, other)
+                better[6].append(worse)
+                worse[7] += 1
+        self.near.append(hit)
+        self.waiting.append(hit)
+        return out
+
+    def upto(self, start):
+        """Decides what starts before `start`, as far as it can."""
+        out = []
+        while self.waiting and self.waiting[0][1] < start:
+            hit = self.waiting.popleft()
+            hit[8] = True  # no more can come
+            if hit[5] is None and not hit[7]:
+                self.keep(hit, out)
+        return out
+
+    def keep(self, first, out):
+        todo = [first]
+        while todo:
+            hit = todo.pop()
+            if hit[5] is not None:
+                continue
+            hit[5] = True
+            out.append(hit[4])
+            for worse in hit[6]:
+                if worse[5] is None:
+                    worse[5] = False
+                    for freed in worse[6]:
+                        freed[7] -= 1
+                        if not freed[7] and freed[8] and freed[5] is None:
+                            todo.append(freed)
+            hit[6] = []
+
+    def close(self):
+        return self.upto(float("inf"))
+
+
+def sweep(id_col, reach):
+    """Hits sorted by sequence, part and start -> those that stay."""
+
+    def run(batches):
+        part, state, schema = None, Sweep(reach), None
+        for b in batches:
+            schema, kept = b.schema, []
+            names = [f.name for f in schema]
+            at = {n: names.index(n) for n in ("seq_id", "_part", "score", "start", "motif", "len", id_col)}
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                key = row[at["seq_id"]], row[at["_part"]]
+                if key != part:
+                    kept += state.close()
+                    part, state = key, Sweep(reach)
+                rank = (-row[at["score"]], row[at["start"]], row[at["motif"]], row[at[id_col]])
+                kept += state.add(rank, row[at["start"]], row[at["len"]], row[at["motif"]], row)
+            yield told(kept, schema)
+        if schema is not None:
+            yield told(state.close(), schema)
+
+    def told(rows, schema):
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [()] * len(schema), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def resolve_greedy(hits, id_col="event_id", reach=15, tile=256):
     """Hits kept one after the other, best first (score, earlier start, motif, id), each unless it conflicts with one kept.
 
-    Each round keeps the hits that are better than all open ones in conflict with them, and drops those that these are in
-    conflict with; so a chain takes as many rounds as it has falls, whatever the number of sequences. What is open is
-    written to the shared folder.
+    Sequences are cut at tile borders that no conflict can cross; each part is swept once in the order of starts, in one
+    shuffle of the hits. A task holds what is within reach and what still waits for a decision, so that a long chain takes
+    one pass.
     """
-    folder, turn = shared_dir(hits.sparkSession, "greedy"), 0
-    rank = F.struct((-F.col("score")).alias("s"), F.col("start").alias("p"), F.col("motif").alias("m"), F.col(id_col).alias("i"))
-    ranks = hits.select(F.col(id_col).alias("x"), rank.alias("rank"))
-    at = lambda c: ranks.select(F.col("x").alias(c), F.col("rank").alias(f"{c}_rank"))
-    pairs = conflicts(hits, id_col, reach).join(at("a"), "a").join(at("b"), "b")
-    better = F.col("a_rank") < F.col("b_rank")
-    open_ = saved(pairs.select(F.when(better, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(better, F.col("b")).otherwise(F.col("a")).alias("b")), folder, "open-0")
-    lost = None
-    while not open_.isEmpty():
-        turn += 1
-        kept = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        gone = saved(open_.join(kept, "a", "left_semi").select("b").distinct(), folder, f"gone-{turn}")
-        lost = gone if lost is None else lost.unionByName(gone)
-        left = open_.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti")
-        open_ = saved(left.select("a", "b"), folder, f"open-{turn}")
-    return hits if lost is None else hits.join(lost.withColumnRenamed("b", id_col), id_col, "left_anti")
+    tiles = hits.groupBy("seq_id", F.floor(F.col("start") / tile).alias("_tile")).agg(F.min("start").alias("low"), F.max("start").alias("high"))
+    w = Window.partitionBy("seq_id").orderBy("_tile")  # tiles, not hits
+    cut = F.coalesce(F.col("low") - F.lag("high").over(w) > reach, F.lit(True))
+    parts = tiles.withColumn("cut", F.when(cut, F.col("_tile"))).select("seq_id", "_tile", F.max("cut").over(w).alias("_part"))
+    rows = hits.withColumn("_tile", F.floor(F.col("start") / tile)).join(parts, ["seq_id", "_tile"]).drop("_tile")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.repartition("seq_id", "_part").sortWithinPartitions("seq_id", "_part", "start").mapInArrow(sweep(id_col, reach), kinds).select(hits.columns)

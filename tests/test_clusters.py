@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from strandlake.operators import clusters as ops
 from strandlake.operators import hits as hit_ops
@@ -135,6 +136,20 @@ def test_greedy_resolution(spark):
     assert hit_ops.resolve_greedy(table.limit(0)).count() == 0
 
 
+def test_greedy_sweep_of_a_long_chain(spark):
+    """A falling chain, each hit in conflict with its neighbours alone, is one pass; what waits is let go as soon as it can."""
+    n = 20_000
+    table = spark.range(n).select(F.col("id").alias("event_id"), F.lit("a").alias("motif"), F.lit(1).cast("long").alias("seq_id"), F.lit("+").alias("strand"), F.lit(8).cast("long").alias("len"), (F.col("id") * 10).alias("start"), (-F.col("id")).cast("double").alias("score"))
+    assert [r[0] for r in hit_ops.resolve_greedy(table).select("event_id").orderBy("event_id").collect()] == list(range(0, n, 2))
+    rising = table.withColumn("score", F.col("event_id").cast("double"))
+    assert [r[0] for r in hit_ops.resolve_greedy(rising).select("event_id").orderBy("event_id").collect()] == list(range(1, n, 2))
+    state, most = hit_ops.Sweep(15), 0
+    for k in range(3000):
+        state.add((k, k * 10, "a", k), k * 10, 8, "a", k)
+        most = max(most, len(state.waiting))
+    assert most < 5 and len(state.near) < 5
+
+
 def test_finished_matrices_of_spaced_words():
     """Columns of a template stand in the order of its span, between two flanks."""
     own, other = finish.columns_of((0, 2))[2]
