@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import pfm, seq, stats
 from ..operators import background, enrich, kmers, scan
+from ..operators import refine as refining
+from ..session import saved, shared_dir
+from ..sources import text
 from . import words
 from .hits import erfc_sql
 from .motifs import BITS, LOGODDS, M, motifs, scan_core, scan_threshold
@@ -546,3 +549,53 @@ def enrichment_cg(spark, sf_dir):
     factor = words.composition(counts, seqs)  # at most 9 rows
     rows = folded.join(F.broadcast(factor), "n_cg")
     return rows.select("word", "x", "y", F.round((F.col("x") + 5) / (F.col("y") * F.col("f") * F.pow("g", F.col("n_cpg")) + 5), 6).alias("ratio"))
+
+
+def family_best(spark, sf_dir):
+    """motif (the vec_id), m: all 16 columns of each label's member with the most information; ties: the least id."""
+    rows = motifs(spark, sf_dir).select("label", "vec_id", "pfm", F.round(pfm.total(pfm.information(F.col("pfm"))), 6).alias("bits"))
+    best = rows.groupBy("label").agg(F.max_by(F.struct("vec_id", "pfm"), F.struct("bits", -F.col("vec_id"))).alias("x"))
+    return best.select(F.col("x.vec_id").alias("motif"), pfm.logodds(F.col("x.pfm")).alias("m"))
+
+
+BEST = WHOLE.replace("turned AS (SELECT vec_id, '+' AS strand, least, m FROM lim UNION ALL SELECT vec_id, '-', least, list_transform(list_reverse(m), lambda r: list_reverse(r)) FROM lim)", f"""bits AS (SELECT vec_id, label, round(sum({BITS}), 6) AS bits FROM pos GROUP BY ALL), chosen AS (SELECT max_by(vec_id, (bits, -vec_id)) AS vec_id FROM bits GROUP BY label), own AS (SELECT lim.* FROM lim JOIN chosen USING (vec_id)),
+turned AS (SELECT vec_id, '+' AS strand, least, m FROM own UNION ALL SELECT vec_id, '-', least, list_transform(list_reverse(m), lambda r: list_reverse(r)) FROM own)""")
+TURN = BEST.replace(" (SELECT vec_id, strand, least, q, w,", " (SELECT vec_id, strand, least, q, w,") + f""", {LENGTHS}, k AS (SELECT floor(len2 * 5 / 10000)::BIGINT AS rank, len1, len2 FROM tot),
+ranked AS (SELECT vec_id, score, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC) - 1 AS r, count(*) OVER (PARTITION BY vec_id) AS total FROM hit WHERE grp = 'ctrl'),
+lm AS (SELECT vec_id, any_value(score) AS threshold, any_value(least(rank, total - 1)) AS rank FROM ranked, k WHERE r = least(rank, total - 1) GROUP BY vec_id),
+up AS (SELECT hit.*, threshold FROM hit JOIN lm USING (vec_id) WHERE score >= threshold),
+nn AS (SELECT vec_id, any_value(threshold) AS threshold, count(*) FILTER (WHERE grp = 'test') AS n1, count(*) FILTER (WHERE grp = 'ctrl') AS n2 FROM up GROUP BY vec_id),
+fr AS (SELECT vec_id, j AS p, b, count(*) FILTER (WHERE grp = 'test' AND substr(match, j, 1) = b) AS f1, count(*) FILTER (WHERE grp = 'ctrl' AND substr(match, j, 1) = b) AS f2 FROM up, range(1, 17) t(j), (VALUES ('A'), ('C'), ('G'), ('T')) v(b) GROUP BY ALL),
+ce AS (SELECT vec_id, p, b, f1, f2, n1, n2, m[p][strpos('ACGT', b)] AS v, log10(f1 / n1 + 0.01) AS y, log10(f2 / n2 + 0.01) AS x FROM fr JOIN nn USING (vec_id) JOIN own USING (vec_id)),
+li AS (SELECT vec_id, coalesce(regr_slope(y, x), 0) AS slope, avg(y) AS my, avg(x) AS mx FROM ce GROUP BY vec_id),
+nw AS (SELECT vec_id, p, b, 'regression' AS method, pow(10, v + 0.5 * (y - (my + slope * (x - mx)))) AS w FROM ce JOIN li USING (vec_id) UNION ALL SELECT vec_id, p, b, 'resample', greatest(1, f1)::DOUBLE FROM ce UNION ALL SELECT vec_id, p, b, 'difference', greatest(1, f1 - len1 / len2 * f2) FROM ce, k)
+SELECT method, vec_id AS motif, p, b AS base, round(log10(4 * w / sum(w) OVER (PARTITION BY method, vec_id, p)), 6) AS weight, round(threshold, 6) AS threshold, (n1 - floor(rank * len1 / len2))::BIGINT AS freq FROM nw JOIN nn USING (vec_id) JOIN (SELECT vec_id, lm.rank, len1, len2 FROM lm, k) USING (vec_id)"""
+
+
+@query(TURN)
+def refine_turn(spark, sf_dir):
+    """One turn of each method over one motif a family: threshold by rank in the control, matrix from the bases above it."""
+    seqs = sequences(spark, sf_dir)
+    totals, rows = enrich.lengths(seqs).first(), family_best(spark, sf_dir)
+    folder = shared_dir(spark, "turn")
+    found = saved(refining.texts(seqs, rows, 5.0), folder, "texts")
+    scored, limits = refining.thresholds(found, rows, totals, 5.0)
+    limits = saved(limits, folder, "limits")
+    out = None
+    for method in refining.METHODS:
+        new = refining.changed(scored, limits, rows, totals, method).select(F.lit(method).alias("method"), "motif", F.posexplode("m").alias("p", "r"))
+        out = new if out is None else out.unionByName(new)
+    out = out.select("method", "motif", (F.col("p") + 1).cast("long").alias("p"), F.posexplode("r").alias("b", "x")).join(limits, "motif")
+    base = F.element_at(F.array(*map(F.lit, "ACGT")), F.col("b") + 1)
+    return out.select("method", "motif", "p", base.alias("base"), F.round("x", 6).alias("weight"), "threshold", F.col("freq").cast("long").alias("freq"))
+
+
+@query()
+def refine_loop(spark, sf_dir):
+    """Three turns of three sub-turns, and thresholds at the end, over one motif a family; the progress as written to a file
+    and read back."""
+    seqs = sequences(spark, sf_dir)
+    _, progress = refining.refine(seqs, family_best(spark, sf_dir), enrich.lengths(seqs).first(), "regression")
+    path = f"{shared_dir(spark, 'progress')}/progress"
+    text.write_progress(progress, path, text.PROGRESS)
+    return text.read_progress(spark, path)

@@ -231,10 +231,21 @@ def write_compare(pairs, path):
     own.select(F.concat(F.col("query"), F.lit("\n"), F.array_join(F.transform("m", line), "\n")).alias("value")).write.text(path)
 
 
-def write_progress(turns, path):
-    """motif, turn, n1, n2, threshold of a refinement, in the order of motif and turn."""
-    rows = turns.repartitionByRange("motif", "turn").sortWithinPartitions("motif", "turn")
-    rows.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in ("motif", "turn", "n1", "n2", "threshold"))).alias("value")).write.text(path)
+PROGRESS = ("motif", "turn", "sub_turn", "n1", "n2", "all1", "all2", "threshold")
+
+
+def write_progress(turns, path, columns=("motif", "turn", "n1", "n2", "threshold")):
+    """The columns of a refinement's turns, in the order of motif and turn (and sub-turn, if there are any)."""
+    order = [c for c in ("motif", "turn", "sub_turn") if c in columns]
+    rows = turns.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in columns)).alias("value")).write.text(path)
+
+
+def read_progress(spark, path, columns=PROGRESS):
+    """The columns of a written progress: counts as whole numbers, motif as text, threshold as a number."""
+    kinds = {"motif": "string", "threshold": "double"}
+    rows = spark.read.text(path).where("value <> ''").select(F.split("value", "\t").alias("v"))
+    return rows.select(*(F.get("v", F.lit(k)).try_cast(kinds.get(c, "long")).alias(c) for k, c in enumerate(columns)))
 
 
 def read_coordinates(spark, path):
