@@ -262,10 +262,40 @@ def clump_counts(spark, sf_dir):
     return kmers.count_words(sequences(spark, sf_dir)).where("n_all > n").select("grp", "word", (F.col("n_all") - F.col("n")).alias("n_close"), "n_all")
 
 
+def counted(spark, sf_dir, gaps=(0,)):
+    """words.stats as a stored table, at most 4**8 words a template, so that what reads it again doesn't count again."""
+    return saved(words.stats(spark, sf_dir, gaps), shared_dir(spark, "stats"), "stats")
+
+
 NEIGHBOURS = words.STATS0.rstrip() + f""", cand AS (SELECT word, z, ratio, diff, x FROM st WHERE {CANDIDATE}), nb AS (SELECT c.word, k AS p, b, substr(c.word, 1, k - 1) || b || substr(c.word, k + 1) AS w FROM cand c, range(1, 9) t(k), (VALUES ('A'), ('C'), ('G'), ('T')) v(b)),
 core AS (SELECT nb.word, p, b, greatest(coalesce(st.diff, 0), 0) AS v FROM nb LEFT JOIN st ON st.word = least(w, {rc('w')}))"""
 
 
+# The same over all templates: words of one template are compared with each other.
+NEIGHBOURS9 = words.STATS.rstrip() + f""", cand AS (SELECT gap, word, z, ratio, diff, x FROM st WHERE {CANDIDATE}), nb AS (SELECT c.gap, c.word, k AS p, b, substr(c.word, 1, k - 1) || b || substr(c.word, k + 1) AS w FROM cand c, range(1, 9) t(k), (VALUES ('A'), ('C'), ('G'), ('T')) v(b)),
+core AS (SELECT nb.gap, nb.word, p, b, greatest(coalesce(st.diff, 0), 0) AS v FROM nb LEFT JOIN st ON st.gap = nb.gap AND st.word = least(w, {rc('w')}))"""
+PLACES = ", ".join(f"({g}, {span}, {p}, {o})" for g, span, parts in kmers.templates(8) for p, o in [(-2, -2), (-1, -1), (1, span), (2, span + 1), *((k, k - scan.INSIDE) for k in scan.between(span, parts))])
+FLANKS9 = NEIGHBOURS9 + ", win AS (" + " UNION ALL ".join(f"({windows(*t)})" for t in kmers.templates(8)) + f"""), plc(gap, span, place, o) AS (VALUES {PLACES}),
+occ2 AS (SELECT c.gap, c.word, seq_id, grp, i, FALSE AS turned FROM win JOIN cand c ON c.gap = win.gap AND c.word = win.word UNION ALL SELECT c.gap, c.word, seq_id, grp, i, TRUE FROM win JOIN cand c ON c.gap = win.gap AND c.word = {rc('win.word')} AND c.word <> win.word),
+fl AS (SELECT gap, word, q.grp, place, CASE WHEN turned THEN translate(substr(u, spot, 1), 'ACGT', 'TGCA') ELSE substr(u, spot, 1) END AS base FROM (SELECT occ2.*, place, CASE WHEN turned THEN i + span - 1 - o ELSE i + o END AS spot FROM occ2 JOIN plc USING (gap)) q JOIN seq USING (seq_id) WHERE spot >= 1 AND substr(u, spot, 1) IN ('A', 'C', 'G', 'T')),
+flank AS (SELECT gap, word, place::BIGINT AS place, base, count(*) FILTER (WHERE grp = 'test') AS f1, count(*) FILTER (WHERE grp = 'ctrl') AS f2 FROM fl GROUP BY ALL)"""
+
+
+def gamma_q_sql(doubled, x):
+    """SQL of stats.gamma_q."""
+    if doubled % 2 == 0:
+        return f"exp(-({x})) * (" + " + ".join(f"pow({x}, {i}) / {math.factorial(i)}" for i in range(doubled // 2)) + ")"
+    return f"{erfc_sql(f'sqrt({x})')} + exp(-({x})) * (" + " + ".join(f"pow({x}, {i + 0.5}::DOUBLE) / {math.gamma(i + 1.5)!r}::DOUBLE" for i in range(doubled // 2)) + ")"
+
+
+GTEST9 = """, grid AS (SELECT cand.gap, word, place::BIGINT AS place, base FROM cand JOIN plc USING (gap), (VALUES ('A'), ('C'), ('G'), ('T')) b(base)), full_flank AS (SELECT g.gap, g.word, g.place, g.base, coalesce(f1, 0) + (g.place IN (1, 2))::INT AS f1, coalesce(f2, 0) + (g.place IN (1, 2))::INT AS f2 FROM grid g LEFT JOIN flank USING (gap, word, place, base)),
+col AS (SELECT gap, word, place, sum(f1) AS t, sum(f2) AS c, sum(CASE WHEN f1 > 0 THEN f1 * ln(f1) ELSE 0 END + CASE WHEN f2 > 0 THEN f2 * ln(f2) ELSE 0 END - CASE WHEN f1 + f2 > 0 THEN (f1 + f2) * ln(f1 + f2) ELSE 0 END) AS s FROM full_flank GROUP BY ALL),
+gt AS (SELECT gap, word, greatest(sum(CASE WHEN t + c > 0 THEN 2 * (s - CASE WHEN t > 0 THEN t * ln(t) ELSE 0 END - CASE WHEN c > 0 THEN c * ln(c) ELSE 0 END + (t + c) * ln(t + c)) / (1 + 5.0::DOUBLE / 6 / (t + c)) ELSE 0 END), 0) AS g FROM col GROUP BY gap, word),
+gp AS (""" + " UNION ALL ".join(f"(SELECT gap, word, g, least(2 * ({gamma_q_sql(12 + 3 * len(scan.between(span, parts)), 'g / 2')}), 1) AS p FROM gt WHERE gap = {g})" for g, span, parts in kmers.templates(8)) + ")"
+FISHER9 = FLANKS9 + GTEST9 + f", fp AS (SELECT gap, word, z, ratio, x, gp.p AS p_flank, greatest(gp.p * (0.5 * {erfc_sql('z / sqrt(2.0::DOUBLE)')}), 1e-30) AS prod FROM cand JOIN gp USING (gap, word)), pp AS (SELECT *, 2 * prod * (1 - ln(prod)) AS p FROM fp)"
+FDR9 = FISHER9 + f", nh AS (SELECT gap, count(*) AS n FROM st WHERE {CONSIDERED} GROUP BY gap), bh AS (SELECT gap, word, z, ratio, p, row_number() OVER (PARTITION BY gap ORDER BY p, word) AS r, n FROM pp JOIN nh USING (gap)), fd AS (SELECT gap, word, z, ratio, least(1, min(p / r * n) OVER (PARTITION BY gap ORDER BY p DESC, word DESC)) AS fdr FROM bh)"
+
+
 def core_cells(st, cand):
     """gap, word, p, b, v: what the words of the same template that differ from a candidate in one place have more in test, by place and base."""
     bases = F.explode(F.array(*(F.lit(b) for b in "ACGT"))).alias("b")
@@ -278,14 +308,14 @@ def core_cells(st, cand):
 
 @query(NEIGHBOURS + " SELECT word, p, b, round(v, 4) AS v FROM core")
 def neighbor_pfm(spark, sf_dir):
-    st = words.stats(spark, sf_dir)
+    st = counted(spark, sf_dir)
     return core_cells(st, enrich.candidates(st)).select("word", "p", "b", F.round("v", 4).alias("v"))
 
 
-@query()
+@query(NEIGHBOURS9 + " SELECT gap, word, p, b, round(v, 4) AS v FROM core")
 def neighbor_pfm_gapped(spark, sf_dir):
     """As neighbor_pfm, for the candidates of all templates."""
-    st = words.stats(spark, sf_dir, GAPS)
+    st = counted(spark, sf_dir, GAPS)
     return core_cells(st, enrich.candidates(st)).withColumn("v", F.round("v", 4))
 
 
@@ -306,13 +336,13 @@ def flank_counts(seqs, cand):
 @query(FLANKS + " SELECT word, place, base, f1, f2 FROM flank")
 def flank_pfm(spark, sf_dir):
     """Bases around the candidates in test and control."""
-    return flank_counts(sequences(spark, sf_dir), enrich.candidates(words.stats(spark, sf_dir))).drop("gap")
+    return flank_counts(sequences(spark, sf_dir), enrich.candidates(counted(spark, sf_dir))).drop("gap")
 
 
-@query()
+@query(FLANKS9 + " SELECT gap, word, place, base, f1, f2 FROM flank")
 def flank_pfm_gapped(spark, sf_dir):
     """Bases before and after the whole span of the candidates of all templates."""
-    return flank_counts(sequences(spark, sf_dir), enrich.candidates(words.stats(spark, sf_dir, GAPS)))
+    return flank_counts(sequences(spark, sf_dir), enrich.candidates(counted(spark, sf_dir, GAPS)))
 
 
 GRID = ", grid AS (SELECT word, place::BIGINT AS place, base FROM cand, (VALUES (-2), (-1), (1), (2)) v(place), (VALUES ('A'), ('C'), ('G'), ('T')) b(base)), full_flank AS (SELECT g.word, g.place, g.base, coalesce(f1, 0) + (g.place > 0)::INT AS f1, coalesce(f2, 0) + (g.place > 0)::INT AS f2 FROM grid g LEFT JOIN flank USING (word, place, base))"
@@ -347,14 +377,14 @@ def g_test(flanks):
 
 @query(FLANKS + GTEST + " SELECT word, round(g, 4) AS g, round(p, 6) AS p FROM gp")
 def flank_gtest(spark, sf_dir):
-    cand = enrich.candidates(words.stats(spark, sf_dir))
+    cand = enrich.candidates(counted(spark, sf_dir))
     rows = g_test(full_flanks(cand, flank_counts(sequences(spark, sf_dir), cand)))
     return rows.select("word", F.round("g", 4).alias("g"), F.round("p", 6).alias("p"))
 
 
-@query()
+@query(FLANKS9 + GTEST9 + " SELECT gap, word, round(g, 4) AS g, round(p, 6) AS p FROM gp")
 def flank_gtest_gapped(spark, sf_dir):
-    cand = enrich.candidates(words.stats(spark, sf_dir, GAPS))
+    cand = enrich.candidates(counted(spark, sf_dir, GAPS))
     rows = g_test(full_flanks(cand, flank_counts(sequences(spark, sf_dir), cand)))
     return rows.select("gap", "word", F.round("g", 4).alias("g"), F.round("p", 6).alias("p"))
 
@@ -363,7 +393,7 @@ FISHER = FLANKS + GTEST + f", fp AS (SELECT word, z, ratio, x, gp.p AS p_flank,
 
 
 def combined(spark, sf_dir, gaps=(0,)):
-    st = words.stats(spark, sf_dir, gaps)
+    st = counted(spark, sf_dir, gaps)
     cand = enrich.candidates(st)
     g = g_test(full_flanks(cand, flank_counts(sequences(spark, sf_dir), cand)))
     rows = cand.select("gap", "word", "z", "ratio", "x").join(g.select("gap", "word", F.col("p").alias("p_flank")), ["gap", "word"])
@@ -376,7 +406,7 @@ def fisher_p(spark, sf_dir):
     return combined(spark, sf_dir)[1].select("word", F.round("p", 6).alias("p"))
 
 
-@query()
+@query(FISHER9 + " SELECT gap, word, round(p, 6) AS p FROM pp")
 def fisher_p_gapped(spark, sf_dir):
     return combined(spark, sf_dir, GAPS)[1].select("gap", "word", F.round("p", 6).alias("p"))
 
@@ -388,7 +418,7 @@ def discovered(spark, sf_dir):
     return enrich.false_discovery(rows.join(F.broadcast(n), "gap"))
 
 
-@query()
+@query(FDR9 + " SELECT gap, word, round(fdr, 6) AS fdr FROM fd")
 def fdr_bh_gapped(spark, sf_dir):
     return discovered(spark, sf_dir).select("gap", "word", F.round("fdr", 6).alias("fdr"))
 
@@ -403,15 +433,15 @@ def fdr_bh(spark, sf_dir):
 @query(NEIGHBOURS + " SELECT word, round(z, 4) AS plain, round(z * (ratio - 1), 4) AS by_ratio, row_number() OVER (ORDER BY round(z * (ratio - 1), 6) DESC, word) AS place FROM cand")
 def score_options(spark, sf_dir):
     """Scores of the candidates, alone and weighted by their ratio; candidates are at most the words of one length."""
-    c = enrich.candidates(words.stats(spark, sf_dir))
+    c = enrich.candidates(counted(spark, sf_dir))
     by = F.col("z") * (F.col("ratio") - 1)
     return c.select("word", F.round("z", 4).alias("plain"), F.round(by, 4).alias("by_ratio"), F.row_number().over(Window.orderBy(F.round(by, 6).desc(), "word")).cast("long").alias("place"))
 
 
-@query()
+@query(NEIGHBOURS9 + " SELECT gap, word, round(z, 4) AS plain, round(z * (ratio - 1), 4) AS by_ratio, row_number() OVER (ORDER BY round(z * (ratio - 1), 6) DESC, gap, word) AS place FROM cand")
 def score_options_gapped(spark, sf_dir):
     """As score_options, with the candidates of all templates in one order; at most the words of nine templates."""
-    c = enrich.candidates(words.stats(spark, sf_dir, GAPS))
+    c = enrich.candidates(counted(spark, sf_dir, GAPS))
     by = F.col("z") * (F.col("ratio") - 1)
     return c.select("gap", "word", F.round("z", 4).alias("plain"), F.round(by, 4).alias("by_ratio"), F.row_number().over(Window.orderBy(F.round(by, 6).desc(), "gap", "word")).cast("long").alias("place"))
 
@@ -422,13 +452,16 @@ n AS (SELECT word, p, list_transform(r, lambda x: CASE WHEN list_sum(r) = 0 THEN
 SELECT word, p, round(r[1], 4) AS a, round(r[2], 4) AS c, round(r[3], 4) AS g, round(r[4], 4) AS t FROM n""")
 def pfm_contrast(spark, sf_dir):
     """Core matrices in percent, less the median of their rows' least cells."""
-    return contrast(words.stats(spark, sf_dir)).drop("gap")
+    return contrast(counted(spark, sf_dir)).drop("gap")
 
 
-@query()
+@query(NEIGHBOURS9 + """, r AS (SELECT gap, word, p, list(v ORDER BY b) AS r, sum(v) AS s FROM core GROUP BY gap, word, p), q AS (SELECT gap, word, p, list_transform(r, lambda x: CASE WHEN s = 0 THEN 25 ELSE 100 * x / s END) AS r FROM r),
+m AS (SELECT gap, word, list_sort(list(list_min(r)))[5] AS med FROM q GROUP BY gap, word), c AS (SELECT gap, word, p, list_transform(r, lambda x: greatest(x - med, 0)) AS r FROM q JOIN m USING (gap, word)),
+n AS (SELECT gap, word, p, list_transform(r, lambda x: CASE WHEN list_sum(r) = 0 THEN 25 ELSE 100 * x / list_sum(r) END) AS r FROM c)
+SELECT gap, word, p, round(r[1], 4) AS a, round(r[2], 4) AS c, round(r[3], 4) AS g, round(r[4], 4) AS t FROM n""")
 def pfm_contrast_gapped(spark, sf_dir):
     """As pfm_contrast, for the candidates of all templates."""
-    return contrast(words.stats(spark, sf_dir, GAPS))
+    return contrast(counted(spark, sf_dir, GAPS))
 
 
 def contrast(st):
@@ -461,7 +494,8 @@ def top_motifs(spark, sf_dir, most=500, limit=0.1):
     return report(enrich.false_discovery(rows.crossJoin(F.broadcast(n))), ["word"], most, limit)
 
 
-@query()
+@query(FDR9 + """, pl AS (SELECT gap, word, z, ratio, fdr, row_number() OVER (ORDER BY round(z, 6) DESC, gap, word) AS place, count(*) FILTER (WHERE fdr <= 0.1) OVER () AS good FROM fd)
+SELECT gap, word, round(z, 6) AS z, round(fdr, 6) AS fdr FROM pl WHERE ratio >= 1.5 AND (fdr <= 0.1 OR good < 100 AND place <= 100) ORDER BY round(z, 6) DESC, gap, word LIMIT 500""")
 def top_motifs_gapped(spark, sf_dir, most=500, limit=0.1):
     """The report over all nine templates, ranked together."""
     return report(discovered(spark, sf_dir), ["gap", "word"], most, limit)
