@@ -1,5 +1,6 @@
 """Helpers that the text operators share."""
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -8,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
+LIBRARY = ctypes.CDLL(None)
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE = " \t\n\x0b\x0c\r"  # \x20 and \x09-\x0D
 
@@ -46,6 +48,23 @@ def raw(array):
     return pc.fill_null(array, "").cast(pa.binary()).to_pylist()
 
 
+def slices(batches, most=1 << 22):
+    """Arrow batches in slices of some `most` bytes, so that what is made of one is small. At the end, memory that a
+    worker doesn't use goes back to the system: workers wait for further tasks beside those that run."""
+    try:
+        for b in batches:
+            step = max(1, b.num_rows * most // max(1, b.nbytes))
+            for at in range(0, b.num_rows, step):
+                yield b.slice(at, step)
+            if not b.num_rows:
+                yield b
+            del b
+    finally:
+        pa.default_memory_pool().release_unused()
+        if hasattr(LIBRARY, "malloc_trim"):
+            LIBRARY.malloc_trim(0)
+
+
 def lower_key(text):
     """UTF-8 bytes with A-Z in lower case."""
     return text.encode().lower()

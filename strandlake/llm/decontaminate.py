@@ -79,7 +79,7 @@ def result(batch, rows):
 def scan(shared):
     def run(batches):
         table = None
-        for b in batches:
+        for b in C.slices(batches):
             table = table or Windows(shared.value)
             out = []
             for raw in C.raw(b.column("_text")):
@@ -94,7 +94,7 @@ def window_keys(lengths):
     """(_id, _digest, _at, _n, _window) for every window of the lengths in demand."""
 
     def run(batches):
-        for b in batches:
+        for b in C.slices(batches):
             rows, at, n_, key = [], [], [], []
             for r, raw in enumerate(C.raw(b.column("_text"))):
                 words = words_of(raw)
@@ -111,7 +111,7 @@ def window_keys(lengths):
 
 
 def from_hits(batches):
-    for b in batches:
+    for b in C.slices(batches):
         out = []
         for raw, hits in zip(C.raw(b.column("_text")), b.column("_hits").to_pylist(), strict=True):
             found = {}
@@ -138,7 +138,7 @@ def decontaminate(docs, benchmark, id_col="doc_id", text_col="text", item_col="i
     spark = docs.sparkSession
 
     def windows(batches):
-        for b in batches:
+        for b in C.slices(batches):
             found = [(i, w) for i, raw in enumerate(C.raw(b.column("_text"))) for w in item_windows(words_of(raw), n)]
             ids = b.column("_item").take(pa.array([i for i, _ in found], pa.int64()))
             yield pa.record_batch([ids, pa.array([w for _, w in found], pa.binary())], names=["_item", "_window"])

@@ -86,7 +86,7 @@ def bundles(texts, n, dimensions, seed):
 def learn(n, dimensions, seed):
     def run(batches):
         sums, texts = {}, {}
-        for b in batches:
+        for b in C.slices(batches):
             held = {}
             for lang, text in zip(b.column("_lang").to_pylist(), C.strings(b.column("_text")), strict=True):
                 held.setdefault(lang, []).append(text)
@@ -131,7 +131,7 @@ def label(shared, keep_text=False):
     """Rows with _text -> the other columns, _text if it is to be kept, language and score, in small batches."""
 
     def run(batches):
-        for whole in batches:
+        for whole in C.slices(batches):
             rest = [x for x in whole.schema.names if keep_text or x != "_text"]
             for at in range(0, whole.num_rows, 4 * ROWS):
                 b = whole.slice(at, 4 * ROWS)

@@ -17,7 +17,7 @@ def line_key(line, least):
 
 def explode_keys(least):
     def run(batches):
-        for b in batches:
+        for b in C.slices(batches):
             ids, at, keys = b.column("_id"), [], []
             for i, text in enumerate(C.strings(b.column("_text"))):
                 own = {line_key(x, least) for x in text.split("\n")} - {None}
@@ -30,7 +30,7 @@ def explode_keys(least):
 
 def reassemble(least):
     def run(batches):
-        for b in batches:
+        for b in C.slices(batches):
             kept, lines, dropped = [], [], []
             for text, drop in zip(C.strings(b.column("_text")), b.column("_drop").to_pylist(), strict=True):
                 parts = text.split("\n")

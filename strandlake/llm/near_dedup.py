@@ -15,7 +15,7 @@ SMALL = 16  # buckets up to this size are compared as they are
 def sign(k, bins, rows):
     def run(batches):
         table = S.probes(bins)
-        for b in batches:
+        for b in C.slices(batches):
             out = []
             for raw in C.raw(b.column("_text")):
                 own = S.shingles(raw, k)
@@ -48,7 +48,7 @@ def confirm(k, percent):
             held[digest] = found
             return found
 
-        for b in batches:
+        for b in C.slices(batches):
             out = []
             rows = zip(b.column("a").to_pylist(), b.column("b").to_pylist(), C.raw(b.column("a_text")), C.raw(b.column("b_text")), b.column("a_digest").to_pylist(), b.column("b_digest").to_pylist(), strict=True)
             for x, y, x_raw, y_raw, x_digest, y_digest in rows:
@@ -74,7 +74,7 @@ def sets_of(k):
     """(digest, set in 32 bits) of texts with their digests."""
 
     def run(batches):
-        for b in batches:
+        for b in C.slices(batches):
             digests, sets = [], []
             for raw, digest in zip(C.raw(b.column("_text")), b.column("digest").to_pylist(), strict=True):
                 digests.append(digest)
@@ -88,7 +88,7 @@ def spell(k):
     """(digest, shingle) of texts with their digests."""
 
     def run(batches):
-        for b in batches:
+        for b in C.slices(batches):
             own = [S.shingles(raw, k).view(np.int64) for raw in C.raw(b.column("_text"))]
             at = np.repeat(np.arange(len(own)), [len(x) for x in own])
             yield pa.record_batch([b.column("digest").take(pa.array(at)), pa.array(np.concatenate([*own, np.empty(0, np.int64)]))], names=["digest", "shingle"])
@@ -143,7 +143,7 @@ def compare(least, percent):
 
     def run(batches):
         unit = []
-        for b in batches:
+        for b in C.slices(batches):
             found = []
             for row in zip(*(b.column(x).to_pylist() for x in UNIT), strict=True):
                 if unit and row[:3] != unit[0][:3]:

@@ -55,7 +55,7 @@ class Bins:
 def measure(vocabulary, extra):
     def run(batches):
         encode = encoder(vocabulary)
-        for b in batches:
+        for b in C.slices(batches):
             n = [len(encode.encode(x)) // encode.kind.itemsize + extra if x else extra for x in C.strings(b.column("_text"))]
             yield pa.record_batch([b.column("_id"), pa.array(n, pa.int64())], names=["_id", "n"])
 
@@ -75,7 +75,7 @@ def fill(capacities, overhead, attention):
             kinds = (schema.field("_id").type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
             return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["_id", "piece", "start", "length", "bin", "offset", "capacity"])
 
-        for b in batches:
+        for b in C.slices(batches):
             schema = schema or b.schema
             for s, *row in zip(*(b.column(x).to_pylist() for x in ("shard", "_id", "piece", "start", "length")), strict=True):
                 if s != shard and held:
