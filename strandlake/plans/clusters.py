@@ -37,9 +37,10 @@ def pairs(spark, sf_dir):
 
 @query()
 def hierarchy(spark, sf_dir):
-    """Root and path of every motif in trees of weighted average linkage; in the order of path alike leaves are neighbours."""
+    """Root and path of every motif in trees of weighted average linkage, and its place in the order for reading; alike leaves
+    are neighbours."""
     rows, alike = pairs(spark, sf_dir)
-    return ops.linkage(alike, rows.select("id"))[1].select(F.col("id").alias("vec_id"), "root", "path")
+    return ops.linkage(alike, rows.select("id"))[1].select(F.col("id").alias("vec_id"), "root", "path", "place")
 
 
 @query()

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandlake.operators import clusters as ops
@@ -33,17 +34,37 @@ def plain_linkage(pairs, ids):
     return merges, {i: (root[i], path[i]) for i in ids}
 
 
-def test_linkage_against_one_merge_at_a_time(spark):
+def plain_places(merges, ids):
+    """Leaves of each tree in order: of two sides the one with more leaves first, then the one with the least id."""
+    order = {i: [i] for i in ids}
+    for a, b, _ in merges:
+        one, two = order[a], order.pop(b)
+        order[a] = two + one if len(two) > len(one) else one + two
+    return {i: k for leaves in order.values() for k, i in enumerate(leaves)}
+
+
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_linkage_against_one_merge_at_a_time(spark, most):
+    """In a task, and by a job for each turn."""
     rng = random.Random(1)
-    pairs = [(a, b, rng.random()) for a, b in itertools.combinations(range(24), 2) if rng.random() < 0.25]
-    merges, leaves = ops.linkage(spark.createDataFrame(pairs, "a long, b long, r double"), spark.range(26))
+    pairs = [(a, b, rng.random()) for a, b in itertools.combinations(range(24), 2) if rng.random() < 0.15 and (a < 18) == (b < 18)]
+    merges, leaves = ops.linkage(spark.createDataFrame(pairs, "a long, b long, r double"), spark.range(26), most)
     want_merges, want_leaves = plain_linkage(pairs, range(26))
     assert sorted((r["a"], r["b"], round(r["r"], 9)) for r in merges.collect()) == sorted(want_merges)
     assert {r["id"]: (r["root"], r["path"]) for r in leaves.collect()} == want_leaves
-    merges, leaves = ops.linkage(spark.createDataFrame([], "a long, b long, r double"), spark.range(2))
+    assert {r["id"]: r["place"] for r in leaves.collect()} == plain_places(want_merges, range(26))
+    merges, leaves = ops.linkage(spark.createDataFrame([], "a long, b long, r double"), spark.range(2), most)
     assert merges.count() == 0 and {r["root"] for r in leaves.collect()} == {0, 1}
 
 
+def test_a_star_is_merged_in_a_task():
+    """One leaf a turn, whatever the number of turns."""
+    got = ops.tree([(0, k, 0.2 + k / 1e5) for k in range(1, 601)]).to_pylist()
+    merges = [(r["a"], r["b"], r["turn"]) for r in got if r["a"] is not None]
+    assert len(merges) == 600 and {a for a, _, _ in merges} == {0} and sorted(t for _, _, t in merges) == list(range(1, 601))
+    assert sorted(r["place"] for r in got if r["id"] is not None) == list(range(601))
+
+
 def test_motifs_of_one_family_align(spark):
     """Shifted and reversed copies of two matrices fall into two clusters, at the places where they were cut."""
     rng = np.random.default_rng(2)
