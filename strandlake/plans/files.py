@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import seq, surface
+from ..operators import numbering
 from ..session import shared_dir
 from ..sources import formats, text
 from .finish import REPEATS, core_cells, repeat_stats, repeat_words
@@ -175,3 +176,20 @@ def sql_functions(spark, sf_dir):
     surface.register(spark)
     sequences(spark, sf_dir).select("seq_id", F.substring("u", 1, 8).alias("w")).where("w rlike '^[ACGT]{8}$'").createOrReplaceTempView("first_words")
     return spark.sql("SELECT seq_id, w AS word, canonical_word(w) AS canonical, word_code(w) AS code, revcomp(w) AS other FROM first_words")
+
+
+@query("WITH " + HITS + ", a AS (SELECT motif, event_id FROM hits UNION ALL SELECT 'NONE', -1), f AS (SELECT motif, min(event_id) AS first FROM a GROUP BY motif), i AS (SELECT motif, CASE WHEN motif = 'NONE' THEN 0 ELSE row_number() OVER (PARTITION BY motif = 'NONE' ORDER BY first) END AS id FROM f) SELECT id, motif, event_id FROM a JOIN i USING (motif)")
+def motif_ids(spark, sf_dir):
+    """Hits with a number for their motif, in the order in which motifs first appear; NONE is 0."""
+    rows = hits(spark, sf_dir).select("motif", "event_id")
+    rows = rows.unionByName(spark.createDataFrame([("NONE", -1)], "motif string, event_id long"))
+    return rows.join(numbering.first_seen(rows, "motif", "event_id", none="NONE"), "motif").select("id", "motif", "event_id")
+
+
+@query("SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'own' || o_orderkey ELSE printf('R%07d', row_number() OVER (ORDER BY o_orderkey)) END AS name, 'chr' || (o_custkey % 20) AS chr, o_custkey AS start, (100 + o_orderkey % 50)::BIGINT AS len FROM orders")
+def region_ids(spark, sf_dir):
+    """Regions with names, those without one named by their number among all."""
+    o = table(spark, sf_dir, "orders")
+    own = F.when(F.col("o_orderkey") % 3 == 0, named("o_orderkey", "own"))
+    rows = o.select("o_orderkey", own.alias("name"), F.concat(F.lit("chr"), (F.col("o_custkey") % 20).cast("string")).alias("chr"), F.col("o_custkey").alias("start"), (100 + F.col("o_orderkey") % 50).cast("long").alias("len"))
+    return numbering.region_names(numbering.within(rows, 1 << 40), "o_orderkey").select("name", "chr", "start", "len")
