@@ -12,7 +12,6 @@ Long documents take several places in the vector, from one common end to another
 """
 
 import hashlib
-import json
 import re
 from array import array
 from itertools import chain
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .components import saved
-from .tokens import PIECE, byte_letters
+from .tokens import ByteLevel
 
 BYTES = 1 << 20  # text that is merged together
 LANE = 128  # A tokens after which a long document may take a further place in the vector
@@ -32,7 +31,6 @@ HELD = 1 << 19  # pairs whose counts a task holds before it hands them on
 ROW = 100_000  # pairs in one row of counts
 
 SPACED = re.compile(" +[^ ]*")
-LONG_BLANK = re.compile(r"\s{4000}")
 
 _sides = {}
 
@@ -41,45 +39,11 @@ def sides(a_path, b_path):
     """The encoders of a worker, kept from task to task, and the lengths of their tokens."""
     key = a_path, b_path
     if key not in _sides:
-        a, b = ByteLevel(a_path), Pieces(b_path)
+        a, b = ByteLevel(a_path, plain=True), Pieces(b_path)
         _sides[key] = a, b, a.sizes(), b.sizes()
     return _sides[key]
 
 
-class ByteLevel:
-    """A: ids of a byte-level vocabulary of the tokenizers library; strings of special tokens are plain text.
-
-    Its ids are those of merging by rank, if the merges stand in the order of their ids (checked), which a faster library
-    does as well.
-    """
-
-    def __init__(self, path):
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        letters, entries = {v: k for k, v in byte_letters().items()}, self.library.get_vocab()
-        added = {x.content for x in self.library.get_added_tokens_decoder().values()}
-        ranks = {bytes(map(letters.__getitem__, w)): i for w, i in entries.items() if w not in added}
-        merges = json.loads(self.library.to_str())["model"]["merges"]
-        ids = [entries["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in merges]
-        if max(entries.values()) >= 1 << 16 or ids != sorted(ids):
-            raise ValueError("ids must fit into 16 bits and follow the merges")
-        self.size = np.zeros(1 << 16, np.int64)
-        self.size[[*ranks.values()]] = [*map(len, ranks)]
-        self.encoding = tiktoken.Encoding("byte-level", pat_str=PIECE.pattern, mergeable_ranks=ranks, special_tokens={})
-
-    def encode(self, text):
-        if LONG_BLANK.search(text):  # too deep for the faster one
-            return array("H", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        return array("H", self.encoding.encode_ordinary(text)).tobytes()
-
-    def sizes(self):
-        """Bytes of each id's token."""
-        return self.size
-
-
 class Pieces(dict):
     """B: word -> ids as bytes of a sentencepiece vocabulary, for words led by a space, or by a line feed.
 

@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from . import common as C
-from .tokens import encoder
+from .tokens import counter
 
 CAPACITIES = (512, 1024, 2048, 4096)
 
@@ -54,9 +54,9 @@ class Bins:
 
 def measure(vocabulary, extra):
     def run(batches):
-        encode = encoder(vocabulary)
+        ids = counter(vocabulary).ids
         for b in C.slices(batches):
-            n = [len(encode.encode(x)) // encode.kind.itemsize + extra if x else extra for x in C.strings(b.column("_text"))]
+            n = [len(ids(x)) + extra if x else extra for x in C.strings(b.column("_text"))]
             yield pa.record_batch([b.column("_id"), pa.array(n, pa.int64())], names=["_id", "n"])
 
     return run

@@ -1,8 +1,10 @@
 """Token ids of whole texts through a vocabulary file of the tokenizers library."""
 
+import json
 import os
 import re
 import struct
+from array import array
 
 import numpy as np
 import regex
@@ -23,6 +25,59 @@ def byte_letters():
     return {x: chr(x) for x in own} | {x: chr(0x100 + i) for i, x in enumerate(rest)}
 
 
+LONG_BLANK = re.compile(r"\s{4000}")
+
+
+class ByteLevel:
+    """Ids of a byte-level vocabulary of the tokenizers library, without adding special tokens.
+
+    Its ids are those of merging by rank, if the merges stand in the order of their ids (checked), which a faster library
+    does as well. plain: strings of added tokens inside a text are plain text, else they are their ids, and the texts that
+    hold them are left to the tokenizers library.
+    """
+
+    def __init__(self, path, plain=False):
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = plain
+        letters, entries = {v: k for k, v in byte_letters().items()}, self.library.get_vocab()
+        added = {x.content for x in self.library.get_added_tokens_decoder().values()}
+        self.added = [] if plain else sorted(added)
+        ranks = {bytes(map(letters.__getitem__, w)): i for w, i in entries.items() if w not in added}
+        merges = json.loads(self.library.to_str())["model"]["merges"]
+        ids = [entries["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in merges]
+        if max(entries.values()) >= 1 << 16 or ids != sorted(ids):
+            raise ValueError("ids must fit into 16 bits and follow the merges")
+        self.size = np.zeros(1 << 16, np.int64)
+        self.size[[*ranks.values()]] = [*map(len, ranks)]
+        self.encoding = tiktoken.Encoding("byte-level", pat_str=PIECE.pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text):
+        if any(x in text for x in self.added) or LONG_BLANK.search(text):  # too deep for the faster one
+            return self.library.encode(text, add_special_tokens=False).ids
+        return self.encoding.encode_ordinary(text)
+
+    def encode(self, text):
+        return array("H", self.ids(text)).tobytes()
+
+    def sizes(self):
+        """Bytes of each id's token."""
+        return self.size
+
+
+_counters = {}
+
+
+def counter(path):
+    """One ByteLevel for each worker and file."""
+    if path not in _counters:
+        _counters[path] = ByteLevel(path)
+    return _counters[path]
+
+
 _encoders = {}
 
 

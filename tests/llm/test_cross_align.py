@@ -122,8 +122,10 @@ def test_lanes_change_nothing(monkeypatch, lane):
         assert a_end[a_cut].tolist() == b_end[b_cut].tolist() == sorted({*a_end.tolist()} & {*b_end.tolist()})
 
 
-def test_byte_level_ids_are_the_librarys():
-    own, library = cross_align.ByteLevel(A), Tokenizer.from_file(A)
-    library.encode_special_tokens = True
+@pytest.mark.parametrize("plain", [True, False])
+def test_byte_level_ids_are_the_librarys(plain):
+    own, library = tokens.ByteLevel(A, plain), Tokenizer.from_file(A)
+    library.encode_special_tokens = plain
     some = [t for t in texts(2000, 3) if t] + [" " * 200_000, "a" * 100_000, "x" + "\n" * 50_000 + "y"]
     assert [np.frombuffer(own.encode(" " + t), "<u2").tolist() for t in some] == [x.ids for x in library.encode_batch([" " + t for t in some], add_special_tokens=False)]
+    assert [own.ids(t) for t in some[:500]] == [x.ids for x in library.encode_batch(some[:500], add_special_tokens=False)]
