@@ -253,7 +253,7 @@ def track_mean(hits, seqs, key, width):
     rows = hits.join(seqs.select("seq_id", "u"), "seq_id")
     first, last = F.floor(F.col("start") / 10), F.floor((F.col("start") + width - 1) / 10)
     rows = rows.withColumn("t", F.substring(F.col("u"), (first * 10 + 1).cast("int"), ((last - first + 1) * 10).cast("int")))
-    return rows.select(key, "seq_id", "start", "strand", F.floor(10 * seq.count_cg(F.col("t")) / F.floor((F.length("t") + 9) / 10)).cast("long").alias("conservation"))
+    return rows.select(key, "seq_id", "start", "strand", F.floor(10 * seq.count_cg(F.col("t")) / F.nullif(F.floor((F.length("t") + 9) / 10), F.lit(0))).cast("long").alias("conservation"))
 
 
 @query("WITH " + SEQ + ", " + occurrences([TEMPLATE]) + ", " + COUNTS + " SELECT grp, word, n_all - n AS n_close, n_all FROM cnt WHERE n_all > n")
