@@ -88,6 +88,9 @@ def cluster_rank_found(spark, sf_dir):
     return rows.select("cluster", "members", "width", F.round(F.col("best") * F.sqrt("members"), 6).alias("score"))
 
 
+# Half a base's weight, in natural and in decimal logarithms.
+NATURAL, DECIMAL = 0.6931, 0.301
+# The background of a column that no motif covers, in percent.
 FILL = "[21.86, 29.75, 26.26, 22.22]"
 
 
@@ -162,11 +165,11 @@ def weight_letter(cell, drop):
     return f"substr('OACMGRSVTWYHKDBN', 1 + list_sum(list_transform(range(0, 4), lambda k: CASE WHEN {cell}[k + 1] >= list_max({cell}) - {drop} THEN (2 ** k)::INT ELSE 0 END))::INT, 1)"
 
 
-@query(M + f", z AS (SELECT vec_id, p, l, {LOGODDS} AS z FROM pos) SELECT vec_id, string_agg({weight_letter('l', 0.6931)}, '' ORDER BY p) AS natural, string_agg({weight_letter('z', 0.301)}, '' ORDER BY p) AS decimal FROM z GROUP BY vec_id")
+@query(M + f", z AS (SELECT vec_id, p, l, {LOGODDS} AS z FROM pos) SELECT vec_id, string_agg({weight_letter('l', NATURAL)}, '' ORDER BY p) AS natural, string_agg({weight_letter('z', DECIMAL)}, '' ORDER BY p) AS decimal FROM z GROUP BY vec_id")
 def pwm_consensus(spark, sf_dir):
     """Consensus from weights: bases within a factor of two of the best, in natural and in decimal logarithms."""
     rows = motifs(spark, sf_dir).select("vec_id", "logs", pfm.logodds(F.col("pfm")).alias("z"))
-    return rows.select("vec_id", pfm.weight_consensus(F.col("logs"), 0.6931).alias("natural"), pfm.weight_consensus(F.col("z"), 0.301).alias("decimal"))
+    return rows.select("vec_id", pfm.weight_consensus(F.col("logs"), NATURAL).alias("natural"), pfm.weight_consensus(F.col("z"), DECIMAL).alias("decimal"))
 
 
 @query(M + """, c AS (SELECT vec_id, flatten(list_transform(pfm, lambda r: list_transform(r, lambda x: ln(x + 1) - list_sum(list_transform(r, lambda y: ln(y + 1))) / 4))) AS z FROM m),
