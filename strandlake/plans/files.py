@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import seq, surface
-from ..operators import numbering
+from ..operators import numbering, validate
 from ..session import shared_dir
 from ..sources import formats, text
 from .finish import REPEATS, core_cells, repeat_stats, repeat_words
@@ -193,3 +193,23 @@ def region_ids(spark, sf_dir):
     own = F.when(F.col("o_orderkey") % 3 == 0, named("o_orderkey", "own"))
     rows = o.select("o_orderkey", own.alias("name"), F.concat(F.lit("chr"), (F.col("o_custkey") % 20).cast("string")).alias("chr"), F.col("o_custkey").alias("start"), (100 + F.col("o_orderkey") % 50).cast("long").alias("len"))
     return numbering.region_names(numbering.within(rows, 1 << 40), "o_orderkey").select("name", "chr", "start", "len")
+
+
+@query("WITH " + SEQ + """, r AS (SELECT CASE WHEN seq_id % 11 = 0 THEN '' ELSE 'S_' || (seq_id % 400) END AS name, translate(CASE WHEN seq_id % 7 = 0 THEN substr(s, 1, 50) || 'X' ELSE s END, 'Uu', 'Tt') AS seq FROM seq)
+SELECT name, 'no name' AS problem, count(*) AS n FROM r WHERE name = '' GROUP BY 1 UNION ALL SELECT name, 'wrong letter', count(*) FROM r WHERE NOT regexp_full_match(seq, '[ACGTNacgtn]*') GROUP BY 1 UNION ALL SELECT name, 'name taken', count(*) FROM r WHERE name <> '' GROUP BY 1 HAVING count(*) > 1""")
+def fasta_problems(spark, sf_dir):
+    """What the rules for sequences say of rows with missing and repeated names, U in place of T, and some wrong letters."""
+    s = sequences(spark, sf_dir)
+    name = F.when(F.col("seq_id") % 11 == 0, "").otherwise(F.concat(F.lit("S "), (F.col("seq_id") % 400).cast("string")))
+    given = F.when(F.col("seq_id") % 7 == 0, F.concat(F.substring("s", 1, 50), F.lit("X"))).otherwise(F.translate("s", "Tt", "Uu"))
+    return validate.fasta_problems(validate.clean_fasta(s.select(name.alias("name"), given.alias("seq"))))
+
+
+@query("""WITH r AS (SELECT 'R' || o_orderkey AS name, CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE 'chr' || (o_custkey % 20) END AS chr, CASE WHEN o_orderkey % 3 = 0 THEN '?' WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand, o_orderkey % 4 AS len, o_custkey % 9 AS start FROM orders)
+SELECT name, problem, count(*) AS n FROM (SELECT name, 'chromosome' AS problem FROM r WHERE chr = 'x' UNION ALL SELECT name, 'strand' FROM r WHERE strand = '?' UNION ALL SELECT name, 'size' FROM r WHERE len = 0 UNION ALL SELECT name, 'place' FROM r WHERE start = 0) GROUP BY 1, 2""")
+def coordinate_problems(spark, sf_dir):
+    """What the rules for coordinates say."""
+    o = table(spark, sf_dir, "orders")
+    strand = F.when(F.col("o_orderkey") % 3 == 0, "?").when(F.col("o_orderkey") % 2 == 0, "+").otherwise("-")
+    chr_ = F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise(F.concat(F.lit("chr"), (F.col("o_custkey") % 20).cast("string")))
+    return validate.coordinate_problems(o.select(named("o_orderkey", "R").alias("name"), chr_.alias("chr"), strand.alias("strand"), (F.col("o_orderkey") % 4).alias("len"), (F.col("o_custkey") % 9).alias("start")))
