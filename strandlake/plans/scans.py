@@ -21,11 +21,15 @@ TEMPLATE = kmers.templates(8)[0]
 GAPS = tuple(words.SPANS)
 
 
-def query(sql=None):
+#: SQL that takes minutes on whole tables: for tests on small ones.
+SLOW_SQL = {}
+
+
+def query(sql=None, slow=False):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            (SLOW_SQL if slow else SQL)[f.__name__] = sql
         return f
 
     return add
@@ -339,7 +343,7 @@ def flank_pfm(spark, sf_dir):
     return flank_counts(sequences(spark, sf_dir), enrich.candidates(counted(spark, sf_dir))).drop("gap")
 
 
-@query(FLANKS9 + " SELECT gap, word, place, base, f1, f2 FROM flank")
+@query(FLANKS9 + " SELECT gap, word, place, base, f1, f2 FROM flank", slow=True)
 def flank_pfm_gapped(spark, sf_dir):
     """Bases before and after the whole span of the candidates of all templates."""
     return flank_counts(sequences(spark, sf_dir), enrich.candidates(counted(spark, sf_dir, GAPS)))
@@ -382,7 +386,7 @@ def flank_gtest(spark, sf_dir):
     return rows.select("word", F.round("g", 4).alias("g"), F.round("p", 6).alias("p"))
 
 
-@query(FLANKS9 + GTEST9 + " SELECT gap, word, round(g, 4) AS g, round(p, 6) AS p FROM gp")
+@query(FLANKS9 + GTEST9 + " SELECT gap, word, round(g, 4) AS g, round(p, 6) AS p FROM gp", slow=True)
 def flank_gtest_gapped(spark, sf_dir):
     cand = enrich.candidates(counted(spark, sf_dir, GAPS))
     rows = g_test(full_flanks(cand, flank_counts(sequences(spark, sf_dir), cand)))
@@ -406,7 +410,7 @@ def fisher_p(spark, sf_dir):
     return combined(spark, sf_dir)[1].select("word", F.round("p", 6).alias("p"))
 
 
-@query(FISHER9 + " SELECT gap, word, round(p, 6) AS p FROM pp")
+@query(FISHER9 + " SELECT gap, word, round(p, 6) AS p FROM pp", slow=True)
 def fisher_p_gapped(spark, sf_dir):
     return combined(spark, sf_dir, GAPS)[1].select("gap", "word", F.round("p", 6).alias("p"))
 
@@ -418,7 +422,7 @@ def discovered(spark, sf_dir):
     return enrich.false_discovery(rows.join(F.broadcast(n), "gap"))
 
 
-@query(FDR9 + " SELECT gap, word, round(fdr, 6) AS fdr FROM fd")
+@query(FDR9 + " SELECT gap, word, round(fdr, 6) AS fdr FROM fd", slow=True)
 def fdr_bh_gapped(spark, sf_dir):
     return discovered(spark, sf_dir).select("gap", "word", F.round("fdr", 6).alias("fdr"))
 
@@ -495,7 +499,7 @@ def top_motifs(spark, sf_dir, most=500, limit=0.1):
 
 
 @query(FDR9 + """, pl AS (SELECT gap, word, z, ratio, fdr, row_number() OVER (ORDER BY round(z, 6) DESC, gap, word) AS place, count(*) FILTER (WHERE fdr <= 0.1) OVER () AS good FROM fd)
-SELECT gap, word, round(z, 6) AS z, round(fdr, 6) AS fdr FROM pl WHERE ratio >= 1.5 AND (fdr <= 0.1 OR good < 100 AND place <= 100) ORDER BY round(z, 6) DESC, gap, word LIMIT 500""")
+SELECT gap, word, round(z, 6) AS z, round(fdr, 6) AS fdr FROM pl WHERE ratio >= 1.5 AND (fdr <= 0.1 OR good < 100 AND place <= 100) ORDER BY round(z, 6) DESC, gap, word LIMIT 500""", slow=True)
 def top_motifs_gapped(spark, sf_dir, most=500, limit=0.1):
     """The report over all nine templates, ranked together."""
     return report(discovered(spark, sf_dir), ["gap", "word"], most, limit)

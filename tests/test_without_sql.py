@@ -60,3 +60,14 @@ def test_progress_of_the_refinement_is_read_back(spark):
     kinds = {tuple(r) for r in rows.select("turn", "sub_turn").distinct().collect()}
     assert kinds <= {(t, s) for t in (1, 2, 3) for s in (1, 2, 3)} | {(4, 1)} and (4, 1) in kinds
     assert rows.where((F.col("n1") > F.col("all1")) | (F.col("n2") > F.col("all2")) | F.col("threshold").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("name", ["flank_gtest_gapped", "top_motifs_gapped"])
+def test_discovery_over_all_templates_against_sql(spark, name):
+    """SQL that is too slow for larger tables; the second builds on the first, and on the p-values and fdr between."""
+    duck = pytest.importorskip("duckdb").connect()
+    duck.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    got, want = registry.QUERIES[name](spark, SF), duck.sql(scans.SLOW_SQL[name])
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    assert sorted(map(repr, map(tuple, got.select(cols).collect()))) == sorted(map(repr, want.select(*cols).fetchall()))
