@@ -21,6 +21,8 @@ from .tokens import encoder
 
 HEAD, MARK, META = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<BBq")
 INDEX = "file string, first boolean, doc_id long, offset long, length long, n_tokens long"
+#: Bytes of text that a task encodes at once: more repeat more of their words, but take more memory.
+AT_ONCE = 8 << 20
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>"
 
 
@@ -69,13 +71,13 @@ def write_files(folder, vocabulary, end_id):
         out, offset, encode = None, 0, encoder(vocabulary)
         end = np.array([end_id], encode.kind).tobytes()
         try:
-            for b in batches:
+            for b in C.slices(batches, AT_ONCE):
                 if out is None:
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(f"{base}/{name}", compression=None, buffer_size=1 << 20)
                 rows = []
-                for doc_id, text in zip(b.column("_id").to_pylist(), C.strings(b.column("_text")), strict=True):
-                    ids = (encode.encode(text) if text else b"") + end
+                for doc_id, ids in zip(b.column("_id").to_pylist(), encode.encode_all(b.column("_text")), strict=True):
+                    ids += end
                     record = frame(pack(doc_id, ids, encode.kind.itemsize))
                     out.write(record)
                     rows.append((name, offset == 0, doc_id, offset, len(record), len(ids) // encode.kind.itemsize))

@@ -1,14 +1,19 @@
 """Token ids of whole texts through a vocabulary file of the tokenizers library."""
 
+import codecs
 import json
 import os
 import re
 import struct
 from array import array
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import regex
 
+from . import common as C
+
 #: A space between two others than white space is the start of a new pre-token in byte-level vocabularies.
 EDGE = re.compile(r"(?<=\S)(?= \S)")
 CROWDED = re.compile(r"\s \s")
@@ -16,6 +21,8 @@ CROWDED = re.compile(r"\s \s")
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Words that a worker remembers, about 150 bytes each.
 KEEP = 300_000
+#: A byte that UTF-8 never has, pre-tokens that are joined by it, and joined ones that are encoded in a call.
+APART, JOINED, CALL = 0xFF, 100, 20
 
 
 def byte_letters():
@@ -25,6 +32,30 @@ def byte_letters():
     return {x: chr(x) for x in own} | {x: chr(0x100 + i) for i, x in enumerate(rest)}
 
 
+def kinds(*ranges):
+    """For each byte whether it is in one of the ranges, ends included."""
+    return np.array([any(a <= x <= b for a, b in ranges) for x in range(256)])
+
+
+WORD, MARK = kinds((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A)), kinds((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
+#: First bytes of characters that aren't white space; white space beyond ASCII starts with C2, E1, E2 or E3.
+SOLID = WORD | MARK | kinds((0xC3, 0xE0), (0xE4, 0xFF))
+
+
+def edges(data):
+    """For each byte of UTF-8 text whether a pre-token of byte-level vocabularies surely starts there: at a space or line
+    feed between two others than white space, after such a line feed, between ASCII letters or digits and ASCII marks
+    (but for an apostrophe before a letter)."""
+    tail = np.zeros(3, np.uint8)
+    b = np.concatenate([tail, data, tail[:1]])
+    here, last, second, third, after = b[3:-1], b[2:-2], b[1:-3], b[:-4], b[4:]
+    solid = WORD[last] | MARK[last] | (last >= 0x80) & (second != 0xC2) & ((third < 0xE1) | (third > 0xE3))
+    blank = ((here == 0x20) | (here == 0x0A)) & solid & SOLID[after]
+    found = blank | WORD[last] & MARK[here] | MARK[last] & (last != 0x27) & WORD[here]
+    found[1:] |= (blank & (here == 0x0A))[:-1]
+    return found
+
+
 LONG_BLANK = re.compile(r"\s{4000}")
 
 
@@ -95,6 +126,10 @@ class Encoder(dict):
     each with its space, in a row. The words met last are remembered, between half of `keep` and `keep` of them: when
     half of it is full, it becomes the older half. Texts that hold the string of an added token are left to the library
     whole, which splits there first.
+
+    `encode_all` takes many texts, cuts them where pre-tokens surely start and encodes each different stretch once: that
+    goes through memory in order, where looking up every word costs more than the model. Pre-tokens are given to the
+    model joined by a byte that no text and no merge has, so each is encoded as if it stood alone.
     """
 
     def __init__(self, path, keep=KEEP):
@@ -108,6 +143,10 @@ class Encoder(dict):
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = Tokenizer.from_file(path).model
         self.model._resize_cache(0)  # what is remembered is remembered here
+        self.joint, self.table = Tokenizer(self.model), "".join(x for _, x in sorted(self.letters.items()))
+        mark, model = self.letters[APART], self.model
+        alone = model.dropout or model.ignore_merges or model.continuing_subword_prefix or model.end_of_word_suffix
+        self.apart = None if alone or [w for w in self.joint.get_vocab() if mark in w] != [mark] else model.token_to_id(mark)
 
     def encode(self, text):
         """The ids as little-endian unsigned numbers of `kind`."""
@@ -129,8 +168,14 @@ class Encoder(dict):
                 self.short[text] = ids
         return ids
 
+    def split(self, text):
+        """Pre-tokens; by the library where a character may be a letter in one version of Unicode alone."""
+        if text.isascii() or text.isprintable():
+            return PIECE.findall(text)
+        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
     def pieces(self, text):
-        return b"".join([self[x[1:]] if x[0] == " " and x[1:].isalpha() else self.piece(x) for x in PIECE.findall(text)])
+        return b"".join([self[x[1:]] if x[0] == " " and x[1:].isalpha() else self.piece(x) for x in self.split(text)])
 
     def __missing__(self, word):
         ids = self.older.get(word)
@@ -147,3 +192,44 @@ class Encoder(dict):
                 self.clear()
             self[word] = ids
         return ids
+
+    def encode_all(self, column):
+        """`encode` of each text of an Arrow column; null is empty."""
+        texts = C.raw(column)
+        if self.apart is None:
+            return [self.encode(x.decode()) if x else b"" for x in texts]
+        added = [x.encode() for x in self.added]
+        whole = {i: self.encode(x.decode()) for i, x in enumerate(texts) if any(y in x for y in added)}
+        rest = [b"" if i in whole else x for i, x in enumerate(texts)]
+        ids = self.cut_up(rest) if any(rest) else rest
+        return [whole.get(i, x) for i, x in enumerate(ids)]
+
+    def cut_up(self, texts):
+        data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        starts = edges(data)
+        starts[ends[ends < len(data)]] = True
+        starts = np.append(np.flatnonzero(starts), len(data))
+        stretches = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(data)).dictionary_encode()
+        ids, upto = self.of(stretches.dictionary.to_numpy(zero_copy_only=False))
+        numbers, width = stretches.indices.to_numpy(), self.kind.itemsize
+        sizes = np.diff(upto)[numbers]
+        so_far = np.concatenate([[0], np.cumsum(sizes)])
+        found = ids[np.repeat(upto[numbers] - so_far[:-1], sizes) + np.arange(so_far[-1])].tobytes()
+        return [found[a * width : b * width] for a, b in pairwise(so_far[np.searchsorted(starts, ends)].tolist())]
+
+    def of(self, stretches):
+        """The ids of all stretches in a row, and how many there are up to each, from 0 on."""
+        pieces, upto = [], [0]
+        for x in stretches:
+            if (x[1:] if x[0] == " " else x).isalpha():
+                pieces.append(x)
+            else:
+                pieces += self.split(x)
+            upto.append(len(pieces))
+        joined = [bytes([APART]).join([p.encode() for p in pieces[i : i + JOINED]] + [b""]) for i in range(0, len(pieces), JOINED)]
+        joined = [codecs.charmap_decode(x, "strict", self.table)[0] for x in joined]
+        calls = (self.joint.encode_batch_fast(joined[i : i + CALL], add_special_tokens=False) for i in range(0, len(joined), CALL))
+        ids = np.concatenate([np.array(x.ids, self.kind) for call in calls for x in call])
+        marks = np.flatnonzero(ids == self.apart)
+        sizes = np.diff(marks, prepend=-1) - 1
+        return np.delete(ids, marks), np.concatenate([[0], np.cumsum(sizes)])[upto]

@@ -4,7 +4,9 @@ import hashlib
 import os
 import random
 import zlib
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +213,42 @@ def test_tokens_equal_the_library(vocabulary, library, keep):
     assert len(e) + len(e.older) <= keep
 
 
+def test_tokens_of_many_texts_equal_the_library(vocabulary, library, monkeypatch):
+    e, rng = tokens.Encoder(vocabulary), random.Random(6)
+    parts = [" ", " ", "\n", "\t", "\r", "\x0b", "\x1c", "\x7f", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u3000", "\ufeff", "\u0301", "\0"]
+    parts += ["a", "Bc", "the", ".", ",", "'", "'s", "'re", "-", "_", "1", "23", "é", "½", "ª", "“", "日本", "\u0558", "\ua7ce", "ÿ", "Ġ", "😀", "<|endoftext|>", "<|end"]
+    texts = ["", None, " ", "\n", " a", "\nb", "a", *("".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(6000))]
+    texts += ["", "".join(rng.choices(parts[:-2], k=5000)), "x" * 5000 + " y", None]
+    for apart in (e.apart, None):
+        monkeypatch.setattr(e, "apart", apart)
+        for kind in (pa.string(), pa.large_string()):
+            column = pa.array(["left out", *texts, "left out"], kind).slice(1, len(texts))
+            got = e.encode_all(column)
+            assert [memoryview(x).cast("H").tolist() for x in got] == [library(x or "") for x in texts]
+    assert e.encode_all(pa.array([], pa.string())) == [] and e.encode_all(pa.array([None, ""], pa.string())) == [b"", b""]
+
+
+def test_records_encode_words_together(vocabulary, library, tmp_path, monkeypatch):
+    class Counted:
+        def __init__(self, own):
+            self.own, self.calls = own, 0
+
+        def __getattr__(self, name):
+            self.calls += name in ("tokenize", "encode", "encode_batch_fast")
+            return getattr(self.own, name)
+
+    e, rng = tokens.Encoder(vocabulary), random.Random(7)
+    e.model, e.joint = Counted(e.model), Counted(getattr(e, "joint", None))
+    monkeypatch.setattr(records, "encoder", lambda path: e)
+    monkeypatch.setattr(records, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0, taskAttemptId=lambda: 0)))
+    words = ["".join(rng.choices("aeiourstln", k=8)) for _ in range(5000)]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, len(words), 50)]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["_id", "_text"])
+    (index,) = records.write_files(f"file://{tmp_path}", vocabulary, 0)([batch])
+    assert index.column("n_tokens").to_pylist() == [len(library(x)) + 1 for x in texts]
+    assert e.model.calls + e.joint.calls <= len(words) / 100
+
+
 def test_records_round_trip(spark, corpus, vocabulary, library, tmp_path):
     corpus = [*corpus, (800, "hello <|endoftext|> x"), (800, "again")]
     folder = records.write_records(docs(spark, corpus), f"file://{tmp_path}/r", vocabulary)
