@@ -119,6 +119,29 @@ def test_similar_pairs_in_blocks(spark, monkeypatch):
     assert groups[7] == 3 and groups[9] == 4 and groups[5] == 5
 
 
+def test_pairs_of_thousands_of_motifs(spark):
+    """As compared one by one, though the similarity is taken of few pairs only."""
+    rng = np.random.default_rng(8)
+    flat = rng.normal(size=(4000, 64))
+    flat[2000:2040] = flat[:40, ::-1] + rng.normal(size=(40, 64)) * 0.3
+    flat[3000:3040, :60] = flat[40:80, 4:] + rng.normal(size=(40, 60)) * 0.3
+    table = spark.createDataFrame([(k * 7 % 4001, x.tolist()) for k, x in enumerate(flat)], "id long, flat array<double>").repartition(4)
+    assert sum(len(i) for i, _ in motifs.near(flat, flat, 16, 0.5)) < 0.01 * 4000**2
+    found = {(r["a"], r["b"]): (r["r"], r["dir"], r["offset"]) for r in motifs.similar_pairs(table, None, 0.5).collect()}
+    ids = np.arange(4000) * 7 % 4001
+    some = np.r_[0:20, 40:60, 2020:2030, 3060:3070]  # these against all, by the plain similarity
+    want = {}
+    for i in some:
+        ahead, o1 = motifs.similarity(flat[i : i + 1], flat, 16, match=0.5)
+        back, o2 = motifs.similarity(flat[i : i + 1], motifs.backward(flat), 16, match=0.5)
+        for j in range(4000):
+            if ids[i] < ids[j] and max(ahead[0, j], back[0, j]) >= 0.5:
+                want[ids[i], ids[j]] = (ahead[0, j], 1, o1[0, j]) if ahead[0, j] >= back[0, j] else (back[0, j], -1, o2[0, j])
+    got = {k: v for k, v in found.items() if k[0] in set(ids[some])}
+    assert len(want) > 40 and got.keys() == want.keys()
+    assert all(abs(got[k][0] - want[k][0]) < 1e-12 and got[k][1:] == want[k][1:] for k in want)
+
+
 def test_kmeans_invariants(spark):
     rng = np.random.default_rng(6)
     base = rng.random((3, 64)) * 50
