@@ -142,6 +142,21 @@ def test_pairs_of_thousands_of_motifs(spark):
     assert all(abs(got[k][0] - want[k][0]) < 1e-12 and got[k][1:] == want[k][1:] for k in want)
 
 
+def test_pairs_of_two_libraries(spark):
+    """Left against right only, whichever id is the lesser, as compared one by one."""
+    rng = np.random.default_rng(9)
+    flat = rng.normal(size=(700, 64))
+    flat[600:620, :56] = flat[:20, 8:] + rng.normal(size=(20, 56)) * 0.3
+    flat[20:40] = flat[620:640, ::-1] + rng.normal(size=(20, 64)) * 0.3
+    left, right = (spark.createDataFrame([(int(k), flat[k].tolist()) for k in ks], "id long, flat array<double>") for ks in (range(0, 700, 2), range(1, 700, 2)))
+    got = {(r["a"], r["b"]): (r["r"], r["dir"], r["offset"]) for r in motifs.similar_pairs(left, right, 0.4).collect()}
+    x, y = flat[::2], flat[1::2]
+    (ahead, o1), (back, o2) = motifs.similarity(x, y, 16, match=0.4), motifs.similarity(x, motifs.backward(y), 16, match=0.4)
+    want = {(2 * i, 2 * j + 1): (ahead[i, j], 1, o1[i, j]) if ahead[i, j] >= back[i, j] else (back[i, j], -1, o2[i, j]) for i, j in np.argwhere(np.maximum(ahead, back) >= 0.4).tolist()}
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 1e-12 and got[k][1:] == want[k][1:] for k in want)
+    assert sum(len(i) for i, _ in motifs.near(x, y, 16, 0.4)) < 0.05 * 350**2
+
+
 def test_kmeans_invariants(spark):
     rng = np.random.default_rng(6)
     base = rng.random((3, 64)) * 50
