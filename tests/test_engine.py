@@ -5,6 +5,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,23 @@ def test_pairs_of_two_libraries(spark):
     assert sum(len(i) for i, _ in motifs.near(x, y, 16, 0.4)) < 0.05 * 350**2
 
 
+def test_links_are_made_fewer_before_groups_are_sought(spark):
+    rng = random.Random(4)
+    links = [tuple(rng.sample(range(300), 2)) for _ in range(180)] + [(k, k + 1) for k in range(400, 900)] + [(7, 7)]
+    root = {k: k for k in range(1000)}  # plain code: each link relabels a whole group
+    for a, b in links:
+        one, two = sorted((root[a], root[b]))
+        root = {k: one if v == two else v for k, v in root.items()}
+    table = spark.createDataFrame(links * 3, "a long, b long").repartition(5)
+    assert dict(map(tuple, motifs.groups(spark.range(1000), table).collect())) == root
+    batches = [pa.record_batch([pa.array([a for a, _ in links[k::4]]), pa.array([b for _, b in links[k::4]])], names=["a", "b"]) for k in range(4)]
+    for most in (1, 1 << 20):
+        left = [r for b in motifs.forest(iter(batches * 50), most) for r in b.to_pylist()]
+        assert all(root[r["a"]] == root[r["b"]] and r["b"] < r["a"] for r in left)
+    assert len(left) == sum(k != v for k, v in root.items())
+    assert not list(motifs.forest(iter([])))
+
+
 def test_kmeans_invariants(spark):
     rng = np.random.default_rng(6)
     base = rng.random((3, 64)) * 50
