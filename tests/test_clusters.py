@@ -1,9 +1,11 @@
 """Clusters, conflicts and files of motifs against plain code."""
 
+import inspect
 import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +67,28 @@ def test_a_star_is_merged_in_a_task():
     assert sorted(r["place"] for r in got if r["id"] is not None) == list(range(601))
 
 
+def test_trees_of_many_pairs_are_merged_in_a_task():
+    """A part of 30,000 pairs, with ties, as one merge at a time; groups of a task go on from batch to batch."""
+    rng = random.Random(7)
+    pairs = [(a, b, rng.choice((0.25, 0.5, 0.75)) if a % 2 else rng.random()) for a, b in itertools.combinations(range(40), 2) if rng.random() < 0.4]
+    want, leaves = plain_linkage(pairs, range(40))
+    got = ops.tree(pairs).to_pylist()
+    assert sorted((r["a"], r["b"], round(r["r"], 9)) for r in got if r["a"] is not None) == sorted(want)
+    assert {r["id"]: (r["root"], r["path"]) for r in got if r["id"] is not None} == {k: v for k, v in leaves.items() if any(k in p[:2] for p in pairs)}
+    rows = [(g, 100 * g + a, 100 * g + b, r) for g in range(5) for a, b, r in pairs]
+    batches = [pa.record_batch([pa.array(c) for c in zip(*rows[k : k + 97], strict=True)], names=["group", "a", "b", "r"]) for k in range(0, len(rows), 97)]
+    for least in (1, 10**9):
+        told = [r for b in ops.in_tasks(iter(batches), least) for r in b.to_pylist()]
+        for g in range(5):
+            assert sorted((r["a"] - 100 * g, r["b"] - 100 * g, round(r["r"], 9)) for r in told if r["a"] is not None and r["a"] // 100 == g) == sorted(want)
+    assert inspect.signature(ops.linkage).parameters["most"].default > 10**7
+    edges = np.unique(np.sort(np.random.default_rng(1).integers(0, 2000, (30_000, 2)), axis=1), axis=0)
+    edges = edges[edges[:, 0] < edges[:, 1]]
+    r = np.random.default_rng(2).random(len(edges))
+    made = [b for b in ops.trees(edges[:, 0], edges[:, 1], r, room=1 << 12)]
+    assert sum(len(b) - b.column("a").null_count for b in made) == 1999 and len([b for b in made if b.column("id").null_count == 0]) > 10
+
+
 def test_motifs_of_one_family_align(spark):
     """Shifted and reversed copies of two matrices fall into two clusters, at the places where they were cut."""
     rng = np.random.default_rng(2)
