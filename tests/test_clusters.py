@@ -121,6 +121,55 @@ def test_motifs_of_one_family_align(spark):
     assert alone.where("cluster = id").count() == 25
 
 
+def plain_place(covered, values, flat, match):
+    """The best place of one motif in one frame."""
+    best = (-2.0, -2.0, 1, 0)
+    for turn, own in ((1, flat.reshape(16, 4)), (-1, flat.reshape(16, 4)[::-1, ::-1])):
+        for at in range(33):
+            on = covered[at : at + 16]
+            if (n := on.sum()) < 6:
+                continue
+            x, y = values[at : at + 16][on], own[on]
+            r = (x * y).sum() / np.sqrt((x * x).sum() * (y * y).sum())
+            w = r + (1 - r) * 0.5 * (1 - 6 / n) + 10 if r >= match else r
+            if round(w, 9) > round(best[0], 9):
+                best = (w, r, turn, at - 16)
+    return best[1:]
+
+
+def test_places_in_frames_at_once():
+    rng = np.random.default_rng(2)
+    covered, values = np.zeros((12, 48), bool), np.zeros((12, 48, 4))
+    for k in range(12):
+        a = int(rng.integers(8, 17))
+        b = a + 16 + int(rng.integers(0, 8))
+        covered[k, a:b], values[k, a:b] = True, rng.normal(size=(b - a, 4)) * 2
+    covered[::5, 20], values[::5, 20] = False, 0
+    which, flats = rng.integers(0, 12, 60), rng.normal(size=(60, 64))
+    for i in range(40):
+        a = 16 + int(rng.integers(-3, 4))
+        z = (values[which[i], a : a + 16] + rng.normal(size=(16, 4)) * 0.5).ravel()
+        flats[i] = z if i % 2 else z[::-1]
+    for r, way, offset, k, x in zip(*ops.aligned((covered, values), which, flats, match=0.5), which, flats, strict=True):
+        want = plain_place(covered[k], values[k], x, 0.5)
+        assert abs(r - want[0]) < 1e-12 and (way, offset) == want[1:]
+
+
+def test_clusters_grown_in_a_task_or_in_rounds(spark):
+    """The same clusters either way; groups in portions of whatever size."""
+    from strandlake.operators.motifs import similar_pairs
+
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(9, 64)) * 2
+    flat = np.concatenate([base[rng.integers(0, 9, 70)] + rng.normal(size=(70, 64)) * 1.6, rng.normal(size=(20, 64))])
+    flat[::3] = flat[::3, ::-1]
+    motifs = spark.createDataFrame([(1000 - 7 * k, x.tolist()) for k, x in enumerate(flat)], "id long, flat array<double>")
+    pairs = similar_pairs(motifs, None, 0.42).localCheckpoint()
+    told = lambda most: sorted(tuple(r) for r in ops.seed_extend(motifs, pairs, 0.42, most).select("cluster", "id", "dir", "offset").collect())
+    whole = told(12_000_000)
+    assert whole == told(0) and len(whole) == 90 and 9 <= len({r[0] for r in whole}) < 80
+
+
 def plain_distance(point, centre):
     """Distance of two matrices cell by cell."""
     fill, best = np.array(ops.BACKGROUND), None
