@@ -106,6 +106,24 @@ def test_hits_in_conflict(spark):
     assert hits.resolve(table.limit(0)).count() == 0
 
 
+def test_spans_of_tied_hits_never_overlap(spark):
+    """Many hits of the same start, against plain code."""
+    rng = random.Random(5)
+    rows = [(k, rng.randrange(3), rng.randrange(300), 8) for k in range(40)] * 6
+    rows = [(i, "m", s, "+", n, at, 1.0) for i, (_, s, at, n) in enumerate(rows)]
+    rng.shuffle(rows)
+    want = []
+    for s in range(3):
+        end = None
+        for at in sorted(r[5] for r in rows if r[2] == s):
+            if end is None or at > end:
+                want.append([s, at, at + 8, 0])
+            end = at + 8
+            want[-1][2:] = [end, want[-1][3] + 1]
+    table = spark.createDataFrame(rows, "event_id long, motif string, seq_id long, strand string, len long, start long, score double").repartition(5)
+    assert sorted((r["seq_id"], r["start"], r["end"], r["n"]) for r in hits.spans(table).collect()) == sorted(map(tuple, want))
+
+
 def test_similar_pairs_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(5)
     flat = rng.normal(size=(30, 64))
